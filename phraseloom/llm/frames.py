@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from urllib.parse import urlparse
 
 import numpy as np
@@ -22,6 +24,23 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package sent along, so that workers can import it wherever they start."""
+    sc = frame.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # read by the driver only, which serves it to the executors
+        with zipfile.ZipFile(target, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+    return frame.mapInArrow(run, schema)
+
+
 def map_blocks(docs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """Runs ``kernel(rows, data, borders)`` on pieces of about one MB of text.
 
@@ -36,7 +55,7 @@ def map_blocks(docs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
                 out = kernel(batch.slice(lo, hi - lo), data, borders)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:

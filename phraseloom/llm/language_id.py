@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import crc_rest, hashed_sample, map_blocks, sums_by, texts_of
+from .frames import crc_rest, hashed_sample, map_arrow, map_blocks, sums_by, texts_of
 from .textkernel import blocks
 
 ORDERS = (1, 2, 3)
@@ -100,7 +100,7 @@ def train(rows: DataFrame, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
                 part = hit[i : i + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), pa.array(held[part])], ["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted.lang.unique())
     if len(langs) * size * 4 > MAX_MODEL_BYTES:
         raise ValueError(f"{len(langs)} languages need more than {MAX_MODEL_BYTES} bytes")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_blocks, texts_of
+from .frames import map_arrow, map_blocks, texts_of
 from .textkernel import ALNUM, LOWER, WORD_HASH, blocks, owners, word_spans
 
 CONTAINMENT = 0.8
@@ -94,7 +94,7 @@ def count_words(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                 counts += np.bincount(found[found >= 0], minlength=len(counts))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["word", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary.words), np.int64)
     for r in counted:
         out[r.word] = r.n
