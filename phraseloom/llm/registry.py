@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from .language_id import op2_language_id
 from .licenses import op7_license_scan
+from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op6_quality
+from .simhash import op5_simhash_dedup
+from .substring_dedup import op10_substring_dedup
+from .token_files import op8_token_files
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
+    "op8_token_files": op8_token_files,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_mix_sources": OP3_SQL}

@@ -14,6 +14,8 @@ nodes is dealt out over pairs of blocks, so no task ever holds a whole hot group
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text with fewer words than a shingle is
 one shingle.  Repeated rows share a component; an empty table gives no rows.  Extra columns are ignored.
+
+``wide`` fingerprints have 128 bits: the first 64 are probed, and a pair found is verified on all of them.
 """
 
 from __future__ import annotations
@@ -41,33 +43,34 @@ _LOWER = bytes(LOWER)
 _SPREAD = np.array([sum(((b >> (7 - lane)) & 1) << (8 * lane) for lane in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, size: int) -> bytes:
-    """The 8 bytes of a text's fingerprint, highest bits first."""
-    words = text.translate(_LOWER).split()
+def fingerprint(text: bytes, size: int, wide: bool = False) -> bytes:
+    """The 8 (wide: 16) bytes of a text's fingerprint, highest bits first."""
+    words, width = text.translate(_LOWER).split(), 16 if wide else 8
     if not words:
-        return bytes(8)
+        return bytes(width)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = max(1, len(words) - size + 1)
-    hashed = xxhash.xxh64_digest
+    hashed = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
     last = ends[min(size, len(words)) - 1 :]
     digests = b"".join([hashed(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist())])
-    lanes = np.add.reduceat(_SPREAD[np.frombuffer(digests, np.uint8).reshape(-1, 8)], np.arange(0, n, 255), axis=0)
-    counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    lanes = np.add.reduceat(_SPREAD[np.frombuffer(digests, np.uint8).reshape(-1, width)], np.arange(0, n, 255), axis=0)
+    counts = lanes.view(np.uint8).reshape(-1, 8 * width).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, wide: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2): the fingerprint of every whole text as signed 64-bit integers; fp2 is 0 unless wide."""
 
     def kernel(rows, data, borders):
         raw = data.tobytes()
-        found = b"".join(fingerprint(raw[a:b], shingle_words) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()))
-        return [rows.column(0), np.frombuffer(found, ">i8").astype(np.int64)]
+        found = b"".join(fingerprint(raw[a:b], shingle_words, wide) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()))
+        halves = np.frombuffer(found, ">i8").astype(np.int64).reshape(len(borders) - 1, -1)
+        return [rows.column(0), halves[:, 0], halves[:, 1] if wide else np.zeros(len(halves), np.int64)]
 
-    return map_blocks(texts_of(docs), kernel, "doc_id long, fp long")
+    return map_blocks(texts_of(docs), kernel, "doc_id long, fp long, fp2 long")
 
 
 def bit_statistics(nodes: DataFrame) -> np.ndarray:
@@ -136,25 +139,29 @@ def plan(both: np.ndarray, n: int, sample: np.ndarray, max_bits: int) -> list[tu
     return [(mask, t) for mask, t in best[1] if t >= 0]
 
 
+_SIGNED = "key long, fp long, fp2 long, node long"
+
+
 def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
-    """(key, fp) for every partition and every way to clear up to its threshold of set bits."""
+    """(key, fp, fp2, node) for every partition and every way to clear up to its threshold of set bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column(0).to_numpy().view(np.uint64)
+            whole, *rest = (c.to_numpy() for c in batch.columns)
             for lo in range(0, len(whole), 20_000):
-                values = whole[lo : lo + 20_000]
+                values = whole[lo : lo + 20_000].view(np.uint64)
                 keys, of = [], []
                 for p, (mask, t) in enumerate(planned):
                     bits = [1 << b for b in range(64) if mask >> b & 1]
                     for k in range(t + 1):
                         for drop in map(sum, combinations(bits, k)):
-                            own = values[values & np.uint64(drop) == np.uint64(drop)]
-                            keys.append(mix64((own & np.uint64(mask & ~drop)) + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))))
-                            of.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, of)], ["key", "fp"])
+                            own = np.flatnonzero(values & np.uint64(drop) == np.uint64(drop))
+                            keys.append(mix64((values[own] & np.uint64(mask & ~drop)) + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))))
+                            of.append(own + lo)
+                of = np.concatenate(of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(x[of]) for x in (whole, *rest))], ["key", "fp", "fp2", "node"])
 
-    return map_arrow(nodes.select("fp"), run, "key long, fp long")
+    return map_arrow(nodes.select("fp", "fp2", "node"), run, _SIGNED)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -175,66 +182,88 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _spread_from(values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the values at most max_bits apart: breadth first, each value is reached once."""
-    rest, todo, a, b = values, [], [], []
-    while len(rest):
-        if not todo:
-            todo, rest = [rest[0]], rest[1:]
-        x = todo.pop()
-        near = np.bitwise_count(rest ^ x) <= max_bits
-        if near.any():
-            found = rest[near]
-            a.append(np.full(len(found), x, np.uint64))
-            b.append(found)
-            todo.extend(found)
-            rest = rest[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (values[:0], values[:0])
-
-
-def _link(max_bits: int, small: int = 48):
-    def edges_of(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        begin = np.concatenate([[0], cut])
+class _Linker:
+    """Edges between the nodes of equal keys; the rows come sorted by key."""
+
+    def __init__(self, max_bits: int, max_all: int, small: int = 24, dense: int = 6):
+        self.max_bits, self.max_all, self.small, self.dense = max_bits, max_all, small, dense
+
+    def near(self, fp, fp2, other, other2) -> np.ndarray:
+        apart = np.bitwise_count(fp ^ other)
+        ok = apart <= self.max_bits
+        if self.max_all < 128 and ok.any():
+            ok &= apart + np.bitwise_count(fp2 ^ other2) <= self.max_all
+        return ok
+
+    def breadth_first(self, fp, fp2) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of one crowded key: each node is reached once."""
+        rest, todo, a, b = np.arange(len(fp)), [], [], []
+        while len(rest):
+            if not todo:
+                todo, rest = [rest[0]], rest[1:]
+            x = todo.pop()
+            ok = self.near(fp[rest], fp2[rest], fp[x], fp2[x])
+            if ok.any():
+                found = rest[ok]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                todo.extend(found.tolist())
+                rest = rest[~ok]
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+    def square(self, fp, fp2) -> tuple[np.ndarray, np.ndarray]:
+        """All near pairs of one key by blocks of rows; the spanning forest instead when they are many."""
+        a, b, n = [], [], 0
+        for i in range(0, len(fp), 256):
+            x, y = np.nonzero(self.near(fp[i : i + 256, None], fp2[i : i + 256, None], fp[None, i:], fp2[None, i:]))
+            up = y > x
+            a.append(x[up] + i)
+            b.append(y[up] + i)
+            n += len(a[-1])
+            if n > self.dense * len(fp):
+                return self.breadth_first(fp, fp2)
+        return np.concatenate(a), np.concatenate(b)
+
+    def edges_of(self, keys, fp, fp2, node) -> pa.RecordBatch:
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
         length = np.diff(np.append(begin, len(keys)))
         a, b = [], []
-        for i in np.flatnonzero(length > small):
-            x, y = _spread_from(np.unique(values[begin[i] : begin[i] + length[i]]), max_bits)
-            a.append(x)
-            b.append(y)
-        in_small = np.repeat(length <= small, length)
-        keys, values = keys[in_small], values[in_small]
-        at = np.arange(len(keys))
-        for d in range(1, small):
-            at = at[: np.searchsorted(at, len(keys) - d)]
-            at = at[keys[at] == keys[at + d]]
+        for i, n in zip(begin[length > self.small].tolist(), length[length > self.small].tolist()):
+            x, y = self.square(fp[i : i + n], fp2[i : i + n])
+            a.append(x + i)
+            b.append(y + i)
+        of_small = np.flatnonzero(np.repeat(length <= self.small, length))
+        small_keys = keys[of_small]
+        at = np.arange(len(of_small))
+        for d in range(1, self.small):
+            at = at[: np.searchsorted(at, len(of_small) - d)]
+            at = at[small_keys[at] == small_keys[at + d]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(values[at] ^ values[at + d]) <= max_bits]
-            a.append(values[near])
-            b.append(values[near + d])
-        kept = _forest(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)) if a else []
+            x, y = of_small[at], of_small[at + d]
+            ok = self.near(fp[x], fp2[x], fp[y], fp2[y])
+            a.append(x[ok])
+            b.append(y[ok])
+        kept = _forest(node[np.concatenate(a)], node[np.concatenate(b)]) if a else []
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)]
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            values = np.concatenate([values, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(keys):
+            held = [np.concatenate([h, c.to_numpy().view(h.dtype)]) for h, c in zip(held, batch.columns)]
+            if not len(held[0]):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
             if last:
-                yield edges_of(keys[:last], values[:last])
-                keys, values = keys[last:], values[last:]
-        if len(keys):
-            yield edges_of(keys, values)
-
-    return run
+                yield self.edges_of(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield self.edges_of(*held)
 
 
-def near_edges(nodes: DataFrame, max_bits: int, hot: int = HOT) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints of ``nodes`` (column fp) that connect exactly what links of at most max_bits bits connect."""
+def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int = HOT) -> DataFrame:
+    """Edges (u, v) between ``nodes`` (node, fp, fp2) that connect exactly what links of at most max_bits bits in fp, and max_all in both, connect."""
     n = nodes.count()
     scale = 1 << 30
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) <= int(scale * min(1, SAMPLE / max(n, 1)))).select("fp").limit(2 * SAMPLE).toPandas().fp.to_numpy(np.int64).view(np.uint64)
@@ -244,22 +273,24 @@ def near_edges(nodes: DataFrame, max_bits: int, hot: int = HOT) -> DataFrame:
     if crowded.limit(1).count():
         keyed = keyed.join(crowded, "key", "left")
         size = F.ceil(F.coalesce("n", F.lit(1)) / hot).cast("int")
-        own = F.pmod(F.xxhash64("fp", F.lit(7)), size).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit(7)), size).cast("int")
         other = F.explode(F.sequence(F.lit(0), size - 1))
-        keyed = keyed.select("key", "fp", size.alias("size"), own.alias("own"), other.alias("other"))
-        keyed = keyed.select(F.when(F.col("size") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp")
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _link(max_bits), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id that links of at most max_bits differing bits reach."""
-    marked = stored(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_edges(nodes, max_bits))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(placed.join(least, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+        keyed = keyed.select("key", "fp", "fp2", "node", size.alias("size"), own.alias("own"), other.alias("other"))
+        keyed = keyed.select(F.when(F.col("size") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp", "fp2", "node")
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, max_all: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id that links reach.
+
+    Two texts link when their 64-bit fingerprints differ in at most max_bits bits; with ``max_all`` the fingerprints
+    have 128 bits, which must differ in at most max_all besides.
+    """
+    marked = stored(fingerprints(docs, shingle_words, max_all is not None), "fingerprints")
+    nodes = stored(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    roots = components(near_edges(nodes, max_bits, 128 if max_all is None else max_all)).withColumnRenamed("node", "of")
+    named = stored(nodes.join(roots, nodes.node == roots.of, "left").select(F.col("fp").alias("a"), F.col("fp2").alias("b"), F.coalesce("root", "node").alias("component_id")), "named")
+    return marked.join(named, (marked.fp == named.a) & (marked.fp2 == named.b), "left").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
