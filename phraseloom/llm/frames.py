@@ -58,6 +58,18 @@ def map_blocks(docs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     return map_arrow(docs, run, schema)
 
 
+def filter_blocks(docs: DataFrame, keep: Callable) -> DataFrame:
+    """The rows for which ``keep(data, borders)`` is true, with all columns; a frame without shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, borders in blocks(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep(data, borders)))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontaminate
 from .language_id import op2_language_id
 from .licenses import op7_license_scan
 from .mixing import OP3_SQL, op3_mix_sources
@@ -12,6 +13,7 @@ from .token_files import op8_token_files
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
