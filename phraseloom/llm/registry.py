@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chroma import op9_chroma_fingerprints
 from .decontaminate import op1_decontaminate
 from .language_id import op2_language_id
 from .licenses import op7_license_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_token_files": op8_token_files,
+    "op9_chroma_fingerprints": op9_chroma_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
 

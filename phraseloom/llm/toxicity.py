@@ -191,6 +191,12 @@ def _counts(data: np.ndarray, borders: np.ndarray, symbol: Symbols) -> np.ndarra
     return out
 
 
+def scores(data: np.ndarray, borders: np.ndarray, symbol: Symbols, weights: Logistic) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of readings of each document."""
+    counts = _counts(data, borders, symbol)
+    return weights.predict(np.log1p(counts)), counts.sum(axis=1).astype(np.int64)
+
+
 def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> tuple[list[str], list[str]]:
     """Words, and beginnings of words, that stand in many contexts in toxic rows and in few others; from columns text and toxic."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -229,8 +235,7 @@ class ToxicityModel:
         symbol, weights = self.symbol, self.weights
 
         def kernel(rows, data, borders):
-            counts = _counts(data, borders, symbol)
-            return [rows.column(0), weights.predict(np.log1p(counts)), counts.sum(axis=1).astype(np.int64)]
+            return [rows.column(0), *scores(data, borders, symbol, weights)]
 
         return map_blocks(texts_of(docs), kernel, "doc_id long, score double, n_readings long")
 
