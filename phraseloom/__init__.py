@@ -1,0 +1 @@
+"""Positional text search and text-index analytics on PySpark."""
