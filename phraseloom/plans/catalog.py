@@ -144,13 +144,13 @@ def doc_lists(c, spark, sf):
     return c.postings.join(search.exploded(patterns(spark, sf)).select("pid", "term").distinct(), "term").select("pid", "term", "doc_id")
 
 
-@query(f"WITH {TOK}, {PAT}, {POST}, probe AS (SELECT DISTINCT pid, term, pid * 3 AS at FROM pt) SELECT q.pid, q.term, q.at, min(p.doc_id) AS successor, coalesce(min(p.doc_id) = q.at, false) AS found FROM probe q LEFT JOIN post p ON p.term = q.term AND p.doc_id >= q.at GROUP BY q.pid, q.term, q.at")
+@query(f"WITH {TOK}, {PAT}, {POST}, probe AS (SELECT DISTINCT pid, term, pid * 3 AS at FROM pt) SELECT q.pid, q.term, q.at, coalesce(min(p.doc_id), -1) AS successor, coalesce(min(p.doc_id) = q.at, false) AS found FROM probe q LEFT JOIN post p ON p.term = q.term AND p.doc_id >= q.at GROUP BY q.pid, q.term, q.at")
 def postings_successor(c, spark, sf):
-    """Skip: the first document of a list at or after a place."""
+    """Skip: the first document of a list at or after a place, -1 past its end."""
     probe = search.exploded(patterns(spark, sf)).select("pid", "term", (F.col("pid") * 3).alias("at")).distinct()
     after = c.postings.select(F.col("term").alias("t"), "doc_id")
     rows = probe.join(after, (F.col("term") == F.col("t")) & (F.col("doc_id") >= F.col("at")), "left")
-    return rows.groupBy("pid", "term", "at").agg(F.min("doc_id").alias("successor")).withColumn("found", F.coalesce(F.col("successor") == F.col("at"), F.lit(False)))
+    return rows.groupBy("pid", "term", "at").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("successor")).withColumn("found", F.coalesce(F.col("successor") == F.col("at"), F.lit(False)))
 
 
 @query(f"WITH {TOK}, {POST}, {STATS}, {FREQUENT} SELECT a.doc_id AS v FROM post a JOIN post b ON a.doc_id = b.doc_id WHERE a.term = (SELECT min(term) FROM freq) AND b.term = (SELECT max(term) FROM freq)")
@@ -290,9 +290,9 @@ def relnextword_encoding(c, spark, sf):
     return layouts.relative(c.bigram_positions, ["t1", "t2"])
 
 
-@query(f"WITH {TOK}, {POST} SELECT term, doc_id, lag(doc_id) OVER w AS previous_doc, lead(doc_id) OVER w AS next_doc FROM post WHERE term IN ('the', 'de', 'und', 'que') WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
+@query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WHERE term IN ('the', 'de', 'und', 'que') WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
 def document_listing(c, spark, sf):
-    """Each document of a word's list once, with its neighbours in the list.
+    """Each document of a word's list once, with its neighbours in the list (-1 at the ends).
 
     Neighbours come from range-partitioned runs of (term, doc_id): the window runs inside a slice of documents, and borders meet through the
     slices' first and last documents.
@@ -303,7 +303,7 @@ def document_listing(c, spark, sf):
     outer = Window.partitionBy("term").orderBy("s")
     edges = edges.select("term", "s", F.lag("hi").over(outer).alias("before"), F.lead("lo").over(outer).alias("after"))
     near = lists.select("term", "s", "doc_id", F.lag("doc_id").over(inner).alias("p"), F.lead("doc_id").over(inner).alias("n")).join(edges, ["term", "s"])
-    return near.select("term", "doc_id", F.coalesce("p", "before").alias("previous_doc"), F.coalesce("n", "after").alias("next_doc"))
+    return near.select("term", "doc_id", F.coalesce("p", "before", F.lit(-1)).alias("previous_doc"), F.coalesce("n", "after", F.lit(-1)).alias("next_doc"))
 
 
 # --- workload ------------------------------------------------------------------------------------
