@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phraseloom.llm import stages
-from phraseloom.llm.components import stored
+from phraseloom.sources.store import written as stored
 
 STAGES = [
     ("toxicity", stages.drop_toxic),

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import stored
+from ..sources.store import written as stored
 from .frames import map_arrow
 
 MIN_VOTES = 2

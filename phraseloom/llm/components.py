@@ -9,18 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import shared_folder
+from ..sources.store import written as stored
 
 MAX_STEPS = 100
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read again."""
-    spark, path = frame.sparkSession, shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v).  Large: every larger neighbour of u is linked to the least of u and its neighbours; small: every smaller one and u."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -16,6 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import checkpoint_root, written
 from .textkernel import blocks
 
 
@@ -78,23 +79,8 @@ def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one becomes that setting only where it is unset (tests, local mode)."""
-    root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='phraseloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    """A new folder below ``spark.checkpoint.dir``."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -136,6 +122,15 @@ def hashed_sample(rows: DataFrame, most: int, key: str = "doc_id", seed: int = 1
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(scale)) < int(scale * most / there))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and the 0/1 label of about ``most`` labelled rows.
+
+    The labels are sampled first, so what is broadcast is bounded and no text is shuffled; the rows found are written, as they are read several times.
+    """
+    chosen = hashed_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).where(F.col(label).isin(0, 1)), most)
+    return written(texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label), "labelled")
+
+
 def sums_by(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive borders; 0 for empty ranges."""
     prefix = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)

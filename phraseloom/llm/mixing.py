@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import stored
+from ..sources.store import written as stored
 from .frames import map_blocks, sums_by, texts_of
 from .textkernel import SPACE, word_spans
 

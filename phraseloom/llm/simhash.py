@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, stored
+from ..sources.store import written as stored
+from .components import components
 from .frames import map_arrow, map_blocks, texts_of
 from .textkernel import LOWER, mix64
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import written as stored
 from . import decontaminate, mixing, simhash, token_files, toxicity
-from .components import stored
 from .frames import filter_blocks, shared_folder
 
 SHINGLE_WORDS = 5
@@ -38,9 +38,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    copies = stored(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0"), "mix").select(F.col("doc_id").alias("id"), "copies")
-    taken = docs.join(copies, docs.doc_id.eqNullSafe(copies.id))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(docs.columns)
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = stored(copies.select(F.col("doc_id").alias("_mixed"), F.col("copies").cast("int").alias("_copies")), "mix")
+    taken = docs.join(copies, docs.doc_id.eqNullSafe(copies["_mixed"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import stored
+from ..sources.store import written as stored
 from .frames import filesystem, map_arrow, read_bytes, shared_folder, texts_of, write_bytes
 from .textkernel import SPACE, WINDOW_HASH, WINDOW_HASH_2, WORD_HASH, WORD_HASH_2, blocks, window_hashes, word_spans
 

@@ -151,5 +151,15 @@ def test_pipeline_equals_plain_version(spark):
     assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in zip(kept[4].doc_id, ids)]
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    extra = odd.withColumns({"copies": odd.n_chars, "id": odd.doc_id, "copy": odd.doc_id})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, SF)
+        assert out.columns == extra.columns and 0 < out.count() <= 3 * extra.count()
+        assert stage(spark, empty, SF).count() == 0
+    nobody = spark.createDataFrame([(None, f"some words number {i}", None, None, None) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [stage(spark, nobody, SF).count() for _, stage in corpus_pipeline.STAGES[:3]] == [3, 3, 3]
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
