@@ -22,9 +22,12 @@ them; rows without doc_id come first and can't be looked up; an empty table has
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import filesystem, map_arrow, schema_of, shared_folder, texts_of
-from .textkernel import mix64
+from .textkernel import blocks, mix64
 
 MAGIC = b"TOKSHRD1"
 PARTS = ("ids", "offsets", "slots", "sizes", "bits", "rest")
@@ -46,6 +49,8 @@ MEMO = 200_000
 GAMMA, LEVELS = 2.0, 24
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r" \s|\s |^ | $")
+#: Characters of the texts that are encoded together.
+TOGETHER = 1 << 20
 _U = np.uint64
 
 
@@ -53,41 +58,46 @@ class Encoder:
     """Texts to packed ids with a tokenizer given as JSON."""
 
     def __init__(self, tokenizer_json: str, end_id: int = END_ID, memo: int = MEMO):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have tasks of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end, self.most = np.array([end_id], self.type).tobytes(), memo
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # pieces after a space
         self.old: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        if sys.byteorder == "little":
+            code = "H" if self.type.itemsize == 2 else "I"
+            return [array(code, e.ids).tobytes() for e in found]
+        return [np.array(e.ids, self.type).tobytes() for e in found]
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > self.most:
-            self.old, self.young = self.young, {}
-        known = {w: self.old[w] for w in words if w in self.old}
-        new = [w for w in words if w not in known]
-        self.young |= known
+        """Adds pieces to the memo, from the older half of it or from the library."""
+        known = words & self.old.keys()
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        new = list(words - known)
         self.young.update(zip(new, self._encode([f" {w}" for w in new])))
 
-    def __call__(self, text: str) -> bytes:
-        """The ids with the end id, as bytes."""
-        if not text:
-            return self.end
-        head, *words = _BORDER.split(text) if _ODD.search(text) else text.split(" ")
-        found = list(map(self.young.get, words))
-        if None in found:
-            missing = {w for w, f in zip(words, found) if f is None}
-            if len(missing) > self.most:  # more new words in one text than the memo holds
-                return self._encode([text])[0] + self.end
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id, as bytes."""
+        split = [_BORDER.split(t) if _ODD.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        heads, met = self._encode([w[0] for w in split]), set()
+        for words in split:
+            del words[0]
+            met.update(words)
+        missing = met - self.young.keys()
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, met
+        if missing:
             self._learn(missing)
-            found = [self.young.get(w) or f for w, f in zip(words, found)]
-            if None in found:  # the memo was renewed meanwhile
-                self._learn(set(words))
-                found = list(map(self.young.get, words))
-        return self._encode([head])[0] + b"".join(found) + self.end
+        get = self.young.__getitem__
+        return [head + b"".join(map(get, words)) + self.end for head, words in zip(heads, split)]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -239,11 +249,12 @@ def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 state = [number, fs.open_output_stream(path), fs, uri, [], 0, []]
                 state[1].write(MAGIC)
-            packed = [encode(t) for t in batch.column(1).to_pylist()]
-            state[1].write(b"".join(packed))
             state[4].append(batch.column(0).drop_null().to_numpy())
             state[5] += batch.column(0).null_count
-            state[6].append(np.fromiter(map(len, packed), np.int64, len(packed)) // encode.type.itemsize)
+            for lo, hi, _, _ in blocks(batch.column(1), TOGETHER):
+                packed = encode.many(batch.column(1).slice(lo, hi - lo).to_pylist())
+                state[1].write(b"".join(packed))
+                state[6].append(np.fromiter(map(len, packed), np.int64, len(packed)) // encode.type.itemsize)
         if state:
             yield close()
 
