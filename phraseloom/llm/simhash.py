@@ -35,10 +35,12 @@ from .components import components
 from .frames import map_arrow, map_blocks, texts_of
 from .textkernel import LOWER, mix64
 
-SAMPLE = 3_000
+SAMPLE = 1_500
+#: Fewest bits of a partition: fewer would make every bucket hold a fixed share of all nodes.
+MIN_WIDTH = 9
 HOT = 4_096
 #: Relative costs of a signature that is shuffled and sorted, and of a candidate pair that is compared.
-SIGNATURE_COST, CANDIDATE_COST = 2.0, 0.05
+SIGNATURE_COST, CANDIDATE_COST = 4.0, 0.008
 _LOWER = bytes(LOWER)
 #: The bits of a byte, first the highest, as counters in the bytes of a word.
 _SPREAD = np.array([sum(((b >> (7 - lane)) & 1) << (8 * lane) for lane in range(8)) for b in range(256)], dtype=np.uint64)
@@ -118,7 +120,7 @@ def partitions(both: np.ndarray, n: int, m: int) -> list[list[int]]:
 def plan(both: np.ndarray, n: int, sample: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """(mask, threshold) of the partitions, by the dynamic program over estimated costs."""
     best = None
-    for m in range(max(1, max_bits // 3), max_bits + 2):
+    for m in range(max(1, max_bits // 3), min(max_bits + 1, 64 // MIN_WIDTH) + 1):
         rows, masks = {0: (0.0, [])}, [sum(1 << b for b in g) for g in partitions(both, n, m)]
         for mask in masks:
             own = sample & np.uint64(mask)
