@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import Logistic, fit_logistic
-from .frames import crc_rest, hashed_sample, map_blocks, texts_of
+from .frames import crc_rest, hashed_sample, labelled_rows, map_blocks, texts_of
 
 DICT_ROWS = 1_500
 DICT_BYTES = 112_640
@@ -114,7 +114,7 @@ def train(rows: DataFrame) -> QualityModel:
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = crc_rest(F.col("doc_id"), 3) == 1
-    model = train(docs.select("doc_id", "text").where(~held_out).join(labels.where(~held_out), "doc_id"))
+    model = train(labelled_rows(docs, labels.where(~held_out), "quality", FIT_ROWS))
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import Logistic, fit_logistic
-from .frames import crc_rest, hashed_sample, map_blocks, texts_of
+from .frames import crc_rest, hashed_sample, labelled_rows, map_blocks, texts_of
 from .textkernel import ALNUM, LOWER, WORD_HASH, word_spans
 
 TRAIN_ROWS = 16_000
@@ -254,9 +254,8 @@ def train(rows: DataFrame) -> ToxicityModel:
 
 def labelled(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Rows from which toxicity may be learned."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    learn = crc_rest(F.col("doc_id"), 4) != 2
-    return docs.select("doc_id", "text").where(learn).join(labels.where(learn), "doc_id")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_rest(F.col("doc_id"), 4) != 2)
+    return labelled_rows(docs, labels, "toxic", TRAIN_ROWS)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
