@@ -12,7 +12,7 @@ one look-up, whatever the size of the shard.  The shard of a key is found in the
 
 Encoding: a text is cut at single spaces between two other characters.  The tokenizer never joins what stands on two sides of
 such a border, so the pieces' ids, put together, are the text's ids, and a bounded memo of pieces saves encoding the same
-piece again.  Pieces are encoded by the library.
+piece again.  Pieces are encoded by the library; a new piece of plain letters goes straight to its BPE model, which skips what only whole texts need.
 
 Tasks write under names of their own and only files named by the finished tasks enter the manifest, so lost executors leave no
 half shard.  Defined cases: null and empty texts are just the end id; rows with equal doc_id lie side by side and their key finds all of
@@ -24,13 +24,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +38,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import filesystem, map_arrow, schema_of, shared_folder, texts_of
-from .textkernel import blocks, mix64
+from .textkernel import WORD_HASH, WORD_HASH_2, blocks, mix64
 
 MAGIC = b"TOKSHRD1"
 PARTS = ("ids", "offsets", "slots", "sizes", "bits", "rest")
 END_ID = 2
-MEMO = 200_000
+MEMO = 600_000
 #: Bits a key of the levels of the minimal perfect hash, and their number.
 GAMMA, LEVELS = 2.0, 24
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s |^ | $")
+#: A space and letters of Latin alphabets (U+0041 to U+024F, without signs), in UTF-8, up to the end of the piece, punctuation or a line break.
+_LETTERS = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+(?=[\n!-/:-@\[-`{-~]|\Z)")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The byte-level alphabet: bytes that show stand for themselves, the others are numbered from 256 on.
+_ALPHABET = {b: b if b in _SHOWN else 256 + sum(c not in _SHOWN for c in range(b)) for b in range(256)}
 #: Characters of the texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 21
 _U = np.uint64
 
 
+class _Memo:
+    """Ids of pieces by hash: sorted hashes, a second hash that must agree, and runs in one array of ids."""
+
+    def __init__(self, dtype):
+        self.keys = np.zeros(0, np.uint64)
+        self.marks = np.zeros(0, np.uint64)
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def find(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.marks[at] == marks), at, -1)
+
+    def add(self, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Adds entries with new keys; ``ids`` holds their runs one after the other."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        start = len(self.ids) + np.cumsum(length) - length
+        self.keys, self.marks, self.start, self.length = (np.insert(own, at, new[order]) for own, new in ((self.keys, keys), (self.marks, marks), (self.start, start), (self.length, length)))
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _runs(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs ids[start : start + length], one after the other."""
+    ends = np.cumsum(length)
+    return ids[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Texts to packed ids with a tokenizer given as JSON."""
+    """Texts to ids with a tokenizer given as JSON."""
 
     def __init__(self, tokenizer_json: str, end_id: int = END_ID, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores have tasks of their own
@@ -63,41 +95,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.end, self.most = np.array([end_id], self.type).tobytes(), memo
-        self.young: dict[str, bytes] = {}  # pieces after a space
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        if sys.byteorder == "little":
-            code = "H" if self.type.itemsize == 2 else "I"
-            return [array(code, e.ids).tobytes() for e in found]
-        return [np.array(e.ids, self.type).tobytes() for e in found]
-
-    def _learn(self, words: set[str]) -> None:
-        """Adds pieces to the memo, from the older half of it or from the library."""
-        known = words & self.old.keys()
-        self.young.update(zip(known, map(self.old.__getitem__, known)))
-        new = list(words - known)
-        self.young.update(zip(new, self._encode([f" {w}" for w in new])))
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, as bytes."""
-        split = [_BORDER.split(t) if _ODD.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        heads, met = self._encode([w[0] for w in split]), set()
-        for words in split:
-            del words[0]
-            met.update(words)
-        missing = met - self.young.keys()
-        if len(self.young) + len(missing) > self.most:
-            self.old, self.young, missing = self.young, {}, met
-        if missing:
-            self._learn(missing)
-        get = self.young.__getitem__
-        return [head + b"".join(map(get, words)) + self.end for head, words in zip(heads, split)]
+        self.end, self.most = end_id, memo
+        self.young, self.old = _Memo(self.type), _Memo(self.type)
+        self.tails: dict[bytes, list[int]] = {}  # what follows the letters of a piece
+        set_up = json.loads(tokenizer_json)
+        split = set_up.get("pre_tokenizer") or {}
+        #: A byte-level BPE that splits by the usual pattern: letters after a space are one word of its model.
+        self.plain = not set_up.get("normalizer") and set_up["model"].get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces, by the model for a space and letters at the start of a piece, else by the whole library."""
+        out, hard, tokenize, tails = [], [], self.tokenizer.model.tokenize, self.tails
+        if len(tails) > self.most // 8:
+            tails.clear()
+        for k, piece in enumerate(pieces):
+            found = self.plain and _LETTERS.match(piece)
+            if not found:
+                out.append(None)
+                hard.append(k)
+                continue
+            ids = [t.id for t in tokenize(found[0].decode("latin-1").translate(_ALPHABET))]
+            if tail := piece[found.end() :]:
+                if tail not in tails:
+                    tails[tail] = self.tokenizer.encode(tail.decode("utf-8"), add_special_tokens=False).ids
+                ids += tails[tail]
+            out.append(ids)
+        for k, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[k].decode("utf-8") for k in hard], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def many(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between the borders, each with the end id, one after the other, and the number of each text's ids."""
+        n, texts = len(data), np.flatnonzero(np.diff(borders) > 0)
+        space, text_start, begins = _spaces(data), np.zeros(n + 1, bool), np.zeros(n, bool)
+        text_start[borders] = True
+        begins[borders[texts]] = True
+        cut = np.flatnonzero(data[1:-1] == 0x20) + 1 if n > 2 else np.zeros(0, np.int64)
+        begins[cut[~(space[cut - 1] | space[cut + 1] | text_start[cut] | text_start[cut + 1])]] = True  # a text's first or last character is no border
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], n)[: len(starts)]
+        owner = np.searchsorted(borders, starts, side="right") - 1
+        keys, marks = (h.words(data, starts, ends) if len(starts) else np.zeros(0, np.uint64) for h in (WORD_HASH, WORD_HASH_2))
+        keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        marks = marks[first]
+        if len(self.young.keys) + len(keys) > self.most:
+            self.old, self.young = self.young, _Memo(self.type)
+        for known in (self.old, None):
+            new = np.flatnonzero(self.young.find(keys, marks) < 0)
+            if known:
+                at = known.find(keys[new], marks[new])
+                new, at = new[at >= 0], at[at >= 0]
+                if len(new):
+                    self.young.add(keys[new], marks[new], _runs(known.ids, known.start[at], known.length[at]), known.length[at])
+            elif len(new):
+                raw, at = data.tobytes(), first[new]
+                found = self._encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+                length = np.fromiter(map(len, found), np.int64, len(found))
+                self.young.add(keys[new], marks[new], np.fromiter(chain.from_iterable(found), self.type, int(length.sum())), length)
+        at = self.young.find(keys, marks)[place]
+        length = self.young.length[at]
+        total = np.bincount(owner, weights=length, minlength=len(borders) - 1).astype(np.int64) + 1
+        out = np.full(int(total.sum()), self.end, self.type)
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(total) - 1] = False
+        out[keep] = _runs(self.young.ids, self.young.start[at], length)
+        return out, total
 
     def __call__(self, text: str | None) -> bytes:
-        return self.many([text])[0]
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return self.many(raw, np.array([0, len(raw)]))[0].tobytes()
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Bytes that belong to a white-space character or might."""
+    space = (data <= 0x20) | (data == 0x7F)
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        three = data[np.minimum(lead[:, None] + np.arange(3), len(data) - 1)].astype(np.int64)
+        two = three[:, 0] * 256 + three[:, 1]
+        wide = (two == 0xC2A0) | (two == 0xC285) | (two == 0xE280) | (two == 0xE281) | (two == 0xE380) | (two == 0xE19A)
+        for k in range(3):
+            space[np.minimum(lead[wide] + k, len(data) - 1)] = True
+    return space
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -251,10 +330,10 @@ def write_shards(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
                 state[1].write(MAGIC)
             state[4].append(batch.column(0).drop_null().to_numpy())
             state[5] += batch.column(0).null_count
-            for lo, hi, _, _ in blocks(batch.column(1), TOGETHER):
-                packed = encode.many(batch.column(1).slice(lo, hi - lo).to_pylist())
-                state[1].write(b"".join(packed))
-                state[6].append(np.fromiter(map(len, packed), np.int64, len(packed)) // encode.type.itemsize)
+            for _, _, data, borders in blocks(batch.column(1), TOGETHER):
+                ids, lengths = encode.many(data, borders)
+                state[1].write(ids.tobytes())
+                state[6].append(lengths)
         if state:
             yield close()
 

@@ -82,6 +82,17 @@ def test_pieces_put_together_are_the_whole_encoding():
     assert [np.frombuffer(encode(t), encode.type).tolist() for t in texts] == encoded(texts)
 
 
+def test_pieces_of_many_texts():
+    rng, encode = random.Random(2), token_files.Encoder(token_files.tokenizer_json(), memo=300)
+    parts = [" ", "  ", "\n", "word", "b's", "é", "12", ".", " ", "\u3000", " \u2028", "ñandú", "Ünï", "ǅ", "×", "\x85", "x "]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(40)]
+        raw = [t.encode() for t in texts]
+        borders = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        ids, lengths = encode.many(np.frombuffer(b"".join(raw), np.uint8), borders)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == encoded(texts)
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 1_000, 30_000):
         keys = np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.int64)).view(np.uint64)
