@@ -5,9 +5,11 @@ pitch classes; the frames are normalised, so loudness doesn't matter.  Over the
 any rectangle's sum in four look-ups; 16 rectangle filters, each quantised to two bits (Gray code), give one packed 32-bit code for
 every filter position.
 
-Search: recordings with equal codes are one class.  Each pair of consecutive codes is a key; a query class and another class that share
-keys vote for an offset between them, the offset with most votes (``MIN_VOTES`` at least) aligns the two, and the share of differing bits over
-the aligned codes decides (``MAX_BIT_ERROR``).  Votes are summed before their shuffle, and copies don't multiply them.
+Search: recordings with equal codes are one class.  A query class and another class are compared at every offset that aligns at least
+``MIN_VOTES`` + 1 codes (room for that many keys of two consecutive codes), and link when the share of differing bits over the aligned codes
+is at most ``MAX_BIT_ERROR`` at one of them.  The search is exact: no key has to agree.  Query codes are broadcast in slices of about ``SLICE_BYTES``, the
+comparison runs in numpy, and one row for each query leaves a batch, so neither pairs nor keys are shuffled.  The best offset, and the best match, is
+the one whose errors stay furthest below the allowed number of bits, so a long alignment outweighs a short one; its votes are its equal keys.
 
 Queries are the rows whose id is divisible by 50, against all rows.
 
@@ -27,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import written as stored
-from .frames import map_arrow
+from .frames import map_arrow, schema_of
 
 MIN_VOTES = 2
 MAX_BIT_ERROR = 0.2
 QUERY_EVERY = 50
+#: Bytes of query codes that are broadcast at a time, and code pairs that are compared at a time.
+SLICE_BYTES = 4 << 20
+PAIR_CELLS = 1 << 20
 PITCHES = 12
 #: Log-ratio borders of the four levels of a filter.
 LEVELS = (-0.35, 0.0, 0.35)
@@ -123,48 +128,91 @@ def fingerprints(media: DataFrame, id_column: str, samples: str, audio: Audio) -
     return map_arrow(media.select(F.col(id_column).cast("long").alias("id"), F.col(samples).cast("array<double>").alias("samples")), run, "id long, codes binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, node, frame) of consecutive codes."""
+def _margins(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(margin, shift, votes, errors, aligned codes) of the best offset of each pair of codes a (queries x n) and b (others x m).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [np.frombuffer(c, "<u4").astype(np.int64) for c in batch.column(1).to_pylist()]
-            n = np.array([max(len(a) - 1, 0) for a in arrays], np.int64)
-            keys = np.concatenate([(a[:-1] << 32) | a[1:] for a in arrays]) if len(arrays) else np.zeros(0, np.int64)
-            frame = np.concatenate([np.arange(k) for k in n]).astype(np.int32) if len(arrays) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(frame)], ["key", "node", "frame"])
-
-    return map_arrow(classes.select("node", "codes"), run, "key long, node long, frame int")
-
-
-def _bit_errors(pairs: DataFrame) -> DataFrame:
-    """Adds the share of differing bits to (q, m, shift, votes, a, b): code i of a stands beside code i + shift of b."""
+    All offsets that leave room for ``MIN_VOTES`` keys are compared, bit by bit; the margin is negative where none is within ``MAX_BIT_ERROR``.
+    """
+    n, m, least = a.shape[1], b.shape[1], MIN_VOTES + 1
+    best = [np.full((len(a), len(b)), fill, t) for fill, t in ((-1.0, np.float64), (0, np.int32), (0, np.int64), (0, np.int64), (1, np.int64))]
+    for shift in range(least - n, m - least + 1):
+        lo, hi = max(0, -shift), min(n, m - shift)
+        differ = a[:, None, lo:hi] ^ b[None, :, lo + shift : hi + shift]
+        errors = np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
+        margin = np.where(errors / (32 * (hi - lo)) <= MAX_BIT_ERROR, MAX_BIT_ERROR * 32 * (hi - lo) - errors + 1e-6, -1.0)
+        better = margin > best[0] + 1e-9
+        if better.any():
+            equal = differ[better] == 0
+            for held, found in zip(best, (margin[better], shift, (equal[:, 1:] & equal[:, :-1]).sum(axis=1), errors[better], hi - lo)):
+                held[better] = found
+    return tuple(best)
+
+
+_LINKED = "q long, n_links long, margin double, m long, shift int, votes long, bit_error double"
+
+
+def _links(classes: DataFrame, asked: list[tuple[int, bytes]]) -> DataFrame:
+    """For the query classes ``asked`` (node, codes): how many of a batch's other classes align with each, and the best of them."""
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for node, own in asked:
+        by_size.setdefault(len(own) // 4, []).append((node, np.frombuffer(own, "<u4")))
+    queries = [(np.array([q for q, _ in x], np.int64), np.stack([c for _, c in x])) for x in by_size.values()]
+    sent = classes.sparkSession.sparkContext.broadcast(queries)
+    target = schema_of(classes.sparkSession, _LINKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            errors = []
-            for shift, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 4, 5))):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                lo, hi = max(0, -shift), min(len(a), len(b) - shift)
-                errors.append(float(np.bitwise_count(a[lo:hi] ^ b[lo + shift : hi + shift]).sum()) / (32 * max(hi - lo, 1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(errors, pa.float64())], ["q", "m", "shift", "votes", "bit_error"])
-
-    return map_arrow(pairs.select("q", "m", "shift", "votes", "a", "b"), run, "q long, m long, shift int, votes long, bit_error double")
+            nodes, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = np.array([len(c) // 4 for c in raw], np.int64)
+            for size in np.unique(sizes).tolist():
+                of = np.flatnonzero(sizes == size)
+                step = max(1, PAIR_CELLS // (64 * size))
+                for lo in range(0, len(of), step):
+                    at = of[lo : lo + step]
+                    b = np.stack([np.frombuffer(raw[i], "<u4") for i in at])
+                    order = np.argsort(nodes[at])
+                    at, b = at[order], b[order]
+                    for ids, a in sent.value:
+                        rows = []
+                        for k in range(0, len(ids), 64):
+                            margin, shift, votes, errors, aligned = _margins(a[k : k + 64], b)
+                            margin[ids[k : k + 64, None] == nodes[None, at]] = -1.0
+                            linked = (margin >= 0).sum(axis=1)
+                            for i in np.flatnonzero(linked).tolist():
+                                j = int(np.argmax(margin[i] >= margin[i].max() - 1e-9))  # the least node of equal ones
+                                rows.append((ids[k + i], linked[i], round(float(margin[i, j]), 6), nodes[at[j]], shift[i, j], votes[i, j], errors[i, j] / (32 * aligned[i, j])))
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
+    return map_arrow(classes.select("node", "codes"), run, _LINKED)
+
+
+def _slices(rows: Iterator, limit: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The rows (node, codes) in lists of about ``limit`` bytes."""
+    held, size = [], 0
+    for r in rows:
+        held.append((r.node, bytes(r.codes)))
+        size += len(held[-1][1])
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def align(media: DataFrame, id_column: str, samples: str, audio: Audio = Audio(), every: int = QUERY_EVERY) -> DataFrame:
     """A row for each recording: id, class_id (least id with equal codes), n_codes, is_query, and for rows of classes that hold a query:
-    n_links (other classes aligned with it), best_match (class_id), shift, votes and bit_error of the best one."""
+    n_links (other classes aligned with it), best_match (class_id), shift, votes (equal keys) and bit_error of the best one."""
     marked = stored(fingerprints(media, id_column, samples, audio), "codes")
     query = F.coalesce(F.col("id") % every == 0, F.lit(False))
     classes = stored(marked.where("codes is not null and id is not null").groupBy("codes").agg(F.min("id").alias("node"), F.max(query).alias("asked")), "classes")
-    keys = stored(_keys(classes), "keys")
-    asked = keys.join(classes.where("asked").select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi").select("key", F.col("node").alias("q"), F.col("frame").alias("f"))
-    votes = keys.join(asked, "key").where("q <> node").groupBy("q", F.col("node").alias("m"), (F.col("frame") - F.col("f")).alias("shift")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= MIN_VOTES).groupBy("q", "m").agg(F.max(F.struct("votes", (-F.col("shift")).alias("back"))).alias("x")).select("q", "m", (-F.col("x.back")).alias("shift"), "x.votes")
-    left, right = (classes.select(F.col("node").alias(k), F.col("codes").alias(c)) for k, c in (("q", "a"), ("m", "b")))
-    links = _bit_errors(best.join(left, "q").join(right, "m")).where(F.col("bit_error") <= MAX_BIT_ERROR)
-    found = links.groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("bit_error", "m", "shift", "votes")).alias("x"))
+    found = None
+    for asked in _slices(classes.where("asked").select("node", "codes").toLocalIterator(), SLICE_BYTES):
+        part = stored(_links(classes, asked).groupBy("q").agg(F.sum("n_links").alias("n_links"), F.max(F.struct("margin", (-F.col("m")).alias("back"), (-F.col("shift")).alias("early"), "votes", "bit_error")).alias("best")), "links")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = classes.sparkSession.createDataFrame([], "q long, n_links long, best struct<margin:double,back:long,early:int,votes:long,bit_error:double>")
+    found = found.select("q", "n_links", F.struct((-F.col("best.back")).alias("m"), (-F.col("best.early")).alias("shift"), "best.votes", "best.bit_error").alias("x"))
     known = classes.join(found, classes.node == found.q, "left").select(F.col("codes").alias("c"), F.col("node").alias("class_id"), F.when(F.col("asked"), F.coalesce("n_links", F.lit(0))).alias("n_links"), F.col("x.m").alias("best_match"), "x.shift", "x.votes", "x.bit_error")
     n_codes = F.coalesce(F.length("codes") / 4, F.lit(0)).cast("long")
     return marked.join(known, marked.codes == known.c, "left").select("id", "class_id", n_codes.alias("n_codes"), query.alias("is_query"), "n_links", "best_match", "shift", "votes", "bit_error")
