@@ -1,6 +1,7 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of ``WINDOW`` words (every ``WINDOW // 2`` words) of a longer line.  A block matches a template when it holds
+A block is a line, or a window of ``WINDOW`` words (every ``WINDOW // 2`` words) of a longer line; with ``wrapped``, as in the query, also such windows
+of the whole document, so that a statement broken over lines is one block.  A block matches a template when it holds
 at least ``CONTAINMENT`` of the template's distinct words.  The join is exact: template words are put in one global
 order, rarest in the corpus first (their numbers are counted over all documents), and
 
@@ -133,8 +134,8 @@ class Join:
         return found
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = CONTAINMENT) -> DataFrame:
-    """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks."""
+def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
+    """A row for each document (``wrapped``: blocks cross line breaks too): n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks."""
     vocabulary = Vocabulary(templates)
     join = Join(count_words(docs, vocabulary), vocabulary, templates, threshold)
     wanted = [(word_hashes(p.split()), label) for p, label in phrases.items()]
@@ -164,18 +165,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
             cuts = np.flatnonzero(np.diff(lines, prepend=-1))  # the first word of each line
             hits = np.flatnonzero(known >= 0)
             hits = hits[join.prefix[join.rank[known[hits]]]]
-            line = np.searchsorted(cuts, hits, side="right") - 1
-            ends = np.append(cuts[1:], len(words))
             half, of_hit = WINDOW // 2, {}
-            for h, c in zip(hits.tolist(), line.tolist()):
-                a, b = int(cuts[c]), int(ends[c])
-                if b - a <= WINDOW:
-                    of_hit[a, b] = None
-                else:
-                    k = (h - a) // half
-                    for s in (k - 1, k):
-                        if s >= 0:
-                            of_hit[a + s * half, min(b, a + s * half + WINDOW)] = None
+            for begin in (cuts, np.unique(first[:-1][np.diff(first) > 0])) if wrapped else (cuts,):
+                ends = np.append(begin[1:], len(words))
+                for h, c in zip(hits.tolist(), (np.searchsorted(begin, hits, side="right") - 1).tolist()):
+                    a, b = int(begin[c]), int(ends[c])
+                    if b - a <= WINDOW:
+                        of_hit[a, b] = None
+                    else:
+                        k = (h - a) // half
+                        for s in (k - 1, k):
+                            if s >= 0:
+                                of_hit[a + s * half, min(b, a + s * half + WINDOW)] = None
             for a, b in of_hit:
                 block = known[a:b]
                 found = join.match(sorted(set(join.rank[block[block >= 0]].tolist())))
@@ -191,4 +192,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrapped=True)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from phraseloom.llm import chroma
+from phraseloom.llm import chroma, licenses
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +26,16 @@ def test_all_links_within_the_bit_error(spark):
         found.pop(q)
         assert r.n_links == len(found)
         assert not found or abs(found[r.best_match][r.shift] - r.bit_error) < 1e-9
+
+
+def test_wrapped_licenses(spark, tmp_path):
+    """Headers with their usual line breaks, alone and far inside a longer document, through the registered query."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License as published"
+    filler = "\n".join(f"w{i} w{i + 1} w{i + 2}" for i in range(200))
+    texts = [bsd, gpl, *(f"{' x' * k}\n{filler}\n{t}\n{filler}" for t in (bsd, gpl) for k in range(0, 64, 9)), filler]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.op7_license_scan(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts[:-1]):
+        assert ("bsd" if "forms" in text else "gpl") in got[i].labels.split(",") and got[i].n_blocks >= 1 and got[i].score >= licenses.CONTAINMENT
+    assert (got[len(texts) - 1].labels, got[len(texts) - 1].n_blocks) == ("", 0)
