@@ -14,7 +14,8 @@ after) in toxic documents and in hardly any in others; counting contexts keeps c
 Learned stems (beginnings of words, for inflected and compound forms) make a second, weaker class, ``slur``.
 
 Bounds (parameters): ``TRAIN_ROWS`` labelled rows, chosen by hash; ``MAX_LEXICON`` learned words.  Scoring reads every
-whole text and needs no shuffle; a byte-table hash look-up finds the few clauses that the machine must read.
+whole text and needs no shuffle; a byte-table hash look-up finds the few clauses that the machine must read.  It finds all that hold a reading: runs with
+characters at which the grammar ends a word or changes the case (quotes, dashes, spaces and capitals outside ASCII) are split as the grammar splits them.
 
 Defined cases: null or empty texts, and texts without a reading, get the intercept's score (about the share of toxic
 documents among those without readings).  Without labelled rows the given weights hold.  Repeated rows get equal scores; extra columns
@@ -44,6 +45,8 @@ MIN_STEM_CONTEXTS = 15
 MIN_STEM_SHARE = 0.6
 NEGATION_SPAN = 3
 THRESHOLD = 0.3
+#: Most runs outside ASCII that a task remembers.
+MAX_MEMO = 20_000
 
 # The closed word classes and the insults and threats known without labels.
 INSULTS = "idiot moron stupid loser trash scum worthless pathetic disgusting fool imbecile".split()
@@ -138,6 +141,16 @@ class Symbols:
         for stem in stems:
             by_size.setdefault(len(stem.encode()), []).append(stem)
         self.starts = {size: _hashes(own) for size, own in by_size.items()}
+        self.seen: dict[bytes, bool] = {}
+
+    def within(self, run: bytes) -> bool:
+        """Whether the grammar may find an insult, slur or threat in a run of letters, digits and bytes outside ASCII."""
+        if run not in self.seen:
+            if len(self.seen) >= MAX_MEMO:
+                self.seen.clear()
+            words = _TOKEN.findall(run.decode("utf-8", "replace").lower())
+            self.seen[run] = any(self.of.get(w) in ("insult", "threat") or w.startswith(self.stems) for w in words)
+        return self.seen[run]
 
     def __call__(self, word: str) -> str:
         return self.of.get(word) or ("slur" if any(word.startswith(s) and len(word) > len(s) for s in self.stems) else "other")
@@ -167,6 +180,12 @@ def _in(hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
     return hashes[np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)] == values
 
 
+def _outside(data: np.ndarray) -> np.ndarray:
+    """Bytes that start a character outside ASCII other than the lower-case letters U+00DF to U+00FF: it may end a word or have another case."""
+    after = np.append(data[1:], np.uint8(0))
+    return (data >= 0xC0) & ~((data == 0xC3) & (after >= 0x9F) & (after != 0xB7))
+
+
 def _counts(data: np.ndarray, borders: np.ndarray, symbol: Symbols) -> np.ndarray:
     """A row of numbers of readings, by KINDS, for each document."""
     data = LOWER[data]
@@ -177,8 +196,14 @@ def _counts(data: np.ndarray, borders: np.ndarray, symbol: Symbols) -> np.ndarra
     prefix = WORD_HASH.prefix(WORD_HASH.table[data])
     hit = _in(symbol.words, WORD_HASH.between(prefix, starts, ends))
     for size, hashes in symbol.starts.items():
-        long = np.flatnonzero(ends - starts > size)
+        long = np.flatnonzero(ends - starts >= size)  # a word goes on after an apostrophe
         hit[long] |= _in(hashes, WORD_HASH.between(prefix, starts[long], starts[long] + size))
+    odd = np.flatnonzero(_outside(data))
+    if len(odd):
+        runs = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        runs = runs[~hit[runs]]
+        raw = data.tobytes()
+        hit[runs] = [symbol.within(raw[a:b]) for a, b in zip(starts[runs].tolist(), ends[runs].tolist())]
     hits = np.flatnonzero(hit)
     if len(hits):
         where = np.searchsorted(first, hits, side="right") - 1

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from phraseloom.llm import chroma, licenses
+from phraseloom.llm import chroma, licenses, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,17 @@ def test_wrapped_licenses(spark, tmp_path):
     for i, text in enumerate(texts[:-1]):
         assert ("bsd" if "forms" in text else "gpl") in got[i].labels.split(",") and got[i].n_blocks >= 1 and got[i].score >= licenses.CONTAINMENT
     assert (got[len(texts) - 1].labels, got[len(texts) - 1].n_blocks) == ("", 0)
+
+
+def test_every_clause_with_a_reading_is_read():
+    """Typographic punctuation, spaces outside ASCII, apostrophes and capitals: the same readings as with every word looked at."""
+    symbol = toxicity.Symbols(["école", "дурак"], ["clod", "ünt"])
+    texts = ["you “idiot”", "stupid—you", "a\u00a0fool\u00a0here", "«idiot»", "moron…", "ÉCOLE you", "ДУРАК", "clod's", "you \u212aill them", "Üntold", "idiot\u0301", "été – stupid", "é—école. nothing", "plain\u2014words", "clod", "日本idiot 日本", ""]
+    raw = [t.encode() for t in texts]
+    borders = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = toxicity._counts(np.frombuffer(b"".join(raw), np.uint8), borders, symbol)
+    for text, counts in zip(texts, got):
+        own = toxicity.LOWER[np.frombuffer(text.encode(), np.uint8)].tobytes()
+        expected = toxicity.document_kinds(own, [i for i in range(len(own)) if own[i : i + 1] not in (b".", b"!", b"?", b";", b":", b"\n")], symbol)
+        assert {k: n for k, n in zip(toxicity.KINDS, counts) if n} == expected, text
+    assert got.sum() == 13
