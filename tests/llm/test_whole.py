@@ -1,8 +1,11 @@
 """Results that filters, prefixes or samples must not cut."""
 
+import random
+
+import brute
 import numpy as np
 
-from phraseloom.llm import chroma, licenses, toxicity
+from phraseloom.llm import chroma, licenses, stages, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +56,33 @@ def test_every_clause_with_a_reading_is_read():
         expected = toxicity.document_kinds(own, [i for i in range(len(own)) if own[i : i + 1] not in (b".", b"!", b"?", b";", b":", b"\n")], symbol)
         assert {k: n for k, n in zip(toxicity.KINDS, counts) if n} == expected, text
     assert got.sum() == 13
+
+
+def test_near_copies_by_shingle_similarity(spark, odd, empty):
+    """Random edits of texts, with pairs on both sides of similarity 0.8, copies, short and empty texts."""
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randint(0, 5_000)}" for _ in range(n)]
+    texts, common = [None, "", " ", "one", "ONE", "two words"], make(30)
+    for _ in range(60):
+        base = make(rng.randint(20, 300)) + common
+        for _ in range(rng.randint(1, 5)):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 35))):
+                own[rng.randrange(len(own))] = "edit" + str(rng.random())
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own = [grams(t) for t in texts]
+    prints = [brute.wide_simhash(t, 5) for t in texts]
+    same = lambda i, j: own[i] == own[j] or 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])
+    alike = lambda i, j: ((d := prints[i] ^ prints[j]) >> 64).bit_count() <= stages.PROBE_BITS and d.bit_count() <= stages.ALL_BITS
+    near = lambda i, j: same(i, j) or alike(i, j)
+    assert any(same(i, j) and not alike(i, j) for i in range(len(texts)) for j in range(i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in stages.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == set(brute.groups(list(range(len(texts))), near))
+    assert stages.drop_near_copies(spark, empty, SF).count() == 0
