@@ -463,12 +463,21 @@ def url_order_permutation(c, spark, sf):
 
 @query(f"WITH {TOK}, perm AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents) SELECT p.new_id::BIGINT AS new_id, t.pos, t.term FROM tok t JOIN perm p ON t.doc_id = p.doc_id WHERE t.pos < 5")
 def permuted_text(c, spark, sf):
-    """The first words of the documents under ids in the order of their source."""
+    """The first words of the documents under ids in the order of their source; ``permuted_text_whole`` has all words."""
+    return _permuted(c, sf, c.tokens.where("pos < 5"))
+
+
+@query(f"WITH {TOK}, perm AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents) SELECT p.new_id::BIGINT AS new_id, t.pos, t.term FROM tok t JOIN perm p ON t.doc_id = p.doc_id")
+def permuted_text_whole(c, spark, sf):
+    return _permuted(c, sf, c.tokens)
+
+
+def _permuted(c: Corpus, sf: str, rows: DataFrame) -> DataFrame:
     from ..sources.store import running_total
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", F.lit(1).alias("one"))
+    docs = c.spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", F.lit(1).alias("one"))
     perm = running_total(docs, ["source", "doc_id"], "one", "new_id", "order").select("doc_id", "new_id")
-    return c.tokens.where("pos < 5").join(perm, "doc_id").select("new_id", "pos", "term")
+    return rows.join(perm, "doc_id").select("new_id", "pos", "term")
 
 
 # --- verification --------------------------------------------------------------------------------

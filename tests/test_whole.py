@@ -1,0 +1,8 @@
+"""Queries over all words: rows that the short queries of like names leave out."""
+
+from phraseloom.plans import catalog
+
+
+def test_whole_queries_go_on_where_the_short_ones_stop(spark, data):
+    run = lambda name: catalog.QUERIES[name](spark, data)
+    assert run("permuted_text_whole").where("pos >= 5").count() > 0
