@@ -23,7 +23,7 @@ def bucket_sql(ndoc: str) -> str:
     return "CASE " + " ".join(f"WHEN {ndoc} BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi) in enumerate(BUCKETS)) + " ELSE -1 END::BIGINT"
 
 
-def gram_stats(corpus: Corpus, sizes=range(2, 4), least: int = 2) -> DataFrame:
+def gram_stats(corpus: Corpus, sizes=range(2, 11), least: int = 2) -> DataFrame:
     """m, gram, nocc, ndoc of the right-maximal n-grams (two or more different continuations) that occur ``least`` times or more."""
     parts = []
     for m in sizes:

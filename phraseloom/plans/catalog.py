@@ -14,6 +14,8 @@ from ..sources.patterns import parse_queries
 from .strategy import phrase_starts
 
 LONGEST = 4
+#: Words of the longest patterns and n-grams of the workload.
+LONGEST_OF_ALL = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -48,11 +50,11 @@ def query(sql: str) -> Callable:
     return add
 
 
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid and tokens, from the benchmark table."""
+def patterns(spark: SparkSession, sf_dir: str, longest: int = LONGEST) -> DataFrame:
+    """pid and tokens, from the benchmark table: the first 1 to ``longest`` words of every passage that has so many."""
     w = tokens.words("text")
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pid"), w.alias("w")).where(F.size("w") >= LONGEST)
-    return rows.select("pid", F.slice("w", 1, (F.col("pid") % LONGEST + 1).cast("int")).alias("tokens"))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pid"), w.alias("w")).where(F.size("w") >= longest)
+    return rows.select("pid", F.slice("w", 1, (F.col("pid") % longest + 1).cast("int")).alias("tokens"))
 
 
 def frequent(corpus: Corpus, n: int = 20) -> DataFrame:
@@ -231,6 +233,18 @@ def conjunctive_top10_json(c, spark, sf):
     return service.conjunctive_replies(c, patterns(spark, sf))
 
 
+_LONG = LONGEST_OF_ALL
+
+
+@query(
+    rf"""WITH {TOK}, pat AS (SELECT item_id AS pid, b[1:(1 + item_id % {_LONG})::INT] AS tokens FROM (SELECT item_id, regexp_extract_all(lower(text), '{tokens.PATTERN}') AS b FROM benchmark) x WHERE len(b) >= {_LONG}),
+hit AS (SELECT p.pid, t.doc_id FROM pat p JOIN tok t ON t.term = p.tokens[1] JOIN d ON d.doc_id = t.doc_id WHERE d.l[t.pos + 1:t.pos + len(p.tokens)] = p.tokens) SELECT pid, doc_id, count(*)::BIGINT AS freq FROM hit GROUP BY pid, doc_id"""
+)
+def phrase_docs_to_10(c, spark, sf):
+    """phrase_docs with patterns of 1 to 10 words."""
+    return search.frequencies(search.phrase_starts(c, patterns(spark, sf, LONGEST_OF_ALL)))
+
+
 # --- bigrams and n-grams -------------------------------------------------------------------------
 
 
@@ -259,6 +273,17 @@ e AS (SELECT 2 AS m, term || ' ' || n1 AS gram, doc_id, coalesce(n2, '') AS nx F
 SELECT m::BIGINT AS m, gram, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, gram HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2"""
 )
 def ngram_stats(c, spark, sf):
+    """The n-grams of 2 and 3 words; ``ngram_stats_to_10`` has all sizes."""
+    return workload.gram_stats(c, range(2, 4))
+
+
+@query(
+    f"WITH {TOK}, e AS ("
+    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, array_to_string(d.l[t.pos + 1:t.pos + {m}], ' ') AS gram, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST_OF_ALL + 1))
+    + ") SELECT m, gram, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, gram HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2"
+)
+def ngram_stats_to_10(c, spark, sf):
+    """All right-maximal n-grams of 2 to 10 words."""
     return workload.gram_stats(c)
 
 
