@@ -315,14 +315,13 @@ def relnextword_encoding(c, spark, sf):
     return layouts.relative(c.bigram_positions, ["t1", "t2"])
 
 
-@query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WHERE term IN ('the', 'de', 'und', 'que') WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
-def document_listing(c, spark, sf):
+def _listing(postings: DataFrame) -> DataFrame:
     """Each document of a word's list once, with its neighbours in the list (-1 at the ends).
 
     Neighbours come from range-partitioned runs of (term, doc_id): the window runs inside a slice of documents, and borders meet through the
     slices' first and last documents.
     """
-    lists = c.postings.where(F.col("term").isin("the", "de", "und", "que")).select("term", "doc_id").withColumn("s", F.floor(F.col("doc_id") / 4_096))
+    lists = postings.select("term", "doc_id").withColumn("s", F.floor(F.col("doc_id") / 4_096))
     inner = Window.partitionBy("term", "s").orderBy("doc_id")
     edges = lists.groupBy("term", "s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     outer = Window.partitionBy("term").orderBy("s")
@@ -331,6 +330,17 @@ def document_listing(c, spark, sf):
     return near.select("term", "doc_id", F.coalesce("p", "before", F.lit(-1)).alias("previous_doc"), F.coalesce("n", "after", F.lit(-1)).alias("next_doc"))
 
 
+@query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WHERE term IN ('the', 'de', 'und', 'que') WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
+def document_listing(c, spark, sf):
+    """Each document of four words' lists once, with its neighbours in the list; ``document_listing_all`` has every word."""
+    return _listing(c.postings.where(F.col("term").isin("the", "de", "und", "que")))
+
+
+@query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
+def document_listing_all(c, spark, sf):
+    return _listing(c.postings)
+
+
 # --- workload ------------------------------------------------------------------------------------
 
 
@@ -375,9 +385,15 @@ _FROM = "FROM post p JOIN stats s ON p.term = s.term JOIN docs_t k ON p.doc_id =
 
 @query(f"{_SCORED}, {FREQUENT} SELECT p.term, p.doc_id, p.tf, round({_BM25}, 6) AS score {_FROM} WHERE p.term IN (SELECT term FROM freq)")
 def bm25_scores(c, spark, sf):
+    """The postings of the 20 most frequent words; ``bm25_scores_all`` has every posting."""
     return ranking.scores(c, frequent(c)).withColumn("score", F.round("score", 6))
 
 
+@query(f"{_SCORED} SELECT p.term, p.doc_id, p.tf, round({_BM25}, 6) AS score {_FROM}")
+def bm25_scores_all(c, spark, sf):
+    return ranking.scores(c).withColumn("score", F.round("score", 6))
+
+
 @query(f"{_SCORED} SELECT p.term, round(max({_BM25}), 6) AS max_score, 0.0::DOUBLE AS max_doc_weight {_FROM} GROUP BY p.term")
 def wand_bounds(c, spark, sf):
     return ranking.bounds(c).withColumn("max_score", F.round("max_score", 6))

@@ -7,4 +7,6 @@ def test_whole_queries_go_on_where_the_short_ones_stop(spark, data):
     run = lambda name: catalog.QUERIES[name](spark, data)
     assert run("permuted_text_whole").where("pos >= 5").count() > 0
     assert {r.m for r in run("ngram_stats_to_10").select("m").distinct().collect()} == set(range(2, 11))
+    postings = run("inverted_index").count()
+    assert run("bm25_scores_all").count() == run("document_listing_all").count() == postings
     assert max(len(r.tokens) for r in catalog.patterns(spark, data, catalog.LONGEST_OF_ALL).collect()) == 10
