@@ -5,7 +5,7 @@ each; the normalised difference of the two sizes, with the sizes themselves per
 a logistic calibration fitted on labelled rows.
 
 Bounds (parameters): ``DICT_ROWS`` rows per class, of which ``SLICE`` bytes from the middle and the end are dictionary
-samples, and ``FIT_ROWS`` rows for the calibration, whose size pairs only come to the driver.  Scoring reads every
+samples (drawn by a hash of their own, so as many at every size), and ``FIT_ROWS`` rows for the calibration, whose size pairs only come to the driver.  Scoring reads every
 whole text, without a shuffle.
 
 Defined cases: a null or empty text gets the share of good rows in the fit; when one class has no row, or too few
@@ -100,7 +100,7 @@ def train(rows: DataFrame) -> QualityModel:
         cut = F.encode("text", "UTF-8")
         middle, end = F.floor(F.length(cut) / 2).cast("int"), F.length(cut)
         piece = F.when(end <= SLICE, cut).otherwise(F.concat(F.substring(cut, middle + 1, F.lit(SLICE)), F.substring(cut, end - SLICE + 1, F.lit(SLICE))))
-        texts[label] = [bytes(r.piece) for r in hashed_sample(own, DICT_ROWS).select("doc_id", piece.alias("piece")).orderBy("doc_id").collect()]
+        texts[label] = [bytes(r.piece) for r in hashed_sample(own, DICT_ROWS, seed=3).select("doc_id", piece.alias("piece")).orderBy("doc_id").collect()]
     split = {k: [p for t in v for p in ([t] if len(t) < 2 * SLICE else [t[:SLICE], t[SLICE:]])] for k, v in texts.items()}
     pair = dictionary(split[1]), dictionary(split[0])
     seen = sum(map(len, texts.values()))

@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 
-from phraseloom.llm import chroma, licenses, stages, toxicity
+from phraseloom.llm import chroma, frames, licenses, quality, stages, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +86,13 @@ def test_near_copies_by_shingle_similarity(spark, odd, empty):
     kept = {r.doc_id for r in stages.drop_near_copies(spark, docs, SF).collect()}
     assert kept == set(brute.groups(list(range(len(texts))), near))
     assert stages.drop_near_copies(spark, empty, SF).count() == 0
+
+
+def test_dictionary_rows_do_not_grow_with_the_labels(spark, monkeypatch):
+    """Rows that are themselves a sample by hash are sampled again for the dictionaries."""
+    seen = []
+    monkeypatch.setattr(quality, "DICT_ROWS", 50)
+    monkeypatch.setattr(quality, "dictionary", lambda texts: seen.append(len(texts)))
+    rows = spark.range(8_000).selectExpr("id as doc_id", "concat('text number ', id) as text", "cast(id % 2 as int) as quality")
+    quality.train(frames.hashed_sample(rows, 800))
+    assert len(seen) == 2 and all(20 <= n <= 90 for n in seen)
