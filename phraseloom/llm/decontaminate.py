@@ -4,7 +4,7 @@ Words are runs of letters and digits, lower-cased (A-Z).  Every ``MIN_TILE``-wor
 shares seeds with an item is compared with it:  the longest run of words that both hold, outside earlier tiles, is marked
 as a tile, again and again, down to ``MIN_TILE`` words.  Tiles never overlap, in the document or in the item, and may come in
 any order, so a passage whose parts were moved about is still covered.  The longest length with a common run is found by bisection with
-Karp-Rabin hashes of all unmarked runs of a length; hits are compared word by word (by word hash) before they are marked.
+Karp-Rabin hashes of all unmarked runs of a length; hits are compared word by word (by 64-bit word hashes) before they are marked.
 A document is contaminated by an item when tiles cover at least ``COVERAGE`` of the item's words.
 
 Before tiling, a pair is dropped when even all of its seed places together couldn't reach that share: this bound loses nothing.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import filter_blocks, map_blocks, texts_of
-from .textkernel import ALNUM, LOWER, WINDOW_HASH, WORD_HASH, window_hashes, word_spans
+from .textkernel import ALNUM, KARP_RABIN, LOWER, WINDOW_HASH, WORD_HASH, window_hashes, word_spans
 
 MIN_TILE = 5
 COVERAGE = 0.6
@@ -45,7 +45,7 @@ def _runs(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     taken = np.concatenate([[0], np.cumsum(marked)])
     at = np.flatnonzero(taken[size:] == taken[:-size])
-    return at, WINDOW_HASH.between(WINDOW_HASH.prefix(words), at, at + size)
+    return at, KARP_RABIN.runs(words, at, at + size)
 
 
 def tile(document: np.ndarray, item: np.ndarray, min_tile: int, marked: np.ndarray | None = None) -> list[tuple[int, int, int]]:

@@ -44,7 +44,7 @@ def sets(data: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:
     cuts = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - size + 1, 0))])
     out = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist():
-        out[i] = WINDOW_HASH.runs(words, first[i : i + 1], first[i + 1 : i + 2])
+        out[i] = WINDOW_HASH.runs(words[first[i] : first[i + 1]], int(first[i + 1] - first[i]))
     return out
 
 

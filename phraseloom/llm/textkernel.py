@@ -1,8 +1,8 @@
 """Vectorised text kernels shared by the operators of this subpackage.
 
 Texts arrive as Arrow string columns.  The kernels look at the UTF-8 bytes of many documents at once
-with numpy: word borders come from a 256-entry byte table, word hashes from prefix sums of a polynomial
-modulo 2**64, so the cost is a few machine operations per byte and no Python object per word.
+with numpy: word borders come from a 256-entry byte table, word hashes from eight bytes at a time, window hashes from
+folding neighbours in pairs, so the cost is a few machine operations per word and no Python object for one.
 
 ``blocks`` cuts a column into pieces of about one MB (a longer document is a piece of its own), which
 bounds the memory of every caller whatever the Arrow batch size is.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -41,49 +42,102 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Poly:
-    """A polynomial hash of byte or integer runs, modulo 2**64, by prefix sums."""
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of the data as an integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
+#: What is kept of a chunk of 0 to 8 bytes.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer runs of bytes are hashed and compared one by one.
+LONG = 64
+
+
+class WordHash:
+    """A 64-bit hash of byte runs: their length, then eight bytes at a time, go through a bijective mixer; runs above ``LONG`` bytes through XXH3."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-        base = int(rng.integers(1 << 32, 1 << 60)) * 8 + 5
+        self.seed, self.factor = (_U(int(x) | 1) for x in rng.integers(1 << 62, 1 << 63, 2, dtype=np.uint64))
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of data[start:end] for each run; equal runs have equal hashes wherever they stand."""
+        size, wide = ends - starts, chunks(data)
+        out = mix64((self.seed + size.astype(np.uint64) * self.factor) ^ (wide[starts] & _KEPT[np.minimum(size, 8)]))
+        of, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(of):
+            out[of] = mix64((out[of] ^ (wide[starts[of] + k] & _KEPT[np.minimum(size[of] - k, 8)])) * self.factor)
+            k += 8
+            of = of[size[of] > k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), int(self.seed))
+        return out
+
+
+def equal_runs(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] and b[to : to + size] are equal bytes."""
+    same, left, right, of, k = np.ones(len(size), bool), chunks(a), chunks(b), np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(of):
+        differ = (left[at[of] + k] ^ right[to[of] + k]) & _KEPT[np.minimum(size[of] - k, 8)]
+        same[of] &= differ == 0
+        k += 8
+        of = of[size[of] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        same[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[to[i] : to[i] + size[i]])
+    return same
+
+
+class WindowHash:
+    """A 64-bit hash of every run of so many values: runs of 1, 2, 4 ... values are folded in pairs, and those that make up the size together."""
+
+    def __init__(self, seed: int):
+        self.factor = _U(int(np.random.default_rng(seed).integers(1 << 61, 1 << 62, dtype=np.uint64)) * 4 + 3)
+
+    def _fold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64(a * self.factor + b)
+
+    def runs(self, values: np.ndarray, size: int) -> np.ndarray:
+        """The hash of values[i : i + size] for every i."""
+        n, out, done, width, power = len(values) - size + 1, None, 0, 1, values
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        while True:
+            if size & width:
+                part = power[done : done + n]
+                out = self._fold(np.full(n, _U(size)) if out is None else out, part)
+                done += width
+            if 2 * width > size:
+                return out
+            power = self._fold(power[:-width], power[width:])
+            width *= 2
+
+
+class KarpRabin:
+    """A polynomial rolling hash of runs of any length, modulo 2**64, by prefix sums.  Some unequal runs collide whatever the base is, so whoever uses it compares the runs."""
+
+    def __init__(self, seed: int):
+        base = int(np.random.default_rng(seed).integers(1 << 32, 1 << 60)) * 8 + 5
         self.base, self.inverse = _U(base), _U(pow(base, -1, 1 << 64))
-        self._up = self._down = np.ones(1, dtype=np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._up) < n:
-            size = max(n, BLOCK_BYTES + 1)
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-            if size > 8 * BLOCK_BYTES:
-                return up, down  # one very long document: not kept
-            self._up, self._down = up, down
-        return self._up, self._down
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """What ``between`` needs to hash any run of the values."""
-        n = len(values)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values * self._powers(n + 1)[0][:n], out=prefix[1:])
-        return prefix
+        self.up, self.down = self._powers(1 << 12)
 
-    def between(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((prefix[ends] - prefix[starts]) * self._powers(len(prefix))[1][starts])
+    def _powers(self, n: int) -> list[np.ndarray]:
+        return [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])) for base in (self.base, self.inverse)]
 
     def runs(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[start:end] for each run; equal runs have equal hashes wherever they stand."""
-        return self.between(self.prefix(values), starts, ends)
-
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self.runs(self.table[data], starts, ends)
+        n = len(values)
+        up, down = (self.up, self.down) if n < len(self.up) else self._powers(n + 1)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * up[:n], out=prefix[1:])
+        return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
-WORD_HASH = Poly(20250101)
-WORD_HASH_2 = Poly(20250202)
-WINDOW_HASH = Poly(20250303)
-WINDOW_HASH_2 = Poly(20250404)
+WORD_HASH = WordHash(20250101)
+WORD_HASH_2 = WordHash(20250202)
+WINDOW_HASH = WindowHash(20250303)
+WINDOW_HASH_2 = WindowHash(20250404)
+KARP_RABIN = KarpRabin(20250505)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +188,7 @@ def word_spans(data: np.ndarray, borders: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, borders)
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, size: int, poly: Poly) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, first: np.ndarray, size: int, hashed: WindowHash) -> tuple[np.ndarray, np.ndarray]:
     """Positions (word numbers) at which ``size`` words of one document start, and the hashes of those windows."""
     counts = np.diff(first)
     n_windows = np.maximum(counts - size + 1, 0)
@@ -143,7 +197,7 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int, poly: Poly) -
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     shift = np.repeat(first[:-1] - (np.cumsum(n_windows) - n_windows), n_windows)
     at = np.arange(total, dtype=np.int64) + shift
-    return at, poly.runs(words, at, at + size)
+    return at, hashed.runs(words, size)[at]
 
 
 def owners(first: np.ndarray, at: np.ndarray) -> np.ndarray:

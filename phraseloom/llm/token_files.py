@@ -11,7 +11,7 @@ number has the key's 32-bit fingerprint, its first record and its number of reco
 one look-up, whatever the size of the shard.  The shard of a key is found in the manifest by its first and last keys.
 
 Encoding: a text is cut at single spaces between two other characters.  The tokenizer never joins what stands on two sides of
-such a border, so the pieces' ids, put together, are the text's ids, and a bounded memo of pieces saves encoding the same
+such a border, so the pieces' ids, put together, are the text's ids, and a bounded memo of pieces, found by hash and compared byte by byte, saves encoding the same
 piece again.  Pieces are encoded by the library; a new piece of plain letters goes straight to its BPE model, which skips what only whole texts need.
 
 Tasks write under names of their own and only files named by the finished tasks enter the manifest, so lost executors leave no
@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import filesystem, map_arrow, schema_of, shared_folder, texts_of
-from .textkernel import WORD_HASH, WORD_HASH_2, blocks, mix64
+from .textkernel import WORD_HASH, blocks, equal_runs, mix64
 
 MAGIC = b"TOKSHRD1"
 PARTS = ("ids", "offsets", "slots", "sizes", "bits", "rest")
 END_ID = 2
-MEMO = 600_000
+#: Most pieces of a memo, and about the most bytes of their texts.
+MEMO, MEMO_BYTES = 400_000, 8 << 20
 #: Bits a key of the levels of the minimal perfect hash, and their number.
 GAMMA, LEVELS = 2.0, 24
 #: A space and letters of Latin alphabets (U+0041 to U+024F, without signs), in UTF-8, up to the end of the piece, punctuation or a line break.
@@ -57,27 +58,36 @@ _U = np.uint64
 
 
 class _Memo:
-    """Ids of pieces by hash: sorted hashes, a second hash that must agree, and runs in one array of ids."""
+    """Ids of pieces: sorted hashes, the bytes of each piece, and runs in one array of ids."""
 
     def __init__(self, dtype):
         self.keys = np.zeros(0, np.uint64)
-        self.marks = np.zeros(0, np.uint64)
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+        self.place, self.size, self.text = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def find(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 if there is none."""
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each key, -1 if there is none; and whether the entry is another piece, of equal hash."""
         if not len(self.keys):
-            return np.full(len(keys), -1)
+            return np.full(len(keys), -1), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (self.marks[at] == marks), at, -1)
-
-    def add(self, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        hit = np.flatnonzero(self.keys[at] == keys)
+        found, other = np.full(len(keys), -1), np.zeros(len(keys), bool)
+        own = at[hit]
+        same = self.size[own] == size[hit]
+        same[same] = equal_runs(self.text, self.place[own[same]], data, starts[hit[same]], size[hit[same]])
+        found[hit[same]] = own[same]
+        other[hit[~same]] = True
+        return found, other
+
+    def add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
         """Adds entries with new keys; ``ids`` holds their runs one after the other."""
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        start = len(self.ids) + np.cumsum(length) - length
-        self.keys, self.marks, self.start, self.length = (np.insert(own, at, new[order]) for own, new in ((self.keys, keys), (self.marks, marks), (self.start, start), (self.length, length)))
+        start, place = len(self.ids) + np.cumsum(length) - length, len(self.text) + np.cumsum(size) - size
+        held = (self.keys, keys), (self.start, start), (self.length, length), (self.place, place), (self.size, size)
+        self.keys, self.start, self.length, self.place, self.size = (np.insert(own, at, new[order]) for own, new in held)
         self.ids = np.concatenate([self.ids, ids])
+        self.text = np.concatenate([self.text, _runs(data, starts, size)])
 
 
 def _runs(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -95,7 +105,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.end, self.most = end_id, memo
+        self.end, self.most, self.hash = end_id, memo, WORD_HASH
         self.young, self.old = _Memo(self.type), _Memo(self.type)
         self.tails: dict[bytes, list[int]] = {}  # what follows the letters of a piece
         set_up = json.loads(tokenizer_json)
@@ -135,30 +145,44 @@ class Encoder:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)[: len(starts)]
         owner = np.searchsorted(borders, starts, side="right") - 1
-        keys, marks = (h.words(data, starts, ends) if len(starts) else np.zeros(0, np.uint64) for h in (WORD_HASH, WORD_HASH_2))
+        size, raw = ends - starts, data.tobytes()
+        keys = self.hash.words(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        marks = marks[first]
-        if len(self.young.keys) + len(keys) > self.most:
+        begin, long = starts[first], size[first]
+        odd = size != long[place]  # pieces that are unlike another of equal hash: encoded outside the memo
+        odd[~odd] = ~equal_runs(data, starts[~odd], data, begin[place[~odd]], size[~odd])
+
+        def encoded(at, to):
+            found = self._encode([raw[a:b] for a, b in zip(at.tolist(), to.tolist())])
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), self.type, int(length.sum())), length
+
+        if len(self.young.keys) + len(keys) > self.most or len(self.young.text) > MEMO_BYTES:
             self.old, self.young = self.young, _Memo(self.type)
-        for known in (self.old, None):
-            new = np.flatnonzero(self.young.find(keys, marks) < 0)
-            if known:
-                at = known.find(keys[new], marks[new])
-                new, at = new[at >= 0], at[at >= 0]
-                if len(new):
-                    self.young.add(keys[new], marks[new], _runs(known.ids, known.start[at], known.length[at]), known.length[at])
-            elif len(new):
-                raw, at = data.tobytes(), first[new]
-                found = self._encode([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-                length = np.fromiter(map(len, found), np.int64, len(found))
-                self.young.add(keys[new], marks[new], np.fromiter(chain.from_iterable(found), self.type, int(length.sum())), length)
-        at = self.young.find(keys, marks)[place]
-        length = self.young.length[at]
+        at, other = self.young.find(keys, data, begin, long)
+        new = np.flatnonzero((at < 0) & ~other)
+        if len(new):
+            held, unlike = self.old.find(keys[new], data, begin[new], long[new])
+            old, held = new[held >= 0], held[held >= 0]
+            if len(old):
+                self.young.add(keys[old], data, begin[old], long[old], _runs(self.old.ids, self.old.start[held], self.old.length[held]), self.old.length[held])
+            fresh = np.setdiff1d(new, old)
+            if len(fresh):
+                self.young.add(keys[fresh], data, begin[fresh], long[fresh], *encoded(begin[fresh], begin[fresh] + long[fresh]))
+            at[new] = np.searchsorted(self.young.keys, keys[new])
+            at[at >= 0] = np.searchsorted(self.young.keys, keys[at >= 0])
+        odd |= other[place]
+        at = np.maximum(at, 0)[place]
+        ids, begin, length = self.young.ids, self.young.start[at], self.young.length[at]
+        if odd.any():
+            more, n_more = encoded(starts[odd], ends[odd])
+            begin[odd], length[odd] = len(ids) + np.cumsum(n_more) - n_more, n_more
+            ids = np.concatenate([ids, more])
         total = np.bincount(owner, weights=length, minlength=len(borders) - 1).astype(np.int64) + 1
         out = np.full(int(total.sum()), self.end, self.type)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(total) - 1] = False
-        out[keep] = _runs(self.young.ids, self.young.start[at], length)
+        out[keep] = _runs(ids, begin, length)
         return out, total
 
     def __call__(self, text: str | None) -> bytes:

@@ -193,11 +193,10 @@ def _counts(data: np.ndarray, borders: np.ndarray, symbol: Symbols) -> np.ndarra
     out = np.zeros((len(borders) - 1, len(KINDS)))
     if not len(starts):
         return out
-    prefix = WORD_HASH.prefix(WORD_HASH.table[data])
-    hit = _in(symbol.words, WORD_HASH.between(prefix, starts, ends))
+    hit = _in(symbol.words, WORD_HASH.words(data, starts, ends))
     for size, hashes in symbol.starts.items():
         long = np.flatnonzero(ends - starts >= size)  # a word goes on after an apostrophe
-        hit[long] |= _in(hashes, WORD_HASH.between(prefix, starts[long], starts[long] + size))
+        hit[long] |= _in(hashes, WORD_HASH.words(data, starts[long], starts[long] + size))
     odd = np.flatnonzero(_outside(data))
     if len(odd):
         runs = np.unique(np.searchsorted(starts, odd, side="right") - 1)
