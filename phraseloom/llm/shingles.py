@@ -1,14 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies of texts: SimHash candidates, verified by the exact Jaccard similarity of their word shingles.
 
-A text's set holds the 64-bit hashes of its distinct shingles of ``size`` lower-cased words (A-Z only); a text with fewer words is one shingle, and one
-without words has an empty set.  Texts of equal sets are one class.  Two classes link when common / all shingles is at least ``SIMILARITY``.
+A text's set holds its distinct shingles of ``size`` lower-cased words (A-Z only); a text with fewer words is one shingle, and one without words has an
+empty set.  Texts of equal sets are one class.  Two classes link when common / all shingles is at least ``SIMILARITY``.
 
-The search is exact: all shingles are put in one order, those that are frequent in a sample last, and two sets that link share a shingle among their first
-n - ceil(SIMILARITY n) + 1.  So only those travel, with the length and positional filters; the sample steers cost, never the result.
-Candidates are compared by their whole sets.  Links that are known before (of fingerprints) join groups of near copies without all their pairs; every candidate
-pair whose ends they don't join is compared.
+Candidates are classes whose 128-bit fingerprints (bit i is set when it is set in over half the shingles' hashes) differ in at most ``PROBE_BITS`` bits of one half or the
+other, and in at most ``ALL_BITS`` in all; the pigeonhole search of ``simhash`` finds them.  Of a crowded signature it returns spanning forests only, one of them of close pairs.  Candidates are verified in three rounds, and those whose ends the links found so far join are left out: the nearest candidate of each class, the
+nearest of each two groups, and all others.  So a group of thousands of copies costs about one comparison a copy.
 
-Defined cases: null, empty and blank texts are one class.  Rows without doc_id take part in no class.  An empty table gives no rows.
+Defined cases: null, empty and blank texts are one class.  Rows without doc_id take part like any other.  Rows with equal doc_id and different texts are documents of their own.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,156 +23,161 @@ from pyspark.sql import functions as F
 
 from ..sources.store import written as stored
 from .components import components
-from .frames import hashed_sample, map_arrow, map_blocks, texts_of
-from .textkernel import LOWER, SPACE, WINDOW_HASH, WORD_HASH, blocks, window_hashes, word_spans
+from .frames import map_arrow, map_blocks, texts_of
+from .simhash import SPREAD, near_edges
+from .textkernel import LOWER, SPACE, WINDOW_HASH, WORD_HASH, mix64, window_hashes, word_spans
 
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
-SAMPLE = 4_000
-#: Shingles that stand in so many sample documents come last, and most of them that are sent to the tasks.
-FREQUENT, MOST = 3, 1_000_000
-#: Keys of more classes than this are compared class by class.
-SMALL = 24
+#: Two texts of similarity 0.8 differ in 9.7 bits of a half on average (deviation 2.9), and in 19.4 of all (4.1).
+PROBE_BITS, ALL_BITS = 13, 32
+#: Most rows of a table of ids that is broadcast, 16 bytes each; a larger one is joined by a shuffle.
+SENT_ROWS = 500_000
+#: Runs of 255 shingles whose bits are counted together.
+RUNS = 64
 
 
-def sets(data: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def hashes(data: np.ndarray, borders: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of the texts, one text after the other, and their n+1 borders."""
     data = LOWER[data]
     starts, ends, first = word_spans(data, borders, ~SPACE)
     words = WORD_HASH.words(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    _, hashes = window_hashes(words, first, size, WINDOW_HASH)
-    cuts = np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - size + 1, 0))])
-    out = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-    for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size)).tolist():
-        out[i] = WINDOW_HASH.runs(words[first[i] : first[i + 1]], int(first[i + 1] - first[i]))
-    return out
+    n_words = np.diff(first)
+    _, found = window_hashes(words, first, size, WINDOW_HASH)
+    short = np.flatnonzero((n_words > 0) & (n_words < size))
+    n = np.where((n_words > 0) & (n_words < size), 1, np.maximum(n_words - size + 1, 0))
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    if len(short):
+        own = [WINDOW_HASH.runs(words[first[i] : first[i + 1]], int(n_words[i])) for i in short.tolist()]
+        found = np.insert(found, cuts[short] - np.arange(len(short)), np.concatenate(own))
+    return found, cuts
+
+
+def prints(found: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each text's fingerprint."""
+    n = np.diff(cuts)
+    runs = -(-n // 255)  # a byte counts up to 255
+    owner = np.repeat(np.arange(len(n)), runs)
+    begin = cuts[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs))
+    counts = np.zeros((len(n), 128), np.int64)
+    for lo in range(0, len(begin), RUNS):
+        at = begin[lo : lo + RUNS]
+        end = begin[lo + RUNS] if lo + RUNS < len(begin) else cuts[-1]
+        part = found[at[0] : end]
+        raw = np.stack([mix64(part + np.uint64(0x632BE59BD9B4E019)), mix64(part ^ np.uint64(0x9E3779B97F4A7C15))], axis=1).view(np.uint8)
+        lanes = np.add.reduceat(SPREAD[raw], at - at[0], axis=0)
+        np.add.at(counts, owner[lo : lo + RUNS], lanes.view(np.uint8).reshape(len(at), 128))
+    bits = np.packbits(2 * counts > n[:, None], axis=1).view(">u8").astype(np.uint64)
+    return bits[:, 0], bits[:, 1]
+
+
+def sets(data: np.ndarray, borders: np.ndarray, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    found, cuts = hashes(data, borders, size)
+    return [np.unique(found[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def _class(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes())
 
 
-def _prefixes(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
-    """(key, class, n, place) of the first shingles of each text's set in the global order."""
-    sent, (up, down) = docs.sparkSession.sparkContext.broadcast(frequent), SIMILARITY
+def classes(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, hash, class, fp, fp2) of every row; hash is of the text as it is."""
 
-    def first_ones(data, borders):
-        late = sent.value
-        for own in sets(data, borders, size):
-            n = len(own)
-            is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own if len(late) else np.zeros(n, bool)
-            ordered = np.concatenate([own[~is_late], own[is_late]])
-            yield ordered[: n - (up * n + down - 1) // down + 1] if n else own, _class(own), n
+    def kernel(rows, data, borders):
+        found, cuts = hashes(data, borders, size)
+        of = np.array([_class(np.unique(found[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], np.uint64)
+        return [rows.column(0), rows.column(2), *(x.view(np.int64) for x in (of, *prints(found, cuts)))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, borders in blocks(batch.column(0)):
-                found = list(first_ones(data, borders))
-                length = np.array([len(p) for p, _, _ in found], np.int64)
-                key = np.concatenate([p for p, _, _ in found])
-                node, n = np.array([c for _, c, _ in found], np.uint64), np.array([n for _, _, n in found], np.int32)
-                place = np.arange(len(key)) - np.repeat(np.cumsum(length) - length, length)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(node, length).view(np.int64)), pa.array(np.repeat(n, length)), pa.array(place.astype(np.int32))], ["key", "class", "n", "place"])
+    return map_blocks(texts_of(docs, _hash(docs).alias("hash")), kernel, "doc_id long, hash long, class long, fp long, fp2 long")
 
-    return map_arrow(docs.select("text"), run, "key long, class long, n int, place int")
 
+def _hash(docs: DataFrame):
+    return F.xxhash64(docs["text"].cast("string"))
 
-def _may_link(n, place, m, other) -> np.ndarray:
-    """Length and positional filters: common >= up / (up + down) * (n + m) must still be possible."""
-    up, down = SIMILARITY
-    return (down * np.minimum(n, m) >= up * np.maximum(n, m)) & ((up + down) * (np.minimum(place, other) + np.minimum(n - place, m - other)) >= up * (n.astype(np.int64) + m))
-
-
-def _pairs(prefixes: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of classes of one key whose groups (column root) differ."""
-
-    def pairs_of(key, node, n, place, root):
-        fresh = np.append(True, (np.diff(key) != 0) | (np.diff(node) != 0))
-        key, node, n, place, root = (x[fresh] for x in (key, node, n, place, root))
-        begin = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        length, found = np.diff(np.append(begin, len(key))), [np.zeros((0, 2), np.int64)]
-
-        def take(x, y):
-            ok = _may_link(n[x], place[x], n[y], place[y])
-            ok &= root[x] != root[y]
-            if ok.any():
-                found.append(np.stack([node[x[ok]], node[y[ok]]], axis=1))
-
-        mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
-        for a, k in zip(begin[mixed & (length > SMALL)].tolist(), length[mixed & (length > SMALL)].tolist()):
-            for i in range(a, a + k - 1):
-                take(np.full(a + k - 1 - i, i), np.arange(i + 1, a + k))
-        at = np.flatnonzero(np.repeat(mixed & (length <= SMALL), length))
-        for d in range(1, SMALL):
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
-            if not len(at):
-                break
-            take(at, at + d)
-        return np.unique(np.concatenate(found), axis=0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            own = [c.to_numpy() for c in batch.columns]
-            held = own if held is None else [np.concatenate(z) for z in zip(held, own)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            if last:
-                out = pairs_of(*(h[:last] for h in held))
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
-                held = [h[last:] for h in held]
-        if held is not None and len(held[0]):
-            out = pairs_of(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
-
-    rows = prefixes.select("key", "class", "n", "place", "root").repartition("key").sortWithinPartitions("key", "class")
-    return map_arrow(rows, run, "u long, v long").distinct()
-
-
-def _links(pairs: DataFrame, docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
-    """The candidate pairs that link, by their whole sets; ``named`` has a document of each class."""
-    ends = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-    wanted = ends.join(named, "class").select(F.col("doc_id").alias("of"), "class")
+def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs with one of the ids (_id, _hash); these are broadcast if they are few."""
+    same = docs["doc_id"].cast("long").eqNullSafe(ids["_id"]) & (_hash(docs) == ids["_hash"])
+    return docs.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, same, how)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v, d): pairs of classes, u < v, whose fingerprints differ in d bits; nodes has (class, fp, fp2)."""
+    by_print = stored(nodes.groupBy("fp", "fp2").agg(F.min("class").alias("node")), "prints")
+    found = near_edges(by_print, PROBE_BITS, ALL_BITS).union(near_edges(by_print.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), PROBE_BITS, ALL_BITS))
+    same = nodes.join(by_print.withColumnsRenamed({"fp": "a", "fp2": "b"}), (F.col("fp") == F.col("a")) & (F.col("fp2") == F.col("b"))).where("class <> node")
+    found = found.union(same.select("node", "class", F.lit(0).cast("int")))
+    return stored(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d")), "candidates")
+
+
+def _sets_of(pairs: DataFrame, docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
+    """(class, grams): the sets, as 32-bit hashes, of the classes in pairs; ``named`` has a row of each class."""
+    ends = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct()
+    wanted = stored(ends.join(named, "class").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("class").alias("_class")), "wanted")
 
     def kernel(rows, data, borders):
         own = sets(data, borders, size)
-        return [rows.column(2), np.array([_class(x) for x in own], np.uint64).view(np.int64), [x.tobytes() for x in own]]
+        return [rows.column(1), np.array([_class(x) for x in own], np.uint64).view(np.int64), [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in own]]
+
+    chosen = _joined(docs, wanted, "inner").select(docs["text"].cast("string").alias("text"), wanted["_class"].alias("class"))
+    held = map_blocks(chosen, kernel, "class long, found long, grams binary").where("class = found")
+    return stored(held.dropDuplicates(["class"]).select("class", "grams"), "shingle-sets")
 
-    chosen = docs.join(wanted, docs.doc_id == wanted.of).select("doc_id", "text", "class")
-    held = stored(map_blocks(chosen, kernel, "class long, found long, grams binary").where("class = found").dropDuplicates(["class"]), "shingle-sets")
+
+def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (u, v) that link."""
     left, right = (held.select(F.col("class").alias(k), F.col("grams").alias(g)) for k, g in (("u", "a"), ("v", "b")))
     up, down = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), "<u4") for x in (a, b))
+                near = down * min(len(a), len(b)) >= up * max(len(a), len(b))
+                common = len(np.intersect1d(a, b, assume_unique=True)) if near else 0
                 keep.append(down * common >= up * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"), "links")
-
-
-def near_copies(docs: DataFrame, size: int, known: DataFrame) -> DataFrame:
-    """(doc_id, component_id), for the documents that have a link: the least doc_id that links, or the groups ``known`` (doc_id, component_id), reach."""
-    docs = texts_of(docs).where("doc_id is not null")
-    known = stored(known.where("doc_id is not null").select("doc_id", "component_id"), "known")
-    classed = map_blocks(docs, lambda rows, data, borders: [rows.column(0), np.array([_class(x) for x in sets(data, borders, size)], np.uint64).view(np.int64)], "doc_id long, class long")
-    classed = stored(classed.join(known, "doc_id"), "classes")
-    named = stored(classed.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("component_id").alias("root")), "named")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, borders in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets(data, borders, size)]).view(np.int64))], ["key"])
-
-    counted = map_arrow(hashed_sample(docs, SAMPLE).select("text"), shingles, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = np.sort(counted.orderBy(F.desc("n"), "key").limit(MOST).toPandas().key.to_numpy(np.int64).view(np.uint64))
-    grouped = _prefixes(docs, size, frequent).join(named.select("class", "root"), "class")
-    links = _links(stored(_pairs(grouped), "pairs"), docs, named, size)
-    name = {k: named.select(F.col("class").alias(k), F.col("doc_id").alias(f"{k}_doc")) for k in "uv"}
-    edges = links.join(name["u"], "u").join(name["v"], "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
-    edges = edges.union(known.select("doc_id", "component_id")).union(classed.join(name["u"], classed["class"] == F.col("u")).select("doc_id", "u_doc"))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    return stored(map_arrow(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"), "links")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, root) of the classes that have a link; nodes has (class, fp, fp2, doc_id, hash), one row each."""
+    rest = _candidates(nodes)
+    held = _sets_of(rest, docs, nodes.select("class", "doc_id", "hash"), size)
+    rest, found, roots = rest.withColumns({"p": F.col("u"), "q": F.col("v")}), None, None
+    for choice in (["v"], ["p", "q"], None):
+        chosen = rest if choice is None else rest.groupBy(*choice).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v", "x.d")
+        chosen = stored(chosen.select("u", "v", "d"), "chosen")
+        own = _links(chosen, held)
+        found = own if found is None else found.union(own)
+        roots = stored(components(found), "roots")
+        if choice is None:
+            break
+        rest = rest.select("u", "v", "d").join(chosen.select("u", "v"), ["u", "v"], "left_anti")
+        for end, root in (("u", "p"), ("v", "q")):
+            rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
+        rest = stored(rest.where("p <> q").select("u", "v", "d", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), "rest")
+        if not rest.limit(1).count():
+            break
+    return roots
+
+
+def without_near_copies(docs: DataFrame, size: int) -> DataFrame:
+    """One row of each group of near copies: that with the least doc_id (null last), of those the one with the least hash of its text, once."""
+    marked = stored(classes(docs, size), "classes")
+    named = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "fp", "fp2")).alias("x")
+    nodes = stored(marked.groupBy("class").agg(named).select("class", "x.fp", "x.fp2", "x.doc_id", "x.hash"), "nodes")
+    roots = linked(docs, nodes, size)
+    grouped = marked.join(roots, marked["class"] == roots.node, "left").select("doc_id", "hash", F.coalesce("root", "class").alias("root"))
+    rows = stored(grouped.groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n")), "rows")
+    best = rows.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
+    told = rows.join(best, F.col("root") == F.col("_root")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "n", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("hash") == F.col("best.hash"))).alias("kept"))
+    told = stored(told, "told")
+    gone, repeated = told.where("not kept").select("_id", "_hash"), told.where("kept and n > 1").select("_id", "_hash")
+    if not repeated.limit(1).count():
+        return _joined(docs, gone, "left_anti")
+    once = _joined(docs, repeated, "inner").dropDuplicates(["_id", "_hash"]).select([docs[c] for c in docs.columns])
+    return _joined(docs, stored(gone.union(repeated), "gone"), "left_anti").union(once)

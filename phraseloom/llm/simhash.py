@@ -15,7 +15,7 @@ nodes is dealt out over pairs of blocks, so no task ever holds a whole hot group
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text with fewer words than a shingle is
 one shingle.  Repeated rows share a component; an empty table gives no rows.  Extra columns are ignored.
 
-``wide`` fingerprints have 128 bits: the first 64 are probed, and a pair found is verified on all of them.
+Nodes may have a second half ``fp2`` of their fingerprint: then the first half is probed, and a pair found is verified on all 128 bits.
 """
 
 from __future__ import annotations
@@ -39,41 +39,41 @@ SAMPLE = 1_500
 #: Fewest bits of a partition: fewer would make every bucket hold a fixed share of all nodes.
 MIN_WIDTH = 9
 HOT = 4_096
+#: Bits of 128 in which a crowded key's nearest nodes differ; their links come first.
+CLOSE = 8
 #: Relative costs of a signature that is shuffled and sorted, and of a candidate pair that is compared.
 SIGNATURE_COST, CANDIDATE_COST = 4.0, 0.008
 _LOWER = bytes(LOWER)
 #: The bits of a byte, first the highest, as counters in the bytes of a word.
-_SPREAD = np.array([sum(((b >> (7 - lane)) & 1) << (8 * lane) for lane in range(8)) for b in range(256)], dtype=np.uint64)
+SPREAD = np.array([sum(((b >> (7 - lane)) & 1) << (8 * lane) for lane in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, size: int, wide: bool = False) -> bytes:
-    """The 8 (wide: 16) bytes of a text's fingerprint, highest bits first."""
-    words, width = text.translate(_LOWER).split(), 16 if wide else 8
+def fingerprint(text: bytes, size: int) -> bytes:
+    """The 8 bytes of a text's fingerprint, highest bits first."""
+    words = text.translate(_LOWER).split()
     if not words:
-        return bytes(width)
+        return bytes(8)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = max(1, len(words) - size + 1)
-    hashed = xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
     last = ends[min(size, len(words)) - 1 :]
-    digests = b"".join([hashed(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist())])
-    lanes = np.add.reduceat(_SPREAD[np.frombuffer(digests, np.uint8).reshape(-1, width)], np.arange(0, n, 255), axis=0)
-    counts = lanes.view(np.uint8).reshape(-1, 8 * width).sum(axis=0, dtype=np.int64)
+    digests = b"".join([xxhash.xxh64_digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last[:n].tolist())])
+    lanes = np.add.reduceat(SPREAD[np.frombuffer(digests, np.uint8).reshape(-1, 8)], np.arange(0, n, 255), axis=0)
+    counts = lanes.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, wide: bool = False) -> DataFrame:
-    """(doc_id, fp, fp2): the fingerprint of every whole text as signed 64-bit integers; fp2 is 0 unless wide."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
 
     def kernel(rows, data, borders):
         raw = data.tobytes()
-        found = b"".join(fingerprint(raw[a:b], shingle_words, wide) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()))
-        halves = np.frombuffer(found, ">i8").astype(np.int64).reshape(len(borders) - 1, -1)
-        return [rows.column(0), halves[:, 0], halves[:, 1] if wide else np.zeros(len(halves), np.int64)]
+        found = b"".join(fingerprint(raw[a:b], shingle_words) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()))
+        return [rows.column(0), np.frombuffer(found, ">i8").astype(np.int64)]
 
-    return map_blocks(texts_of(docs), kernel, "doc_id long, fp long, fp2 long")
+    return map_blocks(texts_of(docs), kernel, "doc_id long, fp long")
 
 
 def bit_statistics(nodes: DataFrame) -> np.ndarray:
@@ -167,8 +167,8 @@ def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
     return map_arrow(nodes.select("fp", "fp2", "node"), run, _SIGNED)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges enough to connect what the edges (a, b) connect."""
+def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[tuple[int, int, int]]:
+    """Edges (a, b) and their bits apart enough to connect what the edges connect, the nearest first."""
     up: dict[int, int] = {}
 
     def top(x):
@@ -177,11 +177,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     kept = []
-    for x, y in zip(a.tolist(), b.tolist()):
+    order = np.argsort(apart, kind="stable")
+    for x, y, d in zip(*(z[order].tolist() for z in (a, b, apart))):
         p, q = top(x), top(y)
         if p != q:
             up[p] = q
-            kept.append((x, y))
+            kept.append((x, y, d))
     return kept
 
 
@@ -191,21 +192,21 @@ class _Linker:
     def __init__(self, max_bits: int, max_all: int, small: int = 24, dense: int = 6):
         self.max_bits, self.max_all, self.small, self.dense = max_bits, max_all, small, dense
 
-    def near(self, fp, fp2, other, other2) -> np.ndarray:
-        apart = np.bitwise_count(fp ^ other)
-        ok = apart <= self.max_bits
-        if self.max_all < 128 and ok.any():
-            ok &= apart + np.bitwise_count(fp2 ^ other2) <= self.max_all
+    def near(self, fp, fp2, other, other2, most: int = 128) -> np.ndarray:
+        apart, most = np.bitwise_count(fp ^ other), min(most, self.max_all)
+        ok = apart <= min(self.max_bits, most)
+        if most < 128 and ok.any():
+            ok &= apart + np.bitwise_count(fp2 ^ other2) <= most
         return ok
 
-    def breadth_first(self, fp, fp2) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of one crowded key: each node is reached once."""
+    def breadth_first(self, fp, fp2, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of one crowded key: each node is reached once, by a link of at most ``most`` bits."""
         rest, todo, a, b = np.arange(len(fp)), [], [], []
         while len(rest):
             if not todo:
                 todo, rest = [rest[0]], rest[1:]
             x = todo.pop()
-            ok = self.near(fp[rest], fp2[rest], fp[x], fp2[x])
+            ok = self.near(fp[rest], fp2[rest], fp[x], fp2[x], most)
             if ok.any():
                 found = rest[ok]
                 a.append(np.full(len(found), x))
@@ -225,7 +226,8 @@ class _Linker:
             b.append(y[up] + i)
             n += len(a[-1])
             if n > self.dense * len(fp):
-                return self.breadth_first(fp, fp2)
+                both = [self.breadth_first(fp, fp2, most) for most in ([CLOSE, 128] if self.max_all < 128 else [128])]
+                return tuple(map(np.concatenate, zip(*both)))
         return np.concatenate(a), np.concatenate(b)
 
     def edges_of(self, keys, fp, fp2, node) -> pa.RecordBatch:
@@ -248,8 +250,15 @@ class _Linker:
             ok = self.near(fp[x], fp2[x], fp[y], fp2[y])
             a.append(x[ok])
             b.append(y[ok])
-        kept = _forest(node[np.concatenate(a)], node[np.concatenate(b)]) if a else []
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], ["u", "v"])
+        kept = []
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            apart = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int32) + np.bitwise_count(fp2[a] ^ fp2[b])
+            if self.max_all < 128:
+                pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), apart], axis=1), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["u", "v", "d"])
+            kept = _forest(node[a], node[b], apart)
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["u", "v", "d"])
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)]
@@ -266,7 +275,10 @@ class _Linker:
 
 
 def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int = HOT) -> DataFrame:
-    """Edges (u, v) between ``nodes`` (node, fp, fp2) that connect exactly what links of at most max_bits bits in fp, and max_all in both, connect."""
+    """Edges (u, v, bits apart d) between ``nodes`` (node, fp, fp2) that connect exactly what links of at most max_bits bits in fp, and max_all in both, connect.
+
+    With ``max_all`` the edges are to be verified, so all links are returned, but for crowded keys.
+    """
     n = nodes.count()
     scale = 1 << 30
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) <= int(scale * min(1, SAMPLE / max(n, 1)))).select("fp").limit(2 * SAMPLE).toPandas().fp.to_numpy(np.int64).view(np.uint64)
@@ -280,20 +292,16 @@ def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int = H
         other = F.explode(F.sequence(F.lit(0), size - 1))
         keyed = keyed.select("key", "fp", "fp2", "node", size.alias("size"), own.alias("own"), other.alias("other"))
         keyed = keyed.select(F.when(F.col("size") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), "fp", "fp2", "node")
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all), "u long, v long")
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all), "u long, v long, d int")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4, max_all: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id that links reach.
-
-    Two texts link when their 64-bit fingerprints differ in at most max_bits bits; with ``max_all`` the fingerprints
-    have 128 bits, which must differ in at most max_all besides.
-    """
-    marked = stored(fingerprints(docs, shingle_words, max_all is not None), "fingerprints")
-    nodes = stored(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    roots = components(near_edges(nodes, max_bits, 128 if max_all is None else max_all)).withColumnRenamed("node", "of")
-    named = stored(nodes.join(roots, nodes.node == roots.of, "left").select(F.col("fp").alias("a"), F.col("fp2").alias("b"), F.coalesce("root", "node").alias("component_id")), "named")
-    return marked.join(named, (marked.fp == named.a) & (marked.fp2 == named.b), "left").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id that links reach; two texts link when their fingerprints differ in at most max_bits bits."""
+    marked = stored(fingerprints(docs, shingle_words), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null").withColumn("fp2", F.lit(0).cast("long")), "nodes")
+    roots = components(near_edges(nodes, max_bits)).withColumnRenamed("node", "of")
+    named = stored(nodes.join(roots, nodes.node == roots.of, "left").select(F.col("fp").alias("a"), F.coalesce("root", "node").alias("component_id")), "named")
+    return marked.join(named, marked.fp == named.a, "left").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import written as stored
-from . import decontaminate, mixing, shingles, simhash, token_files, toxicity
+from . import decontaminate, mixing, shingles, token_files, toxicity
 from .frames import filter_blocks, shared_folder
 
 SHINGLE_WORDS = 5
-#: Similarity 0.8 of 128-bit fingerprints: 25 bits or fewer differ, 12 or fewer in the probed half.
-PROBE_BITS, ALL_BITS = 12, 25
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near copies: texts with near fingerprints, or with sets of five-word shingles that are similar by 0.8 or more."""
-    found = simhash.near_duplicates(docs, SHINGLE_WORDS, PROBE_BITS, ALL_BITS)
-    found = shingles.near_copies(docs, SHINGLE_WORDS, found)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies, that with the least doc_id: texts link whose sets of five-word shingles are similar by 0.8 or more."""
+    return shingles.without_near_copies(docs, SHINGLE_WORDS).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,13 +29,14 @@ def simhash(text, size=4):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def wide_simhash(text, size):
+def shingles(text, size=5):
     w = words((text or "").translate(LOWER))
-    if not w:
-        return 0
-    shingles = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))]
-    counts = Counter(b for s in shingles for h in [xxhash.xxh3_128_intdigest(s.encode(), 42)] for b in range(128) if h >> b & 1)
-    return sum(1 << b for b in range(128) if 2 * counts[b] > len(shingles))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(a, b):
+    """Whether sets of shingles are similar by 0.8 or more."""
+    return a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b))
 
 
 def groups(ids, near):

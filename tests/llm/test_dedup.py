@@ -19,7 +19,7 @@ def test_simhash_groups(odd, empty):
     assert simhash.near_duplicates(empty, 4, 4).count() == 0
 
 
-@pytest.mark.parametrize(("max_bits", "max_all", "hot"), [(4, 128, 4096), (4, 128, 8), (9, 128, 4096), (12, 25, 4096), (12, 25, 16)])
+@pytest.mark.parametrize(("max_bits", "max_all", "hot"), [(4, 128, 4096), (4, 128, 8), (9, 128, 4096), (12, 25, 4096), (12, 25, 16), (13, 32, 4096)])
 def test_links_are_complete(spark, max_bits, max_all, hot):
     rng = np.random.default_rng(max_bits)
     centres = rng.integers(0, 2**63, (40, 2), dtype=np.int64).view(np.uint64)
