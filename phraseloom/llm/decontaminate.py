@@ -18,12 +18,14 @@ matches; equal items are matched one by one; repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import written as stored
 from .frames import filter_blocks, map_blocks, texts_of
 from .textkernel import ALNUM, KARP_RABIN, LOWER, WINDOW_HASH, WORD_HASH, window_hashes, word_spans
 
@@ -137,14 +139,18 @@ class Benchmark:
         return out
 
 
-def slices(benchmark: DataFrame, most_words: int = SLICE_WORDS) -> list[Benchmark]:
-    """The benchmark in parts of bounded size; each is read by its own filter, so the driver holds one at a time."""
+def slices(benchmark: DataFrame, most_words: int = SLICE_WORDS) -> tuple[int, Iterator[Benchmark]]:
+    """The benchmark in parts of bounded size, and their number; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // (6 * most_words)) or 1
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        yield Benchmark([r.item_id for r in rows], [r.text for r in rows])
+
+    def parts():
+        for k in range(n):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
+            yield Benchmark([r.item_id for r in rows], [r.text for r in rows])
+
+    return n, parts()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -163,12 +169,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
         return map_blocks(texts_of(docs), kernel, schema)
 
-    return reduce(DataFrame.unionByName, map(scan, slices(benchmark)))
+    n, parts = slices(benchmark)
+    return reduce(DataFrame.unionByName, (scan(p) if n == 1 else stored(scan(p), "matches") for p in parts))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that no item contaminates, with all their columns; no shuffle."""
-    for part in slices(benchmark):
+    """The documents that no item contaminates, with all their columns; no shuffle.  With several slices each scan's documents are written before the next."""
+    n, parts = slices(benchmark)
+    for k, part in enumerate(parts):
         held = docs.sparkSession.sparkContext.broadcast(part)
 
         def clean(data, borders, held=held):
@@ -178,6 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             return keep
 
         docs = filter_blocks(docs, clean)
+        if k + 1 < n:
+            docs = stored(docs, "clean")
     return docs
 
 

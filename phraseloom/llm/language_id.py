@@ -2,8 +2,8 @@
 
 ``train`` counts hashed 1- to 3-grams per language on a bounded, hash-chosen sample of the labelled rows
 (``TRAIN_ROWS`` rows; counting runs on the executors and only languages x buckets sums come to the driver).
-``predict`` broadcasts the log-probability matrix (languages x 2**16 float32, its size is checked against
-``MAX_MODEL_BYTES``) and scores whole texts in numpy: every n-gram is one row index into the matrix and a
+``predict`` broadcasts the log priors and the log-probability matrix (languages x 2**16 float32; the number of languages is checked against
+``MAX_MODEL_BYTES`` before any count comes to the driver) and scores whole texts in numpy: every n-gram is one row index into the matrix and a
 document's score is the sum of the rows it hits.
 
 Defined cases: a null text, an empty text and a text without any letter give ``und`` with score 0; so does
@@ -77,10 +77,14 @@ def _decode(data: np.ndarray, borders: np.ndarray) -> list[str]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
 
 
-def train(rows: DataFrame, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability matrix (buckets x languages) from the columns doc_id, text, lang."""
+def train(rows: DataFrame, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log priors and the log-probability matrix (buckets x languages) from the columns doc_id, text, lang."""
     rows = hashed_sample(texts_of(rows, "lang").where("lang is not null and text is not null"), most_rows)
     size = 1 << BUCKET_BITS
+    most = MAX_MODEL_BYTES // (4 * size)
+    share = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(share) > most:
+        raise ValueError(f"more than {most} languages need more than {MAX_MODEL_BYTES} bytes")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -101,29 +105,28 @@ def train(rows: DataFrame, most_rows: int = TRAIN_ROWS) -> tuple[list[str], np.n
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part), pa.array(held[part])], ["lang", "bucket", "n"])
 
     counted = map_arrow(rows, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted.lang.unique())
-    if len(langs) * size * 4 > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages need more than {MAX_MODEL_BYTES} bytes")
+    langs = sorted(share)
+    priors = np.log(np.array([share[x] for x in langs]) / max(sum(share.values()), 1)) if langs else np.zeros(0)
     table = np.zeros((size, len(langs)))
     for k, name in enumerate(langs):
         own = counted[counted.lang == name]
         table[own.bucket.to_numpy(), k] = own.n
     table = np.log(table + SMOOTHING) - np.log(table.sum(axis=0) + SMOOTHING * size) if langs else table
-    return langs, table.astype(np.float32)
+    return langs, priors, table.astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score (the posterior of the chosen language, even priors)."""
+def predict(docs: DataFrame, langs: list[str], priors: np.ndarray, table: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred and score (the posterior of the chosen language)."""
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((langs, [np.ascontiguousarray(table[:, k]) for k in range(len(langs))]))
+    model = sc.broadcast((langs, priors, [np.ascontiguousarray(table[:, k]) for k in range(len(langs))]))
 
     def kernel(rows, data, borders):
-        names, columns = model.value
+        names, first, columns = model.value
         found, of, has = grams(_decode(data, borders))
         n = len(borders) - 1
         if not names:
             return [rows.column(0), [UNKNOWN] * n, np.zeros(n)]
-        total = np.zeros((n, len(names)))
+        total = np.tile(first, (n, 1))
         for g, o in zip(found, of):
             cut = np.searchsorted(o, np.arange(n + 1))
             for k, column in enumerate(columns):
@@ -138,5 +141,4 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_rest(F.col("doc_id"), 3) == 1
-    langs, table = train(docs.where(~held_out))
-    return predict(docs, langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs, *train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

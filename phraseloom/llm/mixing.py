@@ -5,19 +5,21 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 their limit are the first few, so prefix sums over the table of sources find the final shares in one step.
 
 A source takes ``floor(target / size)`` complete epochs, then part of one more: documents in ascending order of the
-exponential key -ln(u) / quality until the rest of the target is used up; the last one is cut there.  u is a hash of doc_id, so reruns agree; the
+exponential key -ln(u) / quality until the rest of the target is used up; the last one is cut there.  u is a hash of doc_id and text, so reruns agree; the
 quality weight of a document is the share of letters among its characters that aren't white space (0.05 at least).
 
-No source is ever sorted in one task: keys fall into bins of a fixed range of exp(-key), about ``BIN_DOCS`` documents each, words are
-summed by source and bin before the shuffle, the prefix sums run over that small table, and only rows of one bin are
-put in order together.
+No source is ever sorted in one task: keys fall into bins of a fixed range of ln(key), words are summed by source and bin before the shuffle, the prefix sums run over
+that small table, and only rows of one bin are put in order together.  Whatever the qualities are, at most a share of 1 / e of the documents lies in any range of 1 of
+ln(key), so a bin has about ``BIN_DOCS`` documents at most.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source of its own; without any word every target
-is 0; rows with equal doc_id and size are interchangeable.  Extra columns are ignored.
+is 0; rows with equal doc_id and text are interchangeable.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import e
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,21 +32,27 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 MIN_QUALITY = 0.05
 BIN_DOCS = 1_000
-MIN_BINS = 256
+#: Fewest bins of a range of 1 of ln(key).
+MIN_BINS = 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the quality weight, of whole texts."""
+    """doc_id, source, size in words, the quality weight and the text's MD5, of whole texts."""
 
     def kernel(rows, data, borders):
         _, _, first = word_spans(data, borders, ~SPACE)
         letters, solid = (sums_by(table[data].astype(np.int64), borders) for table in (_LETTER, ~SPACE))
-        return [rows.column(0), rows.column(2), np.diff(first), np.maximum(MIN_QUALITY, letters / np.maximum(solid, 1))]
+        return [rows.column(0), rows.column(2), np.diff(first), np.maximum(MIN_QUALITY, letters / np.maximum(solid, 1)), rows.column(3)]
+
+    return map_blocks(texts_of(docs, F.col("source").cast("string").alias("source"), digest(docs).alias("digest")), kernel, "doc_id long, source string, size long, quality double, digest string")
+
 
-    return map_blocks(texts_of(docs, F.col("source").cast("string").alias("source")), kernel, "doc_id long, source string, size long, quality double")
+def digest(docs: DataFrame):
+    """MD5 of a row's text, of a null as of an empty one."""
+    return F.md5(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
@@ -66,20 +74,26 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS) -> DataFr
     return full.select("source", "source_size", target.alias("target"))
 
 
+def binned(sized: DataFrame, n: int) -> DataFrame:
+    """The n measured rows with their key and its bin."""
+    bins = max(MIN_BINS, round(n / e / BIN_DOCS))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("digest"))
+    u = (F.conv(F.substring(F.md5(F.encode(named, "UTF-8")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return sized.withColumn("key", -F.log(u) / F.col("quality")).withColumn("bin", F.floor(F.log("key") * bins).cast("long"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """Every document with doc_id, source, size, source_size, target, taken (words), copies (whole texts, the cut one rounded)."""
+    """Every document with doc_id, source, size, source_size, target, taken (words), copies (whole texts, the cut one rounded) and digest of its text."""
     sized = stored(measured(docs), "sizes")
     n = sized.count()
-    bins = max(MIN_BINS, -(-n // BIN_DOCS))
-    u = (F.conv(F.substring(F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = sized.withColumn("key", -F.log(u) / F.col("quality")).withColumn("bin", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("key"))) * bins)).cast("int"))
+    keyed = binned(sized, n)
     by_bin = stored(keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     aims = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")))
     spent = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = by_bin.select(F.col("source").alias("s"), "bin", "bin_size").join(aims, F.col("s").eqNullSafe(F.col("source")))
     table = same.withColumn("spent", spent).select("s", F.col("bin").alias("b"), "source_size", "target", "spent")
     joined = keyed.join(table, keyed.source.eqNullSafe(table.s) & (keyed.bin == table.b))
-    before = Window.partitionBy("s", "b").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("s", "b").orderBy("key", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("spent") + F.coalesce(F.sum("size").over(before), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("rest")).cast("long") - F.col("at")))
@@ -92,6 +106,7 @@ def mix(docs: DataFrame) -> DataFrame:
         "target",
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         F.when(F.col("size") > 0, F.col("epochs") + (F.col("part") * 2 >= F.col("size")).cast("long")).otherwise(0).alias("copies"),
+        "digest",
     )
 
 
@@ -104,8 +119,8 @@ def mix_sql(documents: str = "documents") -> str:
     return rf"""
 sized AS (
   SELECT doc_id, source, n AS size, greatest({MIN_QUALITY}, letters / greatest(solid, 1)::DOUBLE) AS quality,
-    (('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT + 0.5) / {1 << 48}::DOUBLE AS u
-  FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || digest), 1, 12))::BIGINT + 0.5) / {1 << 48}::DOUBLE AS u, digest
+  FROM (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n,
     strlen(regexp_replace(coalesce(text, ''), '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS letters,
     strlen(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS solid FROM {documents}) m),
 sources AS (
@@ -123,7 +138,7 @@ aims AS (
   FROM filled),
 ordered AS (
   SELECT d.doc_id, d.source, d.size, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN floor(a.target / a.source_size) ELSE 0 END::BIGINT AS epochs,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.quality, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.quality, d.doc_id, d.digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS behind
   FROM sized d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
 mixed AS (
   SELECT doc_id, source, size, source_size, target, (epochs * size + part)::BIGINT AS taken, CASE WHEN size > 0 THEN epochs + CASE WHEN part * 2 >= size THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS copies

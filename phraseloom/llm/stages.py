@@ -1,7 +1,6 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> documents, or the last one's rows.
 
-Filtering stages keep all columns and all documents that they don't reject; rows without doc_id can't be
-named by a join, so the near-dedup keeps them and mixing takes them by the decision of one of them.
+Filtering stages keep all columns and all documents that they don't reject.  A row is a document: where ids are null or repeated, rows are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -34,11 +33,23 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = stored(copies.select(F.col("doc_id").alias("_mixed"), F.col("copies").cast("int").alias("_copies")), "mix")
-    taken = docs.join(copies, docs.doc_id.eqNullSafe(copies["_mixed"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Each document as many times as the mix takes it; of equal rows (doc_id and text), one stands for all."""
+    by_row = mixing.mix(docs).groupBy("doc_id", "digest").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    taken = stored(by_row.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("copies").alias("_copies"), "n"), "mix")
+
+    def with_copies(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.join(of, rows["doc_id"].cast("long").eqNullSafe(of["_id"]) & (mixing.digest(rows) == of["_digest"]))
+
+    name = max(docs.columns, key=len) + "_copy"  # longer than every name of a column
+
+    def repeated(rows: DataFrame, of: DataFrame) -> DataFrame:
+        return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), of["_copies"])).alias(name)).drop(name)
+
+    single, several = taken.where("n = 1"), taken.where("n > 1")
+    out = repeated(with_copies(docs, single), single)
+    if several.limit(1).count():
+        out = out.union(repeated(with_copies(docs, several).dropDuplicates(["_id", "_digest"]), several))
+    return out
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

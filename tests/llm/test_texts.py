@@ -32,8 +32,8 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_odd_texts(odd, empty):
-    langs, table = language_id.train(odd)
-    got = {r.doc_id: r for r in language_id.predict(odd, langs, table).collect()}
+    langs, priors, table = language_id.train(odd)
+    got = {r.doc_id: r for r in language_id.predict(odd, langs, priors, table).collect()}
     assert langs == ["en"] and [got[i].lang_pred for i in (0, 1, 2, 3)] == ["und", "und", "und", "en"]
     assert language_id.predict(odd, *language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
     for model in (toxicity.train(empty.withColumn("toxic", empty.n_chars)), quality.train(empty.withColumn("quality", empty.n_chars))):
@@ -43,9 +43,9 @@ def test_odd_texts(odd, empty):
 
 
 def test_score_does_not_depend_on_neighbours(odd):
-    langs, table = language_id.train(odd)
-    whole = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.predict(odd, langs, table).collect()}
-    single = {(r.doc_id, r.lang_pred, round(r.score, 9)) for i in (3, 4, 12) for r in language_id.predict(odd.where(odd.doc_id == i), langs, table).collect()}
+    langs, priors, table = language_id.train(odd)
+    whole = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.predict(odd, langs, priors, table).collect()}
+    single = {(r.doc_id, r.lang_pred, round(r.score, 9)) for i in (3, 4, 12) for r in language_id.predict(odd.where(odd.doc_id == i), langs, priors, table).collect()}
     assert single <= whole
 
 
@@ -133,4 +133,24 @@ def test_tiles_do_not_overlap():
         for k in (0, 1):
             used = [x for t in tiles for x in range(t[k], t[k] + t[2])]
             assert len(used) == len(set(used))
-        assert sum(n for _, _, n in tiles) == brute.tiled(a.tolist(), b.tolist(), 3) or len(tiles) > 1
+        assert max((n for _, _, n in tiles), default=0) == longest(a.tolist(), b.tolist(), [], [])
+        assert longest(a.tolist(), b.tolist(), *([x for t in tiles for x in range(t[k], t[k] + t[2])] for k in (0, 1))) == 0  # nothing is left to mark
+        if len(tiles) <= 1:
+            assert sum(n for _, _, n in tiles) == brute.tiled(a.tolist(), b.tolist(), 3)
+
+
+def longest(a, b, in_a, in_b, least=3):
+    """Length of the longest common run outside the marked places; 0 below ``least``."""
+    a, b = ([-k - 1 if i in held else x for i, x in enumerate(own)] for k, (own, held) in enumerate(((a, set(in_a)), (b, set(in_b)))))
+    best = max((n for n in range(1, min(len(a), len(b)) + 1) if {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}), default=0)
+    return best if best >= least else 0
+
+
+def test_benchmark_in_slices(spark, monkeypatch):
+    """A benchmark that is read in many parts gives the rows of one that is read at once."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate.slices, "__defaults__", (200,))
+    assert decontaminate.slices(bench)[0] > 2
+    assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect())) == whole
+    assert decontaminate.decontaminate(docs, bench).count() == docs.count() - len({r[0] for r in whole})
