@@ -108,9 +108,9 @@ def read_bytes(uri: str) -> bytes:
         return src.read()
 
 
-def crc_rest(column, divisor: int):
-    """crc32 of the id written as text, modulo ``divisor``: the folds of the labelled rows."""
-    return F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(divisor)
+def in_fold(column, divisor: int, rest: int):
+    """Whether the crc32 of the id, written as text, leaves ``rest``: the folds of the labelled rows.  A null id is in no fold."""
+    return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(divisor) == rest, F.lit(False))
 
 
 def hashed_sample(rows: DataFrame, most: int, key: str = "doc_id", seed: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ document's score is the sum of the rows it hits.
 
 Defined cases: a null text, an empty text and a text without any letter give ``und`` with score 0; so does
 every text when no labelled row exists.  Repeated rows are scored one by one; ties between languages go to
-the one that sorts first.  Extra columns of the input are ignored.  Characters that aren't letters count as
+the one that sorts first.  A row without doc_id isn't held out.  Extra columns of the input are ignored.  Characters that aren't letters count as
 one space, so runs of symbols carry no evidence.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import crc_rest, hashed_sample, map_arrow, map_blocks, sums_by, texts_of
+from .frames import hashed_sample, in_fold, map_arrow, map_blocks, sums_by, texts_of
 from .textkernel import blocks
 
 ORDERS = (1, 2, 3)
@@ -140,5 +140,5 @@ def predict(docs: DataFrame, langs: list[str], priors: np.ndarray, table: np.nda
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    held_out = in_fold(F.col("doc_id"), 3, 1)
     return predict(docs, *train(docs.where(~held_out))).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -4,12 +4,12 @@ Two zstandard dictionaries are trained, one on good and one on bad labelled text
 each; the normalised difference of the two sizes, with the sizes themselves per byte, becomes a score through
 a logistic calibration fitted on labelled rows.
 
-Bounds (parameters): ``DICT_ROWS`` rows per class, of which ``SLICE`` bytes from the middle and the end are dictionary
-samples (drawn by a hash of their own, so as many at every size), and ``FIT_ROWS`` rows for the calibration, whose size pairs only come to the driver.  Scoring reads every
+Bounds (parameters): ``DICT_ROWS`` rows per class (drawn by a hash of their own, so as many at every size), whose whole texts, in pieces of ``PIECE`` bytes, are the dictionary
+samples, and ``FIT_ROWS`` rows for the calibration, whose size pairs only come to the driver.  Scoring reads every
 whole text, without a shuffle.
 
 Defined cases: a null or empty text gets the share of good rows in the fit; when one class has no row, or too few
-bytes to make a dictionary, every text gets that share (0.5 without any label).  Repeated rows get equal scores.
+bytes to make a dictionary, every text gets that share (0.5 without any label).  Repeated rows get equal scores; a row without doc_id isn't held out.
 Extra columns are ignored.
 """
 
@@ -21,22 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import Logistic, fit_logistic
-from .frames import crc_rest, hashed_sample, labelled_rows, map_blocks, texts_of
+from .frames import hashed_sample, in_fold, labelled_rows, map_blocks, texts_of
 
 DICT_ROWS = 1_500
 DICT_BYTES = 112_640
-SLICE = 2_048
+PIECE = 2_048
 FIT_ROWS = 12_000
 LEVEL = 3
 
 
 def dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes | None:
-    """A zstandard dictionary of the middle and end of each text; None if there is too little text."""
-    samples = []
-    for text in texts:
-        middle = len(text) // 2
-        samples += [text] if len(text) <= SLICE else [text[middle : middle + SLICE], text[-SLICE:]]
-    samples = [s for s in samples if len(s) >= 8]
+    """A zstandard dictionary of the texts, whole, in pieces; None if there is too little text."""
+    samples = [s for text in texts for i in range(0, len(text), PIECE) if len(s := text[i : i + PIECE]) >= 8]
     if len(samples) < 8:
         return None
     try:
@@ -97,12 +93,9 @@ def train(rows: DataFrame) -> QualityModel:
     texts = {}
     for label in (0, 1):
         own = rows.where(F.col("quality") == label)
-        cut = F.encode("text", "UTF-8")
-        middle, end = F.floor(F.length(cut) / 2).cast("int"), F.length(cut)
-        piece = F.when(end <= SLICE, cut).otherwise(F.concat(F.substring(cut, middle + 1, F.lit(SLICE)), F.substring(cut, end - SLICE + 1, F.lit(SLICE))))
-        texts[label] = [bytes(r.piece) for r in hashed_sample(own, DICT_ROWS, seed=3).select("doc_id", piece.alias("piece")).orderBy("doc_id").collect()]
-    split = {k: [p for t in v for p in ([t] if len(t) < 2 * SLICE else [t[:SLICE], t[SLICE:]])] for k, v in texts.items()}
-    pair = dictionary(split[1]), dictionary(split[0])
+        chosen = hashed_sample(own, DICT_ROWS, seed=3).orderBy("doc_id", "text").select("text")
+        texts[label] = [r["text"].encode() for r in chosen.toLocalIterator()]
+    pair = dictionary(texts[1]), dictionary(texts[0])
     seen = sum(map(len, texts.values()))
     share = len(texts[1]) / seen if seen else 0.5
     if None in pair:
@@ -115,6 +108,6 @@ def train(rows: DataFrame) -> QualityModel:
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    held_out = in_fold(F.col("doc_id"), 3, 1)
     model = train(labelled_rows(docs, labels.where(~held_out), "quality", FIT_ROWS))
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

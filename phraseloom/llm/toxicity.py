@@ -13,13 +13,13 @@ The insult lexicon is learned: a word enters it when it stands in many different
 after) in toxic documents and in hardly any in others; counting contexts keeps copied documents from adding words.
 Learned stems (beginnings of words, for inflected and compound forms) make a second, weaker class, ``slur``.
 
-Bounds (parameters): ``TRAIN_ROWS`` labelled rows, chosen by hash; ``MAX_LEXICON`` learned words.  Scoring reads every
+Bound (parameter): ``TRAIN_ROWS`` labelled rows, chosen by hash; all words and stems that pass the shares are learned from them.  Scoring reads every
 whole text and needs no shuffle; a byte-table hash look-up finds the few clauses that the machine must read.  It finds all that hold a reading: runs with
 characters at which the grammar ends a word or changes the case (quotes, dashes, spaces and capitals outside ASCII) are split as the grammar splits them.
 
 Defined cases: null or empty texts, and texts without a reading, get the intercept's score (about the share of toxic
-documents among those without readings).  Without labelled rows the given weights hold.  Repeated rows get equal scores; extra columns
-are ignored.
+documents among those without readings).  Without labelled rows the given weights hold.  Repeated rows get equal scores; a row without doc_id isn't
+held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibrate import Logistic, fit_logistic
-from .frames import crc_rest, hashed_sample, labelled_rows, map_blocks, texts_of
+from .frames import hashed_sample, in_fold, labelled_rows, map_blocks, texts_of
 from .textkernel import ALNUM, LOWER, WORD_HASH, word_spans
 
 TRAIN_ROWS = 16_000
-MAX_LEXICON = 2_000
 MIN_CONTEXTS = 5
 MIN_SHARE = 0.9
 STEM_LENGTHS = range(3, 9)
@@ -221,7 +220,7 @@ def scores(data: np.ndarray, borders: np.ndarray, symbol: Symbols, weights: Logi
     return weights.predict(np.log1p(counts)), counts.sum(axis=1).astype(np.int64)
 
 
-def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> tuple[list[str], list[str]]:
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Words, and beginnings of words, that stand in many contexts in toxic rows and in few others; from columns text and toxic."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = rows.select("toxic", words.alias("w")).select("toxic", F.explode(F.expr("transform(w, (x, i) -> struct(x as word, xxhash64(if(i > 0, w[i-1], ''), x, if(i + 1 < size(w), w[i+1], '')) as context))")).alias("at"))
@@ -230,7 +229,7 @@ def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> tuple[list[str],
 
     def chosen(counted: DataFrame, least: int, share: float) -> list:
         good = (F.col("hot") >= least) & (F.col("hot") >= share * F.col("n")) & (F.length("word") >= 3)
-        return counted.where(good).orderBy(F.desc("hot"), "word").limit(most).collect()
+        return counted.where(good).orderBy(F.desc("hot"), "word").collect()  # of a bounded number of rows
 
     lengths = F.array(*map(F.lit, STEM_LENGTHS))
     stems = by_word.select(F.explode(F.filter(lengths, lambda k: k < F.length("word"))).alias("k"), "word", "hot", "n").select(F.expr("substring(word, 1, k)").alias("word"), "hot", "n")
@@ -278,12 +277,12 @@ def train(rows: DataFrame) -> ToxicityModel:
 
 def labelled(spark, sf_dir: str, docs: DataFrame) -> DataFrame:
     """Rows from which toxicity may be learned."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_rest(F.col("doc_id"), 4) != 2)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~in_fold(F.col("doc_id"), 4, 2))
     return labelled_rows(docs, labels, "toxic", TRAIN_ROWS)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    held_out = in_fold(F.col("doc_id"), 4, 2)
     scored = train(labelled(spark, sf_dir, docs)).score(docs)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "n_readings")
