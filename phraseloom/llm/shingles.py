@@ -4,8 +4,9 @@ A text's set holds its distinct shingles of ``size`` lower-cased words (A-Z only
 empty set.  Texts of equal sets are one class.  Two classes link when common / all shingles is at least ``SIMILARITY``.
 
 Candidates are classes whose 128-bit fingerprints (bit i is set when it is set in over half the shingles' hashes) differ in at most ``PROBE_BITS`` bits of one half or the
-other, and in at most ``ALL_BITS`` in all; the pigeonhole search of ``simhash`` finds them.  Of a crowded signature it returns spanning forests only, one of them of close pairs.  Candidates are verified in three rounds, and those whose ends the links found so far join are left out: the nearest candidate of each class, the
-nearest of each two groups, and all others.  So a group of thousands of copies costs about one comparison a copy.
+other, and in at most ``ALL_BITS`` in all; the pigeonhole search of ``simhash`` finds them.  Candidates are verified in three rounds, and those whose ends the links found so far join are left out: the nearest candidates of
+each class, the nearest of each two groups, and all others.  Between classes with very many candidates the search first returns only the nearest pairs; a second search then returns all
+pairs of theirs that are still in different groups.  So a group of thousands of near copies costs a few comparisons a copy, and no candidate is lost.
 
 Defined cases: null, empty and blank texts are one class.  Rows without doc_id take part like any other.  Rows with equal doc_id and different texts are documents of their own.
 An empty table gives no rows.
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 from ..sources.store import written as stored
 from .components import components
 from .frames import map_arrow, map_blocks, texts_of
-from .simhash import SPREAD, near_edges
+from .simhash import PARTIAL, SPREAD, near_edges
 from .textkernel import LOWER, SPACE, WINDOW_HASH, WORD_HASH, mix64, window_hashes, word_spans
 
 #: Similarity as a fraction.
 SIMILARITY = (4, 5)
 #: Two texts of similarity 0.8 differ in 9.7 bits of a half on average (deviation 2.9), and in 19.4 of all (4.1).
-PROBE_BITS, ALL_BITS = 13, 32
+PROBE_BITS, ALL_BITS = 13, 25
 #: Most rows of a table of ids that is broadcast, 16 bytes each; a larger one is joined by a shuffle.
 SENT_ROWS = 500_000
 #: Runs of 255 shingles whose bits are counted together.
@@ -102,13 +103,19 @@ def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, same, how)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v, d): pairs of classes, u < v, whose fingerprints differ in d bits; nodes has (class, fp, fp2)."""
+def _both_halves(by_print: DataFrame, apart: bool = False) -> DataFrame:
+    swapped = by_print.withColumns({"fp": F.col("fp2"), "fp2": F.col("fp")})
+    found = near_edges(by_print, PROBE_BITS, ALL_BITS, apart=apart).union(near_edges(swapped, PROBE_BITS, ALL_BITS, apart=apart))
+    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
+
+
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, d): pairs of classes, u < v, whose fingerprints differ in d bits, and a pair (u, u) of a class of which pairs were left out; and (fp, fp2, node), a class of each
+    fingerprint.  nodes has (class, fp, fp2)."""
     by_print = stored(nodes.groupBy("fp", "fp2").agg(F.min("class").alias("node")), "prints")
-    found = near_edges(by_print, PROBE_BITS, ALL_BITS).union(near_edges(by_print.select("node", F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), PROBE_BITS, ALL_BITS))
     same = nodes.join(by_print.withColumnsRenamed({"fp": "a", "fp2": "b"}), (F.col("fp") == F.col("a")) & (F.col("fp2") == F.col("b"))).where("class <> node")
-    found = found.union(same.select("node", "class", F.lit(0).cast("int")))
-    return stored(found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d")), "candidates")
+    found = _both_halves(by_print).union(same.select("node", "class", F.lit(0).cast("int")))
+    return stored(found, "candidates"), by_print
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
@@ -143,25 +150,35 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return stored(map_arrow(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"), "links")
 
 
-def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, root) of the classes that have a link; nodes has (class, fp, fp2, doc_id, hash), one row each."""
-    rest = _candidates(nodes)
-    held = _sets_of(rest, docs, nodes.select("class", "doc_id", "hash"), size)
-    rest, found, roots = rest.withColumns({"p": F.col("u"), "q": F.col("v")}), None, None
-    for choice in (["v"], ["p", "q"], None):
-        chosen = rest if choice is None else rest.groupBy(*choice).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v", "x.d")
-        chosen = stored(chosen.select("u", "v", "d"), "chosen")
-        own = _links(chosen, held)
-        found = own if found is None else found.union(own)
-        roots = stored(components(found), "roots")
-        if choice is None:
-            break
-        rest = rest.select("u", "v", "d").join(chosen.select("u", "v"), ["u", "v"], "left_anti")
+def _settled(rest: DataFrame, held: DataFrame, found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and (node, root) of their groups, after the pairs ``rest`` (u, v, d) are verified; those whose ends earlier links join are left out."""
+    for choice in (["p", "q"], None):
         for end, root in (("u", "p"), ("v", "q")):
             rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
         rest = stored(rest.where("p <> q").select("u", "v", "d", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), "rest")
         if not rest.limit(1).count():
             break
+        chosen = rest if choice is None else rest.groupBy(*choice).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v", "x.d")
+        chosen = stored(chosen.select("u", "v", "d"), "chosen")
+        found = found.union(_links(chosen, held))
+        roots = stored(components(found), "roots")
+        rest = rest.select("u", "v", "d").join(chosen.select("u", "v"), ["u", "v"], "left_anti")
+    return found, roots
+
+
+def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, root) of the classes that have a link; nodes has (class, fp, fp2, doc_id, hash), one row each."""
+    pairs, by_print = _candidates(nodes)
+    near, crowded = pairs.where("u <> v"), pairs.where("u = v").select(F.col("u").alias("of"))
+    held = _sets_of(near, docs, nodes.select("class", "doc_id", "hash"), size)
+    nearest = [near.groupBy(end).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v") for end in ("u", "v")]
+    found = _links(stored(nearest[0].union(nearest[1]).distinct(), "nearest"), held)
+    roots = stored(components(found), "roots")
+    found, roots = _settled(near.where(F.col("d") < PARTIAL), held, found, roots)
+    if crowded.limit(1).count():  # the pairs that were left out, of groups that are still apart
+        again = by_print.join(crowded, F.col("node") == F.col("of"), "left_semi").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        again = stored(again.select("fp", "fp2", "node", F.coalesce("root", "node").alias("root")), "crowded")
+        found, roots = _settled(stored(_both_halves(again, apart=True), "apart"), held, found, roots)
     return roots
 
 
