@@ -30,3 +30,12 @@ def blocks(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFram
     rank = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(value)) - 1
     placed = sliced.withColumn("_r", rank).join(counted, [*keys, "_s"]).withColumn("block", F.floor((F.col("_before") + F.col("_r")) / size).cast("long"))
     return placed.groupBy(*keys, "block").agg(F.count("*").alias("m"), F.max(value).alias("top"))
+
+
+def strided(postings: DataFrame, step: int, width: int = 65_536) -> DataFrame:
+    """term, place, doc_id: every ``step``-th document of each list, from the first.  Lists are numbered by slices of documents, so a long one is no single task."""
+    rows = postings.select("term", "doc_id").withColumn("s", F.floor(F.col("doc_id") / width))
+    before = F.sum("n").over(Window.partitionBy("term").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    slices = rows.groupBy("term", "s").agg(F.count("*").alias("n")).select("term", "s", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("term", "s").orderBy("doc_id")) - 1
+    return rows.withColumn("inside", inside).join(slices, ["term", "s"]).select("term", (F.col("before") + F.col("inside")).alias("place"), "doc_id").where(F.col("place") % step == 0)

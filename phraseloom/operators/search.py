@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
+from ..sources.store import written
 
 
 def exploded(patterns: DataFrame) -> DataFrame:
@@ -37,14 +38,20 @@ def phrase_starts(corpus: Corpus, patterns: DataFrame) -> DataFrame:
 
 
 def phrase_starts_chained(corpus: Corpus, patterns: DataFrame, longest: int) -> DataFrame:
-    """The same by semi-joins, one for each further word of the longest pattern."""
-    first = patterns.select("pid", "tokens", F.col("tokens")[0].alias("term"))
-    found = corpus.tokens.select("term", "doc_id", "pos").join(first, "term").select("pid", "tokens", "doc_id", "pos")
+    """The same by one join for each further word, from a pattern's rarest word to its most frequent one.
+
+    Every step reads the places found so far once, so the plan grows with the length of the longest pattern only; of the token table just the words of the batch are joined.
+    """
+    terms = exploded(patterns)
+    words = terms.join(corpus.term_stats.select("term", "cf"), "term", "left").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "off", "term"))).alias("w"))
+    places = written(corpus.tokens.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "pos"), "batch-tokens")
+    first = words.select("pid", "w", F.col("w")[0]["term"].alias("term"), F.col("w")[0]["off"].alias("off"))
+    found = places.join(first, "term").select("pid", "w", "doc_id", (F.col("pos") - F.col("off")).alias("pos")).where("pos >= 0")
     for k in range(1, longest):
-        other = corpus.tokens.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), (F.col("pos") - k).alias("p"))
-        more = found.where(F.size("tokens") > k)
-        matched = more.join(other, (F.get("tokens", F.lit(k)) == F.col("t")) & (F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p")), "left_semi")
-        found = found.where(F.size("tokens") <= k).unionByName(matched)
+        other = places.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.lit(True).alias("hit"))
+        word = F.get("w", F.lit(k))
+        met = found.join(other, (word["term"] == F.col("t")) & (found.doc_id == F.col("d")) & (found.pos + word["off"] == F.col("p")), "left")
+        found = met.where((F.size("w") <= k) | F.col("hit")).select("pid", "w", "doc_id", "pos")
     return found.select("pid", "doc_id", "pos")
 
 

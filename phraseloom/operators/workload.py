@@ -34,14 +34,44 @@ def gram_stats(corpus: Corpus, sizes=range(2, 11), least: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6) -> DataFrame:
-    """The first ``n`` patterns of each bucket by pid, buckets 0 to ``most_bucket``.
+def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: tuple[str, ...] = ("pid",)) -> DataFrame:
+    """The first ``n`` patterns of each bucket in order, buckets 0 to ``most_bucket``.
 
     Two steps, so that a full bucket isn't sorted in one task: the first n of each of 64 parts, then the first n of those.
     """
-    part = F.pmod(F.xxhash64("pid"), F.lit(64))
-    near = patterns.where(F.col("bucket").between(0, most_bucket)).withColumn("_r", F.row_number().over(Window.partitionBy("bucket", part).orderBy("pid"))).where(F.col("_r") <= n)
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy("pid"))).where(F.col("_r") <= n).drop("_r")
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    near = patterns.where(F.col("bucket").between(0, most_bucket)).withColumn("_r", F.row_number().over(Window.partitionBy("bucket", part).orderBy(*order))).where(F.col("_r") <= n)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def generated(corpus: Corpus, most: int) -> DataFrame:
+    """id (from 1, by bucket, size and words), bucket, m, gram, ndoc, nocc: the right-maximal n-grams, at most ``most`` of each bucket."""
+    grams = gram_stats(corpus).withColumn("bucket", bucket(F.col("ndoc")))
+    chosen = first_per_bucket(grams, most, len(BUCKETS) - 1, ("m", "gram")).withColumn("one", F.lit(1))
+    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).drop("one", "before")
+
+
+def old_lines(patterns: DataFrame, corpus: Corpus) -> DataFrame:
+    """id and line ``bucket;ndoc;m;sp;ep;nocc;t,t,...``; sp and ep are 0."""
+    words = patterns.select("id", F.posexplode(F.split("gram", " ")).alias("off", "term")).join(corpus.dictionary, "term")
+    ids = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("off", "term_id"))).alias("w")).select("id", F.array_join(F.col("w.term_id").cast("array<string>"), ",").alias("ids"))
+    zero = F.lit("0")
+    return patterns.join(ids, "id").select("id", F.concat_ws(";", "bucket", "ndoc", "m", zero, zero, "nocc", "ids").alias("line"))
+
+
+def from_old_lines(lines: DataFrame) -> DataFrame:
+    """id, the fields of the line, and tokens, an array of term ids."""
+    parts = F.split("line", ";")
+    fields = ["bucket", "ndoc", "m", "sp", "ep", "nocc"]
+    return lines.select("id", *(parts[i].cast("long").alias(f) for i, f in enumerate(fields)), F.split(parts[len(fields)], ",").cast("array<long>").alias("tokens"))
+
+
+def new_lines(patterns: DataFrame, corpus: Corpus) -> DataFrame:
+    """id and line ``id;bucket;m;sp;ep;ndoc;nocc;list_size_sum;min_list_size;t,t,...``."""
+    sizes = corpus.dictionary.join(corpus.term_stats.select("term", "cf"), "term").select("term_id", "cf")
+    lists = patterns.select("id", F.explode("tokens").alias("term_id")).join(sizes, "term_id").groupBy("id").agg(F.sum("cf").alias("list_size_sum"), F.min("cf").alias("min_list_size"))
+    tokens = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return patterns.join(lists, "id").select("id", F.concat_ws(";", "id", "bucket", "m", "sp", "ep", "ndoc", "nocc", "list_size_sum", "min_list_size", tokens).alias("line"))
 
 
 def list_stats(corpus: Corpus, patterns: DataFrame) -> DataFrame:

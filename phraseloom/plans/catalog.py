@@ -13,16 +13,15 @@ from ..sources.corpus import Corpus
 from ..sources.patterns import parse_queries
 from .strategy import phrase_starts
 
-LONGEST = 4
 #: Words of the longest patterns and n-grams of the workload.
-LONGEST_OF_ALL = 10
+LONGEST = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# Common tables of the SQL.  Patterns: the first 1 to 4 words of every benchmark passage with 4 words or more.
+# Common tables of the SQL.  Patterns: the first 1 to 10 words of every benchmark passage, as many as it has.
 TOK = tokens.SQL
-PAT = rf"""pat AS (SELECT item_id AS pid, (1 + item_id % {LONGEST})::BIGINT AS m, b[1:(1 + item_id % {LONGEST})::INT] AS tokens
-  FROM (SELECT item_id, regexp_extract_all(lower(text), '{tokens.PATTERN}') AS b FROM benchmark) x WHERE len(b) >= {LONGEST}),
+PAT = rf"""pat AS (SELECT item_id AS pid, len(b[1:(1 + item_id % {LONGEST})::INT])::BIGINT AS m, b[1:(1 + item_id % {LONGEST})::INT] AS tokens
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '{tokens.PATTERN}') AS b FROM benchmark) x WHERE len(b) > 0),
 pt AS (SELECT pid, m, unnest(tokens) AS term, (generate_subscripts(tokens, 1) - 1)::BIGINT AS off FROM pat)"""
 POST = "post AS (SELECT term, doc_id, count(*)::BIGINT AS tf FROM tok GROUP BY term, doc_id)"
 STATS = "stats AS (SELECT term, sum(tf)::BIGINT AS cf, count(*)::BIGINT AS df FROM post GROUP BY term)"
@@ -50,11 +49,11 @@ def query(sql: str) -> Callable:
     return add
 
 
-def patterns(spark: SparkSession, sf_dir: str, longest: int = LONGEST) -> DataFrame:
-    """pid and tokens, from the benchmark table: the first 1 to ``longest`` words of every passage that has so many."""
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pid and tokens, from the benchmark table: the first 1 to ``LONGEST`` words of every passage, as many as it has."""
     w = tokens.words("text")
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pid"), w.alias("w")).where(F.size("w") >= longest)
-    return rows.select("pid", F.slice("w", 1, (F.col("pid") % longest + 1).cast("int")).alias("tokens"))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pid"), w.alias("w")).where(F.size("w") > 0)
+    return rows.select("pid", F.slice("w", 1, (F.col("pid") % LONGEST + 1).cast("int")).alias("tokens"))
 
 
 def frequent(corpus: Corpus, n: int = 20) -> DataFrame:
@@ -155,6 +154,13 @@ def postings_successor(c, spark, sf):
     return rows.groupBy("pid", "term", "at").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("successor")).withColumn("found", F.coalesce(F.col("successor") == F.col("at"), F.lit(False)))
 
 
+@query(f"WITH {TOK}, {PAT}, {POST}, n AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS place FROM post WHERE term IN (SELECT term FROM pt)) SELECT term, place::BIGINT AS place, doc_id FROM n WHERE place % 8 = 0")
+def strided_lists(c, spark, sf):
+    """Every eighth document of the lists of the patterns' words."""
+    terms = search.exploded(patterns(spark, sf)).select("term").distinct()
+    return layouts.strided(c.postings.join(terms, "term", "left_semi"), 8)
+
+
 @query(f"WITH {TOK}, {POST}, {STATS}, {FREQUENT} SELECT a.doc_id AS v FROM post a JOIN post b ON a.doc_id = b.doc_id WHERE a.term = (SELECT min(term) FROM freq) AND b.term = (SELECT max(term) FROM freq)")
 def intersect_two(c, spark, sf):
     few = frequent(c)
@@ -233,18 +239,6 @@ def conjunctive_top10_json(c, spark, sf):
     return service.conjunctive_replies(c, patterns(spark, sf))
 
 
-_LONG = LONGEST_OF_ALL
-
-
-@query(
-    rf"""WITH {TOK}, pat AS (SELECT item_id AS pid, b[1:(1 + item_id % {_LONG})::INT] AS tokens FROM (SELECT item_id, regexp_extract_all(lower(text), '{tokens.PATTERN}') AS b FROM benchmark) x WHERE len(b) >= {_LONG}),
-hit AS (SELECT p.pid, t.doc_id FROM pat p JOIN tok t ON t.term = p.tokens[1] JOIN d ON d.doc_id = t.doc_id WHERE d.l[t.pos + 1:t.pos + len(p.tokens)] = p.tokens) SELECT pid, doc_id, count(*)::BIGINT AS freq FROM hit GROUP BY pid, doc_id"""
-)
-def phrase_docs_to_10(c, spark, sf):
-    """phrase_docs with patterns of 1 to 10 words."""
-    return search.frequencies(search.phrase_starts(c, patterns(spark, sf, LONGEST_OF_ALL)))
-
-
 # --- bigrams and n-grams -------------------------------------------------------------------------
 
 
@@ -267,22 +261,12 @@ def bigram_positions(c, spark, sf):
     return c.bigram_positions.join(pairs, ["t1", "t2"]).select("pid", "doc_id", "pos")
 
 
-@query(
-    f"""WITH {TOK}, g AS (SELECT doc_id, pos, term, lead(term, 1) OVER w AS n1, lead(term, 2) OVER w AS n2, lead(term, 3) OVER w AS n3 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-e AS (SELECT 2 AS m, term || ' ' || n1 AS gram, doc_id, coalesce(n2, '') AS nx FROM g WHERE n1 IS NOT NULL UNION ALL SELECT 3, term || ' ' || n1 || ' ' || n2, doc_id, coalesce(n3, '') FROM g WHERE n2 IS NOT NULL)
-SELECT m::BIGINT AS m, gram, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, gram HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2"""
-)
-def ngram_stats(c, spark, sf):
-    """The n-grams of 2 and 3 words; ``ngram_stats_to_10`` has all sizes."""
-    return workload.gram_stats(c, range(2, 4))
-
-
 @query(
     f"WITH {TOK}, e AS ("
-    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, array_to_string(d.l[t.pos + 1:t.pos + {m}], ' ') AS gram, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST_OF_ALL + 1))
+    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, array_to_string(d.l[t.pos + 1:t.pos + {m}], ' ') AS gram, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST + 1))
     + ") SELECT m, gram, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, gram HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2"
 )
-def ngram_stats_to_10(c, spark, sf):
+def ngram_stats(c, spark, sf):
     """All right-maximal n-grams of 2 to 10 words."""
     return workload.gram_stats(c)
 
@@ -330,14 +314,9 @@ def _listing(postings: DataFrame) -> DataFrame:
     return near.select("term", "doc_id", F.coalesce("p", "before", F.lit(-1)).alias("previous_doc"), F.coalesce("n", "after", F.lit(-1)).alias("next_doc"))
 
 
-@query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WHERE term IN ('the', 'de', 'und', 'que') WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
-def document_listing(c, spark, sf):
-    """Each document of four words' lists once, with its neighbours in the list; ``document_listing_all`` has every word."""
-    return _listing(c.postings.where(F.col("term").isin("the", "de", "und", "que")))
-
-
 @query(f"WITH {TOK}, {POST} SELECT term, doc_id, coalesce(lag(doc_id) OVER w, -1) AS previous_doc, coalesce(lead(doc_id) OVER w, -1) AS next_doc FROM post WINDOW w AS (PARTITION BY term ORDER BY doc_id)")
-def document_listing_all(c, spark, sf):
+def document_listing(c, spark, sf):
+    """Each document of every word's list once, with its neighbours in the list."""
     return _listing(c.postings)
 
 
@@ -376,6 +355,30 @@ def workload_checksum(c, spark, sf):
     return by_pattern.agg(F.sum("n").alias("n"), F.sum("p").alias("sum_pos"), F.sum("d").alias("sum_doc"), F.count("*").alias("n_matched"))
 
 
+MOST_PER_BUCKET = 10_000
+_MADE = (
+    f"WITH {TOK}, {POST}, {STATS}, {DIC}, e AS ("
+    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, d.l[t.pos + 1:t.pos + {m}] AS g, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST + 1))
+    + f"""), gr AS (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, g HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2),
+bk AS (SELECT *, array_to_string(g, ' ') AS gram, {workload.bucket_sql('ndoc')} AS bucket FROM gr),
+made AS (SELECT *, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY m, gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
+w AS (SELECT id, unnest(g) AS term, generate_subscripts(g, 1) AS off FROM made),
+ids AS (SELECT w.id, string_agg(dic.term_id::VARCHAR, ',' ORDER BY w.off) AS ids, sum(s.cf)::BIGINT AS total, min(s.cf) AS least FROM w JOIN dic ON w.term = dic.term JOIN stats s ON w.term = s.term GROUP BY w.id) """
+)
+
+
+@query(_MADE + "SELECT made.id::BIGINT AS id, bucket || ';' || ndoc || ';' || m || ';0;0;' || nocc || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
+def generated_patterns(c, spark, sf):
+    """The pattern generator: lines of the older format, from n-grams of 2 to 10 words."""
+    return workload.old_lines(workload.generated(c, MOST_PER_BUCKET), c)
+
+
+@query(_MADE + "SELECT made.id::BIGINT AS id, made.id || ';' || bucket || ';' || m || ';0;0;' || ndoc || ';' || nocc || ';' || total || ';' || least || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
+def converted_patterns(c, spark, sf):
+    """Lines of the older format converted to the newer one."""
+    return workload.new_lines(workload.from_old_lines(generated_patterns(c, spark, sf)), c)
+
+
 # --- ranking -------------------------------------------------------------------------------------
 
 _BM25 = """greatest(1e-6, ln((t.n - s.df + 0.5) / (s.df + 0.5)) * 1.0) * ((1.2 + 1) * p.tf / (1.2 * ((1 - 0.75) + (0.75 * k.n_tokens / t.avg_len)) + p.tf))"""
@@ -383,14 +386,8 @@ _SCORED = f"WITH {TOK}, {POST}, {STATS}, t AS (SELECT count(*) AS n, sum(n_token
 _FROM = "FROM post p JOIN stats s ON p.term = s.term JOIN docs_t k ON p.doc_id = k.doc_id CROSS JOIN t"
 
 
-@query(f"{_SCORED}, {FREQUENT} SELECT p.term, p.doc_id, p.tf, round({_BM25}, 6) AS score {_FROM} WHERE p.term IN (SELECT term FROM freq)")
-def bm25_scores(c, spark, sf):
-    """The postings of the 20 most frequent words; ``bm25_scores_all`` has every posting."""
-    return ranking.scores(c, frequent(c)).withColumn("score", F.round("score", 6))
-
-
 @query(f"{_SCORED} SELECT p.term, p.doc_id, p.tf, round({_BM25}, 6) AS score {_FROM}")
-def bm25_scores_all(c, spark, sf):
+def bm25_scores(c, spark, sf):
     return ranking.scores(c).withColumn("score", F.round("score", 6))
 
 
@@ -502,14 +499,9 @@ def url_order_permutation(c, spark, sf):
     return running_total(pages, ["url", "page_id"], "one", "new_id", "urls").select("page_id", "new_id")
 
 
-@query(f"WITH {TOK}, perm AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents) SELECT p.new_id::BIGINT AS new_id, t.pos, t.term FROM tok t JOIN perm p ON t.doc_id = p.doc_id WHERE t.pos < 5")
-def permuted_text(c, spark, sf):
-    """The first words of the documents under ids in the order of their source; ``permuted_text_whole`` has all words."""
-    return _permuted(c, sf, c.tokens.where("pos < 5"))
-
-
 @query(f"WITH {TOK}, perm AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents) SELECT p.new_id::BIGINT AS new_id, t.pos, t.term FROM tok t JOIN perm p ON t.doc_id = p.doc_id")
-def permuted_text_whole(c, spark, sf):
+def permuted_text(c, spark, sf):
+    """All words of the documents under ids in the order of their source."""
     return _permuted(c, sf, c.tokens)
 
 

@@ -9,21 +9,28 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import words
 from .store import running_total, written
 
+#: The tables of a saved collection, and the file that is written when all are there.
+TABLES = ("docs", "tokens", "postings", "term_stats", "dictionary", "bigram_positions")
+COMPLETE = "complete"
 _opened: dict[tuple[str, str], Corpus] = {}
 
 
 class Corpus:
-    """Derived tables of the columns doc_id and text of ``documents``."""
+    """Derived tables of the columns doc_id and text of ``documents``.
+
+    Rows without doc_id are left out; a doc_id that stands twice is an error, as positions belong to one text.
+    """
 
     def __init__(self, documents: DataFrame):
         self.spark = documents.sparkSession
-        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str, table: str = "documents") -> Corpus:
@@ -33,6 +40,31 @@ class Corpus:
             _opened[key] = cls(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         return _opened[key]
 
+    def save(self, path: str) -> None:
+        """Writes all tables below ``path``, and last the list of them."""
+        for name in TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
+        self.spark.createDataFrame([(n,) for n in TABLES], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/{COMPLETE}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Corpus:
+        """The collection saved at ``path``, by this application or another; nothing is built."""
+        names = {r.name for r in spark.read.parquet(f"{path}/{COMPLETE}").collect()}
+        corpus = cls(spark.read.parquet(f"{path}/documents"))
+        for name in names.intersection(TABLES):
+            corpus.__dict__[name] = spark.read.parquet(f"{path}/{name}")
+        return corpus
+
+    @classmethod
+    def open_saved(cls, spark: SparkSession, sf_dir: str, path: str, table: str = "documents") -> Corpus:
+        """Loads the collection saved at ``path``; where none is complete, builds it from the folder and saves it there."""
+        try:
+            return cls.load(spark, path)
+        except AnalysisException:  # no such path
+            cls(spark.read.parquet(f"{sf_dir}/{table}.parquet")).save(path)
+            return cls.load(spark, path)
+
     @cached_property
     def split(self) -> DataFrame:
         """doc_id and w, the words in order (not stored)."""
@@ -42,12 +74,17 @@ class Corpus:
     def docs(self) -> DataFrame:
         """doc_id, n_tokens, doc_len (one more, for the separator), doc_start."""
         counted = self.split.select("doc_id", F.size("w").cast("long").alias("n_tokens")).withColumn("doc_len", F.col("n_tokens") + 1)
-        return written(running_total(counted, ["doc_id"], "doc_len", "doc_start", "doc-lengths"), "docs")
+        docs = written(running_total(counted, ["doc_id"], "doc_len", "doc_start", "doc-lengths"), "docs")
+        twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").first()
+        if twice:
+            raise ValueError(f"doc_id {twice.doc_id} stands {twice.n} times")
+        return docs
 
     @cached_property
     def tokens(self) -> DataFrame:
         """term, doc_id, pos, gpos (position in the whole text)."""
-        rows = self.split.select("doc_id", F.posexplode("w").alias("pos", "term")).join(self.docs.select("doc_id", "doc_start"), "doc_id")
+        placed = self.documents.join(self.docs.select("doc_id", "doc_start"), "doc_id")  # before the words are dealt out: a row for each text, not for each word
+        rows = placed.select("doc_id", "doc_start", F.posexplode(words("text")).alias("pos", "term"))
         rows = rows.select("term", "doc_id", F.col("pos").cast("long").alias("pos"), (F.col("doc_start") + F.col("pos")).alias("gpos"))
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         return written(rows.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos"), "tokens")

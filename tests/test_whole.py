@@ -1,12 +1,45 @@
-"""Queries over all words: rows that the short queries of like names leave out."""
+"""Queries over all words and sizes, and a collection that is saved and loaded."""
 
+import pytest
+
+from phraseloom.operators import search
 from phraseloom.plans import catalog
+from phraseloom.sources.corpus import TABLES, Corpus
 
 
-def test_whole_queries_go_on_where_the_short_ones_stop(spark, data):
+def test_queries_cover_all_words_and_sizes(spark, data):
     run = lambda name: catalog.QUERIES[name](spark, data)
-    assert run("permuted_text_whole").where("pos >= 5").count() > 0
-    assert {r.m for r in run("ngram_stats_to_10").select("m").distinct().collect()} == set(range(2, 11))
+    assert run("permuted_text").count() == run("relpos_encoding").count()
+    assert {r.m for r in run("ngram_stats").select("m").distinct().collect()} == set(range(2, 11))
     postings = run("inverted_index").count()
-    assert run("bm25_scores_all").count() == run("document_listing_all").count() == postings
-    assert max(len(r.tokens) for r in catalog.patterns(spark, data, catalog.LONGEST_OF_ALL).collect()) == 10
+    assert run("bm25_scores").count() == run("document_listing").count() == postings
+    assert {len(r.tokens) for r in catalog.patterns(spark, data).collect()} == set(range(1, 11))
+
+
+def test_saved_collection_is_loaded_without_building(spark, data, tmp_path):
+    path = str(tmp_path / "index")
+    built = Corpus.open_saved(spark, data, path)
+    loaded = Corpus.open_saved(spark, "/nowhere", path)
+    assert all(t in loaded.__dict__ for t in TABLES)
+    patterns = catalog.patterns(spark, data)
+    rows = lambda c: sorted(map(tuple, search.frequencies(search.phrase_starts(c, patterns)).collect()))
+    assert rows(loaded) == rows(built) == sorted(map(tuple, catalog.QUERIES["phrase_docs"](spark, data).collect()))
+
+
+def test_repeated_and_missing_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="doc_id 1 stands 2 times"):
+        Corpus(docs).tokens
+    docs = spark.createDataFrame([(1, "a b c"), (None, "a b"), (2, None)], "doc_id long, text string")
+    assert Corpus(docs).tokens.count() == 3 and Corpus(docs).docs.count() == 2
+
+
+def test_chained_plan_grows_with_the_length(spark, data):
+    """One join for each word of the longest pattern."""
+    corpus, patterns = Corpus.open(spark, data), catalog.patterns(spark, data)
+
+    def joins(longest):
+        plan = search.phrase_starts_chained(corpus, patterns, longest)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join ")
+
+    assert joins(10) - joins(9) == joins(5) - joins(4) == 1
