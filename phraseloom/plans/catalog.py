@@ -359,9 +359,9 @@ MOST_PER_BUCKET = 10_000
 _MADE = (
     f"WITH {TOK}, {POST}, {STATS}, {DIC}, e AS ("
     + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, d.l[t.pos + 1:t.pos + {m}] AS g, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST + 1))
-    + f"""), gr AS (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, g HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2),
+    + f"""), gr AS MATERIALIZED (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, g HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2),
 bk AS (SELECT *, array_to_string(g, ' ') AS gram, {workload.bucket_sql('ndoc')} AS bucket FROM gr),
-made AS (SELECT *, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY m, gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
+made AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY m, gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
 w AS (SELECT id, unnest(g) AS term, generate_subscripts(g, 1) AS off FROM made),
 ids AS (SELECT w.id, string_agg(dic.term_id::VARCHAR, ',' ORDER BY w.off) AS ids, sum(s.cf)::BIGINT AS total, min(s.cf) AS least FROM w JOIN dic ON w.term = dic.term JOIN stats s ON w.term = s.term GROUP BY w.id) """
 )
