@@ -5,8 +5,9 @@ empty set.  Texts of equal sets are one class.  Two classes link when common / a
 
 Candidates are classes whose 128-bit fingerprints (bit i is set when it is set in over half the shingles' hashes) differ in at most ``PROBE_BITS`` bits of one half or the
 other, and in at most ``ALL_BITS`` in all; the pigeonhole search of ``simhash`` finds them.  Candidates are verified in three rounds, and those whose ends the links found so far join are left out: the nearest candidates of
-each class, the nearest of each two groups, and all others.  Between classes with very many candidates the search first returns only the nearest pairs; a second search then returns all
-pairs of theirs that are still in different groups.  So a group of thousands of near copies costs a few comparisons a copy, and no candidate is lost.
+each class, the nearest of each two groups, and all others.  Between classes with very many candidates ("crowded" ones) the search returns only the nearest pairs and those that hold
+their chain together.  Each chain of crowded classes is then dealt, with its sets, over pairs of bounded blocks; inside a pair of blocks every candidate whose ends are still in
+different groups is verified in place, so no pair is ever a row, and no candidate is lost.
 
 Defined cases: null, empty and blank texts are one class.  Rows without doc_id take part like any other.  Rows with equal doc_id and different texts are documents of their own.
 An empty table gives no rows.
@@ -34,6 +35,8 @@ SIMILARITY = (4, 5)
 PROBE_BITS, ALL_BITS = 13, 25
 #: Most rows of a table of ids that is broadcast, 16 bytes each; a larger one is joined by a shuffle.
 SENT_ROWS = 500_000
+#: Classes of a block of crowded classes on average, and hashes of their sets, unless one set has more.
+BLOCK_CLASSES, BLOCK_HASHES = 256, 1 << 20
 #: Runs of 255 shingles whose bits are counted together.
 RUNS = 64
 
@@ -103,9 +106,9 @@ def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= SENT_ROWS else ids, same, how)
 
 
-def _both_halves(by_print: DataFrame, apart: bool = False) -> DataFrame:
+def _both_halves(by_print: DataFrame) -> DataFrame:
     swapped = by_print.withColumns({"fp": F.col("fp2"), "fp2": F.col("fp")})
-    found = near_edges(by_print, PROBE_BITS, ALL_BITS, apart=apart).union(near_edges(swapped, PROBE_BITS, ALL_BITS, apart=apart))
+    found = near_edges(by_print, PROBE_BITS, ALL_BITS).union(near_edges(swapped, PROBE_BITS, ALL_BITS))
     return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
 
 
@@ -150,6 +153,74 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return stored(map_arrow(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"), "links")
 
 
+def _block_links(side, fp, fp2, node, root, grams) -> tuple[list[int], list[int]]:
+    """The ends of links between the classes of two blocks (or of one, if ``side`` is everywhere the same) that connect what all links of candidates
+    with different roots connect."""
+    up, down = SIMILARITY
+    n = np.array([len(g) for g in grams])
+    borders = np.concatenate([[0], np.cumsum(n)])
+    flat = np.unique(np.concatenate(grams), return_inverse=True)[1].astype(np.int32)
+    own, root, one = np.zeros(len(flat), bool), root.copy(), (side == side[0]).all()
+    u, v = [], []
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        first, second = np.bitwise_count(fp[i] ^ fp[rest]), np.bitwise_count(fp2[i] ^ fp2[rest])
+        ok = (first + second <= ALL_BITS) & (np.minimum(first, second) <= PROBE_BITS) & (root[i] != root[rest])
+        ok &= (down * np.minimum(n[i], n[rest]) >= up * np.maximum(n[i], n[rest])) & (one | (side[i] != side[rest]))
+        at = np.flatnonzero(ok) + i + 1
+        if not len(at):
+            continue
+        mine = flat[borders[i] : borders[i + 1]]
+        own[mine] = True
+        theirs = np.concatenate([flat[a:b] for a, b in zip(borders[at].tolist(), borders[at + 1].tolist())])
+        common = np.add.reduceat(own[theirs], np.cumsum(n[at]) - n[at], dtype=np.int64)
+        own[mine] = False
+        for j in at[down * common >= up * (n[i] + n[at] - common)].tolist():
+            if root[j] != root[i]:
+                u.append(node[i])
+                v.append(node[j])
+                root[root == root[j]] = root[i]
+    return u, v
+
+
+def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): links between crowded classes (of) of different groups that connect what all their links connect."""
+    both = near.join(crowded, F.col("u") == F.col("of"), "left_semi").join(crowded, F.col("v") == F.col("of"), "left_semi")
+    chains = components(both).select("node", F.col("root").alias("chain"))
+    known = chains.join(roots.select("node", "root"), "node", "left").select(F.col("node").alias("class"), "chain", F.coalesce("root", "node").alias("root"))
+    known = stored(known.join(by_print.withColumnRenamed("node", "class"), "class").join(held, "class"), "crowded")
+    sizes = known.groupBy("chain").agg(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.length("grams") / 4) / BLOCK_HASHES).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
+    sizes = stored(sizes.where("a <> b").select("chain", F.ceil("n").cast("int").alias("n")), "chains")
+    side = F.pmod(F.xxhash64("class", F.lit(7)), F.col("n")).cast("int")
+    dealt = known.join(sizes, "chain").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    key = F.xxhash64("chain", F.least("side", "other"), F.greatest("side", "other")).alias("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the key that may go on
+
+        def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts)
+            side, fp, fp2, node, root = (rows.column(k).to_numpy() for k in range(1, 6))
+            u, v = _block_links(side, fp.view(np.uint64), fp2.view(np.uint64), node, root, [np.frombuffer(g.as_buffer(), "<u4") for g in rows.column(6)])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and held[-1].column(0)[0].as_py() != keys[a]:
+                    yield linked(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield linked(held)
+
+    packed = dealt.select(key, "side", "fp", "fp2", F.col("class").alias("node"), "root", "grams")
+    return stored(map_arrow(packed.repartition("key").sortWithinPartitions("key"), run, "u long, v long"), "crowded-links")
+
+
 def _settled(rest: DataFrame, held: DataFrame, found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links so far, and (node, root) of their groups, after the pairs ``rest`` (u, v, d) are verified; those whose ends earlier links join are left out."""
     for choice in (["p", "q"], None):
@@ -175,10 +246,9 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     found = _links(stored(nearest[0].union(nearest[1]).distinct(), "nearest"), held)
     roots = stored(components(found), "roots")
     found, roots = _settled(near.where(F.col("d") < PARTIAL), held, found, roots)
-    if crowded.limit(1).count():  # the pairs that were left out, of groups that are still apart
-        again = by_print.join(crowded, F.col("node") == F.col("of"), "left_semi").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-        again = stored(again.select("fp", "fp2", "node", F.coalesce("root", "node").alias("root")), "crowded")
-        found, roots = _settled(stored(_both_halves(again, apart=True), "apart"), held, found, roots)
+    if crowded.limit(1).count():
+        found = found.union(_crowded_links(near, crowded, by_print, held, roots))
+        roots = stored(components(found), "roots")
     return roots
 
 

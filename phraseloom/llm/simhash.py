@@ -144,11 +144,8 @@ def plan(both: np.ndarray, n: int, sample: np.ndarray, max_bits: int) -> list[tu
     return [(mask, t) for mask, t in best[1] if t >= 0]
 
 
-_SIGNED = "key long, fp long, fp2 long, node long, root long"
-
-
-def signatures(nodes: DataFrame, planned: list[tuple[int, int]], rooted: bool = False) -> DataFrame:
-    """(key, fp, fp2, node, and root if they are rooted) for every partition and every way to clear up to its threshold of set bits."""
+def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
+    """(key, fp, fp2, node) for every partition and every way to clear up to its threshold of set bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +161,9 @@ def signatures(nodes: DataFrame, planned: list[tuple[int, int]], rooted: bool =
                             keys.append(mix64((values[own] & np.uint64(mask & ~drop)) + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))))
                             of.append(own + lo)
                 of = np.concatenate(of)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(x[of]) for x in (whole, *rest))], ["key", "fp", "fp2", "node", *["root"][: rooted]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(x[of]) for x in (whole, *rest))], ["key", "fp", "fp2", "node"])
 
-    return map_arrow(nodes.select("fp", "fp2", "node", *["root"][: rooted]), run, _SIGNED if rooted else _SIGNED.rpartition(",")[0])
+    return map_arrow(nodes.select("fp", "fp2", "node"), run, "key long, fp long, fp2 long, node long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> list[tuple[int, int, int]]:
@@ -195,8 +192,8 @@ def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 class _Linker:
     """Edges between the nodes of equal keys; the rows come sorted by key."""
 
-    def __init__(self, max_bits: int, max_all: int, apart: bool = False, small: int = 24, dense: int = 6):
-        self.max_bits, self.max_all, self.apart, self.small, self.dense = max_bits, max_all, apart, small, dense
+    def __init__(self, max_bits: int, max_all: int, small: int = 24, dense: int = 6):
+        self.max_bits, self.max_all, self.small, self.dense = max_bits, max_all, small, dense
 
     def near(self, fp, fp2, other, other2, most: int = 128) -> np.ndarray:
         apart, most = np.bitwise_count(fp ^ other), min(most, self.max_all)
@@ -222,28 +219,26 @@ class _Linker:
         none = np.zeros(0, np.int64)
         return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
-    def square(self, fp, fp2, root) -> tuple[np.ndarray, np.ndarray, bool]:
+    def square(self, fp, fp2) -> tuple[np.ndarray, np.ndarray, bool]:
         """All near pairs of one key by blocks of rows, and False; a spanning forest instead, and True, when they are many."""
         a, b, n = [], [], 0
         for i in range(0, len(fp), 256):
             x, y = np.nonzero(self.near(fp[i : i + 256, None], fp2[i : i + 256, None], fp[None, i:], fp2[None, i:]))
             up = y > x
-            if self.apart:
-                up &= root[x + i] != root[y + i]
             a.append(x[up] + i)
             b.append(y[up] + i)
             n += len(a[-1])
-            if n > self.dense * len(fp) and not self.apart:
+            if n > self.dense * len(fp):
                 both = [self.breadth_first(fp, fp2, most) for most in ([CLOSE, 128] if self.max_all < 128 else [128])]
                 return *map(np.concatenate, zip(*both)), True
         return np.concatenate(a), np.concatenate(b), False
 
-    def edges_of(self, keys, fp, fp2, node, root) -> pa.RecordBatch:
+    def edges_of(self, keys, fp, fp2, node) -> pa.RecordBatch:
         begin = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
         length = np.diff(np.append(begin, len(keys)))
         a, b, crowded = [], [], [np.zeros(0, np.int64)]
         for i, n in zip(begin[length > self.small].tolist(), length[length > self.small].tolist()):
-            x, y, cut = self.square(fp[i : i + n], fp2[i : i + n], root[i : i + n])
+            x, y, cut = self.square(fp[i : i + n], fp2[i : i + n])
             a.append(x + i)
             b.append(y + i)
             if cut:
@@ -258,8 +253,6 @@ class _Linker:
                 break
             x, y = of_small[at], of_small[at + d]
             ok = self.near(fp[x], fp2[x], fp[y], fp2[y])
-            if self.apart:
-                ok &= root[x] != root[y]
             a.append(x[ok])
             b.append(y[ok])
         kept = []
@@ -272,9 +265,9 @@ class _Linker:
         return _edges(*(np.array([e[k] for e in kept], np.int64) for k in range(3)))
 
     def candidates(self, a, b, apart, crowded) -> pa.RecordBatch:
-        """The distinct pairs.  Of the pairs between two crowded nodes only the nearest to either end, marked by ``PARTIAL``; a crowded node gets an edge to itself."""
+        """The distinct pairs.  Of the pairs between two crowded nodes only the nearest to either end and a spanning forest, marked by ``PARTIAL``; a crowded node gets an edge to itself."""
         u, v, d = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), apart], axis=1), axis=0).T
-        if not self.apart and len(u):
+        if len(u):
             end, of = np.concatenate([u, v]), np.tile(np.arange(len(u)), 2)
             order = np.lexsort((d[of], end))
             nodes, first, n = np.unique(end[order], return_index=True, return_counts=True)
@@ -283,14 +276,14 @@ class _Linker:
             partial, keep = np.isin(u, crowded) & np.isin(v, crowded), np.zeros(len(u), bool)
             keep[of[order[rank < self.dense]]] = True
             keep |= ~partial
-            u, v, d = u[keep], v[keep], (d + PARTIAL * partial)[keep]
+            forest = np.array(_forest(u[partial], v[partial], d[partial]), np.int64).reshape(-1, 3)
+            u, v, d = np.concatenate([np.stack([u, v, d + PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]).T
         return _edges(np.concatenate([u, crowded]), np.concatenate([v, crowded]), np.concatenate([d, np.zeros(len(crowded), np.int64)]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)]
         for batch in batches:
-            own = [*batch.columns, batch.column(3)][:5]  # without roots every node is its own
-            held = [np.concatenate([h, c.to_numpy().view(h.dtype)]) for h, c in zip(held, own)]
+            held = [np.concatenate([h, c.to_numpy().view(h.dtype)]) for h, c in zip(held, batch.columns)]
             if not len(held[0]):
                 continue
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
@@ -301,18 +294,18 @@ class _Linker:
             yield self.edges_of(*held)
 
 
-def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | None = None, apart: bool = False) -> DataFrame:
+def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | None = None) -> DataFrame:
     """Edges (u, v, bits apart d) between ``nodes`` (node, fp, fp2) that connect exactly what links of at most max_bits bits in fp, and max_all in both, connect.
 
-    With ``max_all`` the edges are to be verified, so all links are returned, but for nodes of very many; those get an edge to themselves too.  ``apart``: nodes have
-    a column root besides, and all links between nodes of different roots are returned.
+    With ``max_all`` the edges are to be verified, so all links are returned, but for those between two nodes of very many.  Such a node gets an edge to itself
+    too, and the edges returned between such nodes connect what their links connect.
     """
-    hot, columns = hot or HOT, ["fp", "fp2", "node", *["root"][:apart]]
+    hot, columns = hot or HOT, ["fp", "fp2", "node"]
     n = nodes.count()
     scale = 1 << 30
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) <= int(scale * min(1, SAMPLE / max(n, 1)))).select("fp").limit(2 * SAMPLE).toPandas().fp.to_numpy(np.int64).view(np.uint64)
     planned = plan(bit_statistics(nodes), n, sample, max_bits)
-    keyed = signatures(nodes, planned, apart)
+    keyed = signatures(nodes, planned)
     crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-keys")
     if crowded.limit(1).count():
         keyed = keyed.join(crowded, "key", "left")
@@ -321,7 +314,7 @@ def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | N
         other = F.explode(F.sequence(F.lit(0), size - 1))
         keyed = keyed.select("key", *columns, size.alias("size"), own.alias("own"), other.alias("other"))
         keyed = keyed.select(F.when(F.col("size") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), *columns)
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all, apart), "u long, v long, d int")
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all), "u long, v long, d int")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
