@@ -277,7 +277,7 @@ class _Linker:
             keep[of[order[rank < self.dense]]] = True
             keep |= ~partial
             forest = np.array(_forest(u[partial], v[partial], d[partial]), np.int64).reshape(-1, 3)
-            u, v, d = np.concatenate([np.stack([u, v, d + PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]).T
+            u, v, d = np.unique(np.concatenate([np.stack([u, v, d + PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]), axis=0).T
         return _edges(np.concatenate([u, crowded]), np.concatenate([v, crowded]), np.concatenate([d, np.zeros(len(crowded), np.int64)]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

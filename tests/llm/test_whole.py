@@ -127,3 +127,22 @@ def test_dictionary_rows_do_not_grow_with_the_labels(spark, monkeypatch):
     rows = spark.range(8_000).selectExpr("id as doc_id", "concat('text number ', id) as text", "cast(id % 2 as int) as quality")
     quality.train(frames.hashed_sample(rows, 800))
     assert len(seen) == 2 and all(20 <= n <= 90 for n in seen)
+
+
+def test_links_of_pairs_of_blocks():
+    """Random sets on both sides of the similarity, in one block and in two: the same groups as all candidate pairs of different blocks give."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 32, 400, replace=False).astype(np.uint32)
+    grams = [np.unique(np.concatenate([rng.choice(base[: 100 * (1 + i % 3)], 90, replace=False), rng.integers(0, 1 << 32, int(rng.integers(0, 8)), dtype=np.uint32)])) for i in range(60)]
+    grams[7] = grams[8]
+    fp, node, root = np.zeros(60, np.uint64), np.arange(60), np.arange(60)
+    root[20:30] = 20
+    fp[50:] = np.uint64((1 << 64) - 1)  # no candidates of the others
+    similar = lambda i, j: 5 * len(np.intersect1d(grams[i], grams[j])) >= 4 * len(np.union1d(grams[i], grams[j]))
+    for side in (np.zeros(60, np.int32), np.arange(60, dtype=np.int32) % 2):
+        one = len(set(side.tolist())) == 1
+        joined = lambda i, j, side=side, one=one: root[i] == root[j] or fp[i] == fp[j] and (one or side[i] != side[j]) and similar(i, j)
+        u, v = shingles._block_links(side, fp, fp, node, root, grams)
+        assert len(u) and all(similar(i, j) and root[i] != root[j] for i, j in zip(u, v))
+        links = set(zip(u, v)) | set(zip(v, u))
+        assert brute.groups(range(60), lambda i, j, links=links: root[i] == root[j] or (i, j) in links) == brute.groups(range(60), joined)
