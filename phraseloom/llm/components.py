@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..sources.store import written as stored
 
 MAX_STEPS = 100
+#: Most rows of merged groups that are broadcast, 16 bytes each; more are joined in so many salted parts of each group.
+SENT_ROWS, SALTS = 500_000, 32
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(MAX_STEPS):
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
         mark = tuple(now.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(20)))")).first())
         if mark == seen or not mark[0]:
             break
@@ -39,3 +41,19 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (u, v) join groups of ``roots``: u and v are roots, or nodes that are in no group yet.  Only the groups are searched, not their nodes."""
+    if not links.limit(1).count():
+        return roots
+    up = stored(components(links), "merged")
+    to = up.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    if up.count() <= SENT_ROWS:
+        moved = roots.join(F.broadcast(to), F.col("root") == F.col("of"), "left")
+    else:  # one group may hold most nodes
+        parts = to.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+        moved = roots.withColumn("own", own).join(parts, (F.col("root") == F.col("of")) & (F.col("own") == F.col("part")), "left")
+    new = up.join(roots.select("node"), "node", "left_anti")
+    return stored(moved.select("node", F.coalesce("to", "root").alias("root")).union(new.select("node", "root")), "roots")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import written as stored
-from .components import components
+from .components import SENT_ROWS, components, merged
 from .frames import map_arrow, map_blocks, texts_of
 from .simhash import PARTIAL, SPREAD, near_edges
 from .textkernel import LOWER, SPACE, WINDOW_HASH, WORD_HASH, mix64, window_hashes, word_spans
@@ -33,8 +33,6 @@ from .textkernel import LOWER, SPACE, WINDOW_HASH, WORD_HASH, mix64, window_hash
 SIMILARITY = (4, 5)
 #: Two texts of similarity 0.8 differ in 9.7 bits of a half on average (deviation 2.9), and in 19.4 of all (4.1).
 PROBE_BITS, ALL_BITS = 13, 25
-#: Most rows of a table of ids that is broadcast, 16 bytes each; a larger one is joined by a shuffle.
-SENT_ROWS = 500_000
 #: Classes of a block of crowded classes on average, and hashes of their sets, unless one set has more.
 BLOCK_CLASSES, BLOCK_HASHES = 256, 1 << 20
 #: Runs of 255 shingles whose bits are counted together.
@@ -136,7 +134,7 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, named: DataFrame, size: int) ->
 
 
 def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (u, v) that link."""
+    """(u, v): the groups p and q of the pairs (u, v, p, q) that link."""
     left, right = (held.select(F.col("class").alias(k), F.col("grams").alias(g)) for k, g in (("u", "a"), ("v", "b")))
     up, down = SIMILARITY
 
@@ -150,7 +148,8 @@ def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 keep.append(down * common >= up * (len(a) + len(b) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(map_arrow(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b"), run, "u long, v long"), "links")
+    joined = pairs.select("u", "v", "p", "q").join(left, "u").join(right, "v")
+    return stored(map_arrow(joined.select(F.col("p").alias("u"), F.col("q").alias("v"), "a", "b"), run, "u long, v long"), "links")
 
 
 def _block_links(side, fp, fp2, node, root, grams) -> tuple[list[int], list[int]]:
@@ -184,7 +183,7 @@ def _block_links(side, fp, fp2, node, root, grams) -> tuple[list[int], list[int]
 
 
 def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): links between crowded classes (of) of different groups that connect what all their links connect."""
+    """(u, v): groups that links between their crowded classes (of) join; they connect what all such links connect."""
     both = near.join(crowded, F.col("u") == F.col("of"), "left_semi").join(crowded, F.col("v") == F.col("of"), "left_semi")
     chains = components(both).select("node", F.col("root").alias("chain"))
     known = chains.join(roots.select("node", "root"), "node", "left").select(F.col("node").alias("class"), "chain", F.coalesce("root", "node").alias("root"))
@@ -200,8 +199,8 @@ def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, hel
 
         def linked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts)
-            side, fp, fp2, node, root = (rows.column(k).to_numpy() for k in range(1, 6))
-            u, v = _block_links(side, fp.view(np.uint64), fp2.view(np.uint64), node, root, [np.frombuffer(g.as_buffer(), "<u4") for g in rows.column(6)])
+            side, fp, fp2, root = (rows.column(k).to_numpy() for k in range(1, 5))
+            u, v = _block_links(side, fp.view(np.uint64), fp2.view(np.uint64), root, root, [np.frombuffer(g.as_buffer(), "<u4") for g in rows.column(5)])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
@@ -217,24 +216,24 @@ def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, hel
         if held:
             yield linked(held)
 
-    packed = dealt.select(key, "side", "fp", "fp2", F.col("class").alias("node"), "root", "grams")
+    packed = dealt.select(key, "side", "fp", "fp2", "root", "grams")
     return stored(map_arrow(packed.repartition("key").sortWithinPartitions("key"), run, "u long, v long"), "crowded-links")
 
 
-def _settled(rest: DataFrame, held: DataFrame, found: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and (node, root) of their groups, after the pairs ``rest`` (u, v, d) are verified; those whose ends earlier links join are left out."""
+def _settled(rest: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the groups after the pairs ``rest`` (u, v, d) are verified; those whose ends earlier links join are left out."""
     for choice in (["p", "q"], None):
         for end, root in (("u", "p"), ("v", "q")):
             rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(root)), end, "left").withColumn(root, F.coalesce(root, end))
         rest = stored(rest.where("p <> q").select("u", "v", "d", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), "rest")
         if not rest.limit(1).count():
             break
-        chosen = rest if choice is None else rest.groupBy(*choice).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v", "x.d")
-        chosen = stored(chosen.select("u", "v", "d"), "chosen")
-        found = found.union(_links(chosen, held))
-        roots = stored(components(found), "roots")
-        rest = rest.select("u", "v", "d").join(chosen.select("u", "v"), ["u", "v"], "left_anti")
-    return found, roots
+        chosen = rest
+        if choice:
+            chosen = stored(rest.groupBy(*choice).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v", *choice), "chosen")
+        roots = merged(roots, _links(chosen, held))
+        rest = rest.select("u", "v", "d").join(chosen.select("u", "v"), ["u", "v"], "left_anti") if choice else rest
+    return roots
 
 
 def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -243,12 +242,11 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     near, crowded = pairs.where("u <> v"), pairs.where("u = v").select(F.col("u").alias("of"))
     held = _sets_of(near, docs, nodes.select("class", "doc_id", "hash"), size)
     nearest = [near.groupBy(end).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v") for end in ("u", "v")]
-    found = _links(stored(nearest[0].union(nearest[1]).distinct(), "nearest"), held)
-    roots = stored(components(found), "roots")
-    found, roots = _settled(near.where(F.col("d") < PARTIAL), held, found, roots)
+    nearest = stored(nearest[0].union(nearest[1]).distinct(), "nearest")
+    roots = stored(components(_links(nearest.select("u", "v", F.col("u").alias("p"), F.col("v").alias("q")), held)), "roots")
+    roots = _settled(near.where(F.col("d") < PARTIAL), held, roots)
     if crowded.limit(1).count():
-        found = found.union(_crowded_links(near, crowded, by_print, held, roots))
-        roots = stored(components(found), "roots")
+        roots = merged(roots, _crowded_links(near, crowded, by_print, held, roots))
     return roots
 
 

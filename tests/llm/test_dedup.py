@@ -44,6 +44,20 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 160), 100)}
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_groups_merge(spark, monkeypatch, sent):
+    """Groups of earlier edges and links between their roots give what all edges give; both ways of joining, new nodes and no links."""
+    monkeypatch.setattr(components, "SENT_ROWS", sent)
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    first = [(i, i + 1) for i in range(10, 30)] + [(40, k) for k in range(41, 60)] + [(70, 71)]
+    roots = components.components(frame(first))
+    links = [(10, 40), (5, 40), (80, 81), (10, 10)]
+    got = components.merged(roots, frame(links)).collect()
+    expected = {r.node: r.root for r in components.components(frame(first + links)).collect()}
+    assert len(got) == len(expected) and {r.node: r.root for r in got} == expected
+    assert components.merged(roots, frame(links).limit(0)).count() == roots.count()
+
+
 def test_repeated_windows(odd, empty):
     rows = odd.select("doc_id", "text").collect()
     expected = Counter((r.doc_id, *x) for r, x in zip(rows, brute.without_repeats([r.text for r in rows])))
