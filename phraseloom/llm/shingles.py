@@ -184,7 +184,8 @@ def _block_links(side, fp, fp2, node, root, grams) -> tuple[list[int], list[int]
 
 def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
     """(u, v): groups that links between their crowded classes (of) join; they connect what all such links connect."""
-    both = near.join(crowded, F.col("u") == F.col("of"), "left_semi").join(crowded, F.col("v") == F.col("of"), "left_semi")
+    spanning = near.where(F.col("d") < 2 * PARTIAL)  # the forests connect what the other pairs of crowded classes do
+    both = spanning.join(crowded, F.col("u") == F.col("of"), "left_semi").join(crowded, F.col("v") == F.col("of"), "left_semi")
     chains = components(both).select("node", F.col("root").alias("chain"))
     known = chains.join(roots.select("node", "root"), "node", "left").select(F.col("node").alias("class"), "chain", F.coalesce("root", "node").alias("root"))
     known = stored(known.join(by_print.withColumnRenamed("node", "class"), "class").join(held, "class"), "crowded")
@@ -241,7 +242,8 @@ def linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     pairs, by_print = _candidates(nodes)
     near, crowded = pairs.where("u <> v"), pairs.where("u = v").select(F.col("u").alias("of"))
     held = _sets_of(near, docs, nodes.select("class", "doc_id", "hash"), size)
-    nearest = [near.groupBy(end).agg(F.min(F.struct("d", "u", "v")).alias("x")).select("x.u", "x.v") for end in ("u", "v")]
+    bits = F.when(F.col("d") < PARTIAL, F.col("d")).otherwise(F.col("d") % PARTIAL + PARTIAL)
+    nearest = [near.groupBy(end).agg(F.min(F.struct(bits.alias("d"), "u", "v")).alias("x")).select("x.u", "x.v") for end in ("u", "v")]
     nearest = stored(nearest[0].union(nearest[1]).distinct(), "nearest")
     roots = stored(components(_links(nearest.select("u", "v", F.col("u").alias("p"), F.col("v").alias("q")), held)), "roots")
     roots = _settled(near.where(F.col("d") < PARTIAL), held, roots)

@@ -41,7 +41,7 @@ MIN_WIDTH = 9
 HOT = 4_096
 #: Bits of 128 in which a crowded key's nearest nodes differ; their links come first.
 CLOSE = 8
-#: Added to the bits of a pair that stands for others, which were left out.
+#: Added to the bits of a pair that stands for others, which were left out: once to those of a spanning forest, twice to others.
 PARTIAL = 1_000
 #: Relative costs of a signature that is shuffled and sorted, and of a candidate pair that is compared.
 SIGNATURE_COST, CANDIDATE_COST = 4.0, 0.008
@@ -277,7 +277,7 @@ class _Linker:
             keep[of[order[rank < self.dense]]] = True
             keep |= ~partial
             forest = np.array(_forest(u[partial], v[partial], d[partial]), np.int64).reshape(-1, 3)
-            u, v, d = np.unique(np.concatenate([np.stack([u, v, d + PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]), axis=0).T
+            u, v, d = np.unique(np.concatenate([np.stack([u, v, d + 2 * PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]), axis=0).T
         return _edges(np.concatenate([u, crowded]), np.concatenate([v, crowded]), np.concatenate([d, np.zeros(len(crowded), np.int64)]))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
