@@ -89,3 +89,20 @@ def test_runs_compact():
     keys = np.array(sorted(seen), np.uint64)
     assert runs.ask(keys).tolist() == [seen[k] > 1 for k in keys.tolist()]
     assert (substring_dedup.unpack(substring_dedup.pack(keys)) == keys).all()
+
+
+def test_forests_connect_crowded_nodes():
+    """Of the pairs of a crowded key, those marked as forest connect what all near pairs connect."""
+    rng, n = np.random.default_rng(1), 200
+    values = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)[rng.integers(0, 3, n)]
+    for i in range(n):
+        for half in (0, 1):
+            for b in rng.choice(64, rng.integers(0, 9), replace=False):
+                values[i, half] ^= np.uint64(1) << np.uint64(b)
+    found = simhash._Linker(13, 25).edges_of(np.zeros(n, np.int64), values[:, 0].copy(), values[:, 1].copy(), np.arange(n))
+    u, v, d = (c.to_numpy() for c in found.columns)
+    forest = (d < 2 * simhash.PARTIAL) & (u != v)
+    links = set(zip(u[forest].tolist(), v[forest].tolist()))
+    near = lambda i, j: (a := int(np.bitwise_count(values[i, 0] ^ values[j, 0]))) <= 13 and a + int(np.bitwise_count(values[i, 1] ^ values[j, 1])) <= 25
+    assert len(links) < n < np.count_nonzero(u != v)
+    assert brute.groups(list(range(n)), lambda i, j: (i, j) in links or (j, i) in links) == brute.groups(list(range(n)), near)
