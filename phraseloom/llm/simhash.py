@@ -144,6 +144,11 @@ def plan(both: np.ndarray, n: int, sample: np.ndarray, max_bits: int) -> list[tu
     return [(mask, t) for mask, t in best[1] if t >= 0]
 
 
+def _key(values: np.ndarray, p: int) -> np.ndarray:
+    """The key of signatures of partition p; it tells partitions and signatures apart."""
+    return mix64(values + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64)))
+
+
 def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
     """(key, fp, fp2, node) for every partition and every way to clear up to its threshold of set bits."""
 
@@ -158,7 +163,8 @@ def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
                     for k in range(t + 1):
                         for drop in map(sum, combinations(bits, k)):
                             own = np.flatnonzero(values & np.uint64(drop) == np.uint64(drop))
-                            keys.append(mix64((values[own] & np.uint64(mask & ~drop)) + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64))))
+                            key = _key(values[own] & np.uint64(mask & ~drop), p)
+                            keys.append(key)
                             of.append(own + lo)
                 of = np.concatenate(of)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(x[of]) for x in (whole, *rest))], ["key", "fp", "fp2", "node"])
@@ -190,10 +196,28 @@ def _edges(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
 
 
 class _Linker:
-    """Edges between the nodes of equal keys; the rows come sorted by key."""
+    """Edges between the nodes of equal keys; the rows come sorted by key, and by block: a hot key's pair of blocks, doubled, and 1 more for the nodes of the second block.
 
-    def __init__(self, max_bits: int, max_all: int, small: int = 24, dense: int = 6):
-        self.max_bits, self.max_all, self.small, self.dense = max_bits, max_all, small, dense
+    With the ``planned`` partitions a pair counts only at the first signature that its nodes share, so the many others don't repeat it.
+    """
+
+    def __init__(self, max_bits: int, max_all: int, planned: list[tuple[int, int]] | tuple = (), small: int = 24, dense: int = 6):
+        self.max_bits, self.max_all, self.planned, self.small, self.dense = max_bits, max_all, planned, small, dense
+
+    def first(self, key, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of a and b, which share the signature ``key``, share no earlier one."""
+        if not self.planned:
+            return np.ones(len(a), bool)
+        out, rest, key = np.zeros(len(a), bool), np.arange(len(a)), np.broadcast_to(key, len(a))
+        for p, (mask, t) in enumerate(self.planned):
+            x, y = a[rest] & np.uint64(mask), b[rest] & np.uint64(mask)
+            both = x & y
+            ok = np.maximum(np.bitwise_count(x ^ both), np.bitwise_count(y ^ both)) <= t
+            out[rest[ok]] = _key(both[ok], p).view(np.int64) == key[rest[ok]]
+            rest = rest[~ok]
+            if not len(rest):
+                break
+        return out
 
     def near(self, fp, fp2, other, other2, most: int = 128) -> np.ndarray:
         apart, most = np.bitwise_count(fp ^ other), min(most, self.max_all)
@@ -202,59 +226,72 @@ class _Linker:
             ok &= apart + np.bitwise_count(fp2 ^ other2) <= most
         return ok
 
-    def breadth_first(self, fp, fp2, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of one crowded key: each node is reached once, by a link of at most ``most`` bits."""
+    def breadth_first(self, key, cut, fp, fp2, most: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of one crowded key: each node is reached once, by a link of at most ``most`` bits; where ``cut`` nodes are of a first block, by one to the other block."""
         rest, todo, a, b = np.arange(len(fp)), [], [], []
         while len(rest):
             if not todo:
                 todo, rest = [rest[0]], rest[1:]
             x = todo.pop()
             ok = self.near(fp[rest], fp2[rest], fp[x], fp2[x], most)
-            if ok.any():
-                found = rest[ok]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                todo.extend(found.tolist())
-                rest = rest[~ok]
+            if cut:
+                ok &= (rest < cut) != (x < cut)
+            at = np.flatnonzero(ok)
+            at = at[self.first(key, fp[rest[at]], np.broadcast_to(fp[x], len(at)))]
+            if len(at):
+                a.append(np.full(len(at), x))
+                b.append(rest[at])
+                todo.extend(rest[at].tolist())
+                rest = np.delete(rest, at)
         none = np.zeros(0, np.int64)
         return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
-    def square(self, fp, fp2) -> tuple[np.ndarray, np.ndarray, bool]:
-        """All near pairs of one key by blocks of rows, and False; a spanning forest instead, and True, when they are many."""
-        a, b, n = [], [], 0
-        for i in range(0, len(fp), 256):
-            x, y = np.nonzero(self.near(fp[i : i + 256, None], fp2[i : i + 256, None], fp[None, i:], fp2[None, i:]))
-            up = y > x
-            a.append(x[up] + i)
-            b.append(y[up] + i)
+    def square(self, key, cut, fp, fp2) -> tuple[np.ndarray, np.ndarray, bool]:
+        """All near pairs of one key (where ``cut`` nodes are of a first block, those between it and the other) by blocks of rows, and False; a spanning forest instead, and True,
+        when they are many."""
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for i in range(0, cut or len(fp), 256):
+            j, end = cut or i, min(i + 256, cut or len(fp))
+            x, y = np.nonzero(self.near(fp[i:end, None], fp2[i:end, None], fp[None, j:], fp2[None, j:]))
+            x, y = x + i, y + j
+            x, y = x[y > x], y[y > x]
+            own = self.first(key, fp[x], fp[y])
+            a.append(x[own])
+            b.append(y[own])
             n += len(a[-1])
             if n > self.dense * len(fp):
-                both = [self.breadth_first(fp, fp2, most) for most in ([CLOSE, 128] if self.max_all < 128 else [128])]
+                both = [self.breadth_first(key, cut, fp, fp2, most) for most in ([CLOSE, 128] if self.max_all < 128 else [128])]
                 return *map(np.concatenate, zip(*both)), True
         return np.concatenate(a), np.concatenate(b), False
 
-    def edges_of(self, keys, fp, fp2, node) -> pa.RecordBatch:
-        begin = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+    def edges_of(self, keys, fp, fp2, node, block=None) -> pa.RecordBatch:
+        block = np.zeros(len(keys), np.int64) if block is None else block
+        begin = self.starts(keys, block)
         length = np.diff(np.append(begin, len(keys)))
         a, b, crowded = [], [], [np.zeros(0, np.int64)]
         for i, n in zip(begin[length > self.small].tolist(), length[length > self.small].tolist()):
-            x, y, cut = self.square(fp[i : i + n], fp2[i : i + n])
+            cut = n - int((block[i : i + n] & 1).sum())
+            x, y, many = self.square(keys[i], cut if cut < n else 0, fp[i : i + n], fp2[i : i + n])
             a.append(x + i)
             b.append(y + i)
-            if cut:
+            if many:
                 crowded.append(node[np.concatenate([x, y]) + i])
         of_small = np.flatnonzero(np.repeat(length <= self.small, length))
-        small_keys = keys[of_small]
+        group = np.repeat(np.arange(len(begin)), length)[of_small]
+        side = block & 1
+        paired = (np.minimum.reduceat(side, begin) < np.maximum.reduceat(side, begin))[group] if len(begin) else side.astype(bool)
         at = np.arange(len(of_small))
         for d in range(1, self.small):
             at = at[: np.searchsorted(at, len(of_small) - d)]
-            at = at[small_keys[at] == small_keys[at + d]]
+            at = at[group[at] == group[at + d]]
             if not len(at):
                 break
             x, y = of_small[at], of_small[at + d]
-            ok = self.near(fp[x], fp2[x], fp[y], fp2[y])
-            a.append(x[ok])
-            b.append(y[ok])
+            ok = self.near(fp[x], fp2[x], fp[y], fp2[y]) & (~paired[at] | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            own = self.first(keys[x], fp[x], fp[y])
+            a.append(x[own])
+            b.append(y[own])
         kept = []
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
@@ -280,13 +317,18 @@ class _Linker:
             u, v, d = np.unique(np.concatenate([np.stack([u, v, d + 2 * PARTIAL * partial], axis=1)[keep], forest + [0, 0, PARTIAL]]), axis=0).T
         return _edges(np.concatenate([u, crowded]), np.concatenate([v, crowded]), np.concatenate([d, np.zeros(len(crowded), np.int64)]))
 
+    @staticmethod
+    def starts(keys, block) -> np.ndarray:
+        """Where the keys' groups begin."""
+        return np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(block >> 1) != 0)]))
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64)]
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy().view(h.dtype)]) for h, c in zip(held, batch.columns)]
             if not len(held[0]):
                 continue
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            last = int(self.starts(held[0], held[4])[-1])  # the last group may go on in the next batch
             if last:
                 yield self.edges_of(*(h[:last] for h in held))
                 held = [h[last:] for h in held]
@@ -294,27 +336,31 @@ class _Linker:
             yield self.edges_of(*held)
 
 
+def _dealt(keyed: DataFrame, hot: int) -> DataFrame:
+    """The rows with ``block``, and those of keys with more than ``hot`` rows once for each pair of blocks."""
+    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("long").alias("size"), "n"), "hot-keys")
+    columns = ["key", "fp", "fp2", "node"]
+    if not crowded.limit(1).count():
+        return keyed.select(*columns, F.lit(0).cast("long").alias("block"))
+    size = F.coalesce("size", F.lit(1).cast("long"))
+    told = keyed.join(F.broadcast(crowded.select("key", "size")), "key", "left").select(*columns, size.alias("size"), F.pmod(F.xxhash64("node", F.lit(7)), size).alias("own"))
+    told = told.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("other"))
+    block = 2 * (F.least("own", "other") * F.col("size") + F.greatest("own", "other")) + (F.col("own") > F.col("other")).cast("long")
+    return told.select(*columns, block.alias("block"))
+
+
 def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | None = None) -> DataFrame:
     """Edges (u, v, bits apart d) between ``nodes`` (node, fp, fp2) that connect exactly what links of at most max_bits bits in fp, and max_all in both, connect.
 
     With ``max_all`` the edges are to be verified, so all links are returned, but for those between two nodes of very many.  Such a node gets an edge to itself
     too, and the edges returned between such nodes connect what their links connect.
     """
-    hot, columns = hot or HOT, ["fp", "fp2", "node"]
     n = nodes.count()
     scale = 1 << 30
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) <= int(scale * min(1, SAMPLE / max(n, 1)))).select("fp").limit(2 * SAMPLE).toPandas().fp.to_numpy(np.int64).view(np.uint64)
     planned = plan(bit_statistics(nodes), n, sample, max_bits)
-    keyed = signatures(nodes, planned)
-    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-keys")
-    if crowded.limit(1).count():
-        keyed = keyed.join(crowded, "key", "left")
-        size = F.ceil(F.coalesce("n", F.lit(1)) / hot).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit(7)), size).cast("int")
-        other = F.explode(F.sequence(F.lit(0), size - 1))
-        keyed = keyed.select("key", *columns, size.alias("size"), own.alias("own"), other.alias("other"))
-        keyed = keyed.select(F.when(F.col("size") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).alias("key"), *columns)
-    return map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _Linker(max_bits, max_all), "u long, v long, d int")
+    dealt = _dealt(signatures(nodes, planned), hot or HOT)
+    return map_arrow(dealt.repartition("key", F.shiftright("block", 1)).sortWithinPartitions("key", "block"), _Linker(max_bits, max_all, planned), "u long, v long, d int")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:

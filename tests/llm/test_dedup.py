@@ -106,3 +106,21 @@ def test_forests_connect_crowded_nodes():
     near = lambda i, j: (a := int(np.bitwise_count(values[i, 0] ^ values[j, 0]))) <= 13 and a + int(np.bitwise_count(values[i, 1] ^ values[j, 1])) <= 25
     assert len(links) < n < np.count_nonzero(u != v)
     assert brute.groups(list(range(n)), lambda i, j: (i, j) in links or (j, i) in links) == brute.groups(list(range(n)), near)
+
+
+def _crowd(seed, n, flips):
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)[rng.integers(0, 3, n)]
+    for i in range(n):
+        for half in (0, 1):
+            for b in rng.choice(64, rng.integers(0, flips), replace=False):
+                values[i, half] ^= np.uint64(1) << np.uint64(b)
+    return np.unique(values, axis=0)
+
+
+def test_a_pair_leaves_one_signature(spark):
+    """Near pairs share many signatures; their edges come from the first one only, and connect what all near pairs connect."""
+    values = _crowd(2, 60, 5)
+    nodes = spark.createDataFrame([(i, int(np.int64(a)), int(np.int64(b))) for i, (a, b) in enumerate(values.view(np.int64))], "node long, fp long, fp2 long")
+    found = [(r.u, r.v) for r in simhash.near_edges(nodes, 13, 25).collect() if r.d < simhash.PARTIAL and r.u != r.v]
+    assert found and len(found) == len(set(found))
