@@ -7,7 +7,7 @@ Candidates are classes whose 128-bit fingerprints (bit i is set when it is set i
 other, and in at most ``ALL_BITS`` in all; the pigeonhole search of ``simhash`` finds them.  Candidates are verified in three rounds, and those whose ends the links found so far join are left out: the nearest candidates of
 each class, the nearest of each two groups, and all others.  Between classes with very many candidates ("crowded" ones) the search returns only the nearest pairs and those that hold
 their chain together.  Each chain of crowded classes is then dealt, with its sets, over pairs of bounded blocks; inside a pair of blocks every candidate whose ends are still in
-different groups is verified in place, so no pair is ever a row, and no candidate is lost.
+different groups is verified in place, so no pair is ever a row, and no candidate is lost.  The blocks go through the shuffle in rounds of at most about the bytes of all sets.
 
 Defined cases: null, empty and blank texts are one class.  Rows without doc_id take part like any other.  Rows with equal doc_id and different texts are documents of their own.
 An empty table gives no rows.
@@ -16,6 +16,8 @@ An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import released
 from ..sources.store import written as stored
 from .components import SENT_ROWS, components, merged
 from .frames import map_arrow, map_blocks, texts_of
@@ -35,6 +38,8 @@ SIMILARITY = (4, 5)
 PROBE_BITS, ALL_BITS = 13, 25
 #: Classes of a block of crowded classes on average, and hashes of their sets, unless one set has more.
 BLOCK_CLASSES, BLOCK_HASHES = 256, 1 << 20
+#: Bytes of sets that a round of blocks may shuffle, though all sets have fewer.
+ROUND_BYTES = 1 << 28
 #: Runs of 255 shingles whose bits are counted together.
 RUNS = 64
 
@@ -189,10 +194,12 @@ def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, hel
     chains = components(both).select("node", F.col("root").alias("chain"))
     known = chains.join(roots.select("node", "root"), "node", "left").select(F.col("node").alias("class"), "chain", F.coalesce("root", "node").alias("root"))
     known = stored(known.join(by_print.withColumnRenamed("node", "class"), "class").join(held, "class"), "crowded")
-    sizes = known.groupBy("chain").agg(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.length("grams") / 4) / BLOCK_HASHES).alias("n"), F.min("root").alias("a"), F.max("root").alias("b"))
-    sizes = stored(sizes.where("a <> b").select("chain", F.ceil("n").cast("int").alias("n")), "chains")
+    sizes = known.groupBy("chain").agg(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum(F.length("grams") / 4) / BLOCK_HASHES).alias("n"), F.sum(F.length("grams")).alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b"))
+    sizes = stored(sizes.where("a <> b").select("chain", F.ceil("n").cast("int").alias("n"), "bytes"), "chains")
+    dealt_bytes, all_bytes = sizes.agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0, held.agg(F.sum(F.length("grams"))).first()[0] or 0
+    rounds = max(1, ceil(dealt_bytes / max(all_bytes, ROUND_BYTES)))
     side = F.pmod(F.xxhash64("class", F.lit(7)), F.col("n")).cast("int")
-    dealt = known.join(sizes, "chain").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = known.join(sizes.select("chain", "n"), "chain").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     key = F.xxhash64("chain", F.least("side", "other"), F.greatest("side", "other")).alias("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +225,8 @@ def _crowded_links(near: DataFrame, crowded: DataFrame, by_print: DataFrame, hel
             yield linked(held)
 
     packed = dealt.select(key, "side", "fp", "fp2", "root", "grams")
-    return stored(map_arrow(packed.repartition("key").sortWithinPartitions("key"), run, "u long, v long"), "crowded-links")
+    parts = [packed.where(F.pmod("key", F.lit(rounds)) == at) if rounds > 1 else packed for at in range(rounds)]
+    return reduce(DataFrame.union, [released(map_arrow(part.repartition("key").sortWithinPartitions("key"), run, "u long, v long"), "crowded-links") for part in parts])
 
 
 def _settled(rest: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ program over estimated costs: signatures per node, and candidate pairs, estimate
 steers cost only, never the result.  A node puts out, for each partition, its bits with any up to t_p of its set bits
 cleared: two nodes within t_p share such a signature.  Nodes of one signature are compared by exclusive-or in numpy, and only
 the edges of a spanning forest leave the task, never all pairs of a group.  A signature with more than ``HOT``
-nodes is dealt out over pairs of blocks, so no task ever holds a whole hot group, and no pair is lost.
+nodes is dealt out over pairs of blocks, so no task ever holds a whole hot group, and no pair is lost.  Signatures and dealt rows beyond ``ROUND_ROWS`` a node go through the
+shuffle in rounds, by hashes of their keys, and a round's shuffle files are removed before the next one.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text with fewer words than a shingle is
 one shingle.  Repeated rows share a component; an empty table gives no rows.  Extra columns are ignored.
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from functools import reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import released
 from ..sources.store import written as stored
 from .components import components
 from .frames import map_arrow, map_blocks, texts_of
@@ -39,6 +42,8 @@ SAMPLE = 1_500
 #: Fewest bits of a partition: fewer would make every bucket hold a fixed share of all nodes.
 MIN_WIDTH = 9
 HOT = 4_096
+#: Rows a node, of some 36 bytes, that a round shuffles on average.
+ROUND_ROWS = 48
 #: Bits of 128 in which a crowded key's nearest nodes differ; their links come first.
 CLOSE = 8
 #: Added to the bits of a pair that stands for others, which were left out: once to those of a spanning forest, twice to others.
@@ -149,8 +154,8 @@ def _key(values: np.ndarray, p: int) -> np.ndarray:
     return mix64(values + np.uint64(0x9E3779B97F4A7C15 * (p + 1) % (1 << 64)))
 
 
-def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
-    """(key, fp, fp2, node) for every partition and every way to clear up to its threshold of set bits."""
+def signatures(nodes: DataFrame, planned: list[tuple[int, int]], at: int = 0, rounds: int = 1) -> DataFrame:
+    """(key, fp, fp2, node) for every partition and every way to clear up to its threshold of set bits; of ``rounds`` equal parts of the keys, that numbered ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +169,9 @@ def signatures(nodes: DataFrame, planned: list[tuple[int, int]]) -> DataFrame:
                         for drop in map(sum, combinations(bits, k)):
                             own = np.flatnonzero(values & np.uint64(drop) == np.uint64(drop))
                             key = _key(values[own] & np.uint64(mask & ~drop), p)
+                            if rounds > 1:
+                                now = key % np.uint64(rounds) == np.uint64(at)
+                                key, own = key[now], own[now]
                             keys.append(key)
                             of.append(own + lo)
                 of = np.concatenate(of)
@@ -336,17 +344,21 @@ class _Linker:
             yield self.edges_of(*held)
 
 
-def _dealt(keyed: DataFrame, hot: int) -> DataFrame:
-    """The rows with ``block``, and those of keys with more than ``hot`` rows once for each pair of blocks."""
-    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("long").alias("size"), "n"), "hot-keys")
+def _dealt(keyed: DataFrame, n: int, hot: int) -> Iterator[DataFrame]:
+    """The rows with ``block``, and those of keys with more than ``hot`` rows once for each pair of blocks; in frames of about ``ROUND_ROWS`` rows a node, of n nodes."""
+    crowded = released(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("long").alias("size"), "n"), "hot-keys")
+    rows = crowded.agg(F.sum(F.col("size") * F.col("n"))).first()[0]
     columns = ["key", "fp", "fp2", "node"]
-    if not crowded.limit(1).count():
-        return keyed.select(*columns, F.lit(0).cast("long").alias("block"))
+    if not rows:
+        yield keyed.select(*columns, F.lit(0).cast("long").alias("block"))
+        return
     size = F.coalesce("size", F.lit(1).cast("long"))
     told = keyed.join(F.broadcast(crowded.select("key", "size")), "key", "left").select(*columns, size.alias("size"), F.pmod(F.xxhash64("node", F.lit(7)), size).alias("own"))
     told = told.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("other"))
     block = 2 * (F.least("own", "other") * F.col("size") + F.greatest("own", "other")) + (F.col("own") > F.col("other")).cast("long")
-    return told.select(*columns, block.alias("block"))
+    dealt, passes = told.select(*columns, block.alias("block")), ceil(rows / (ROUND_ROWS * n))
+    for k in range(passes):
+        yield dealt.where(F.pmod(F.xxhash64("key", F.shiftright("block", 1), F.lit(3)), F.lit(passes)) == k) if passes > 1 else dealt
 
 
 def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | None = None) -> DataFrame:
@@ -359,8 +371,17 @@ def near_edges(nodes: DataFrame, max_bits: int, max_all: int = 128, hot: int | N
     scale = 1 << 30
     sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(scale)) <= int(scale * min(1, SAMPLE / max(n, 1)))).select("fp").limit(2 * SAMPLE).toPandas().fp.to_numpy(np.int64).view(np.uint64)
     planned = plan(bit_statistics(nodes), n, sample, max_bits)
-    dealt = _dealt(signatures(nodes, planned), hot or HOT)
-    return map_arrow(dealt.repartition("key", F.shiftright("block", 1)).sortWithinPartitions("key", "block"), _Linker(max_bits, max_all, planned), "u long, v long, d int")
+    ones = [(np.bincount(np.bitwise_count(sample & np.uint64(mask)), minlength=1) / max(len(sample), 1), t) for mask, t in planned]
+    rounds = max(1, ceil(sum(share * comb(b, k) for of, t in ones for b, share in enumerate(of.tolist()) for k in range(t + 1)) / ROUND_ROWS))
+    linker, found = _Linker(max_bits, max_all, planned), []
+    for at in range(rounds):
+        dealt, last = _dealt(signatures(nodes, planned, at, rounds), n, hot or HOT), None
+        for rows in dealt:
+            if last is not None:
+                found.append(released(last, "near"))
+            last = map_arrow(rows.repartition("key", F.shiftright("block", 1)).sortWithinPartitions("key", "block"), linker, "u long, v long, d int")
+        found.append(last if rounds == 1 and not found else released(last, "near"))
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from phraseloom.llm import components, simhash, substring_dedup
+from phraseloom.llm import components, shingles, simhash, substring_dedup
 
 
 def test_simhash_groups(odd, empty):
@@ -124,3 +124,35 @@ def test_a_pair_leaves_one_signature(spark):
     nodes = spark.createDataFrame([(i, int(np.int64(a)), int(np.int64(b))) for i, (a, b) in enumerate(values.view(np.int64))], "node long, fp long, fp2 long")
     found = [(r.u, r.v) for r in simhash.near_edges(nodes, 13, 25).collect() if r.d < simhash.PARTIAL and r.u != r.v]
     assert found and len(found) == len(set(found))
+
+
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_rounds_lose_no_link(spark, monkeypatch, hot):
+    """Few rows in a round: each shuffles at most a part of the signatures, its shuffle files go, and the groups stay the same."""
+    monkeypatch.setattr(simhash, "ROUND_ROWS", 10)
+    values, shuffled = _crowd(3, 300, 9), []
+    write = simhash.released
+    monkeypatch.setattr(simhash, "released", lambda frame, name: shuffled.append(name) or write(frame, name))
+    near = lambda i, j: (d := int(np.bitwise_count(values[i, 0] ^ values[j, 0]))) <= 13 and d + int(np.bitwise_count(values[i, 1] ^ values[j, 1])) <= 25
+    nodes = spark.createDataFrame([(i, int(np.int64(a)), int(np.int64(b))) for i, (a, b) in enumerate(values.view(np.int64))], "node long, fp long, fp2 long")
+    roots = {r.node: r.root for r in components.components(simhash.near_edges(nodes, 13, 25, hot)).collect()}
+    assert [roots.get(i, i) for i in range(len(values))] == brute.groups(list(range(len(values))), near)
+    rounds = shuffled.count("hot-keys")
+    assert rounds > 2 and (shuffled.count("near") == rounds if hot == 4096 else shuffled.count("near") > rounds)
+
+
+def test_blocks_in_rounds(spark, monkeypatch):
+    """Crowded classes over several rounds of blocks give the groups that one round gives."""
+    rng = random.Random(4)
+    base = [str(rng.randint(0, 10**6)) for _ in range(200)]
+    texts = [" ".join(w if rng.random() > 0.004 else "x" for w in base[: 180 + i % 20]) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = [r.doc_id for r in shingles.without_near_copies(docs, 5).collect()]
+    seen, write = [], shingles.released
+    monkeypatch.setattr(shingles, "released", lambda frame, name: seen.append(name) or write(frame, name))
+    monkeypatch.setattr(shingles, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(shingles, "ROUND_BYTES", 1)
+    assert [r.doc_id for r in shingles.without_near_copies(docs, 5).collect()] == expected
+    sets = [brute.shingles(t) for t in texts]
+    assert sorted(expected) == sorted(set(brute.groups(list(range(len(texts))), lambda i, j: brute.similar(sets[i], sets[j]))))
+    assert len(seen) > 1, seen
