@@ -8,7 +8,7 @@ every filter position.
 Search: recordings with equal codes are one class.  A query class and another class are compared at every offset that aligns at least
 ``MIN_VOTES`` + 1 codes (room for that many keys of two consecutive codes), and link when the share of differing bits over the aligned codes
 is at most ``MAX_BIT_ERROR`` at one of them.  The search is exact: no key has to agree.  Query codes are broadcast in slices of about ``SLICE_BYTES``, the
-comparison runs in numpy, and one row for each query leaves a batch, so neither pairs nor keys are shuffled.  The best offset, and the best match, is
+bits are compared as products of +1 and -1, one matrix product an offset, and one row for each query leaves a batch, so neither pairs nor keys are shuffled.  The best offset, and the best match, is
 the one whose errors stay furthest below the allowed number of bits, so a long alignment outweighs a short one; its votes are its equal keys.
 
 Queries are the rows whose id is divisible by 50, against all rows.
@@ -128,24 +128,38 @@ def fingerprints(media: DataFrame, id_column: str, samples: str, audio: Audio) -
     return map_arrow(media.select(F.col(id_column).cast("long").alias("id"), F.col(samples).cast("array<double>").alias("samples")), run, "id long, codes binary")
 
 
+def _signs(codes: np.ndarray) -> np.ndarray:
+    """The bits of each row's codes as +1 and -1, 32 a code; 32-bit floats while sums of them are exact."""
+    bits = np.unpackbits(np.ascontiguousarray(codes, "<u4").view(np.uint8), axis=1)
+    return 1 - 2 * bits.astype(np.float32 if bits.shape[1] < 1 << 24 else np.float64)
+
+
 def _margins(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(margin, shift, votes, errors, aligned codes) of the best offset of each pair of codes a (queries x n) and b (others x m).
+    """(margin, shift, errors, aligned codes) of the best offset of each pair of rows a (queries x 32 n) and b (others x 32 m) of ``_signs``.
 
     All offsets that leave room for ``MIN_VOTES`` keys are compared, bit by bit; the margin is negative where none is within ``MAX_BIT_ERROR``.
     """
-    n, m, least = a.shape[1], b.shape[1], MIN_VOTES + 1
-    best = [np.full((len(a), len(b)), fill, t) for fill, t in ((-1.0, np.float64), (0, np.int32), (0, np.int64), (0, np.int64), (1, np.int64))]
+    n, m, least = a.shape[1] // 32, b.shape[1] // 32, MIN_VOTES + 1
+    best = [np.full(len(a) * len(b), fill, t) for fill, t in ((-1.0, np.float64), (0, np.int32), (0, np.int64), (1, np.int64))]
     for shift in range(least - n, m - least + 1):
         lo, hi = max(0, -shift), min(n, m - shift)
-        differ = a[:, None, lo:hi] ^ b[None, :, lo + shift : hi + shift]
-        errors = np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
-        margin = np.where(errors / (32 * (hi - lo)) <= MAX_BIT_ERROR, MAX_BIT_ERROR * 32 * (hi - lo) - errors + 1e-6, -1.0)
-        better = margin > best[0] + 1e-9
-        if better.any():
-            equal = differ[better] == 0
-            for held, found in zip(best, (margin[better], shift, (equal[:, 1:] & equal[:, :-1]).sum(axis=1), errors[better], hi - lo)):
-                held[better] = found
-    return tuple(best)
+        bits = 32 * (hi - lo)
+        agreed = (a[:, 32 * lo : 32 * hi] @ b[:, 32 * (lo + shift) : 32 * (hi + shift)].T).ravel()  # bits less twice the errors
+        at = np.flatnonzero(agreed >= bits - 2 * (MAX_BIT_ERROR * bits + 1))
+        errors = ((bits - agreed[at]) / 2).astype(np.int64)
+        margin = np.where(errors / bits <= MAX_BIT_ERROR, MAX_BIT_ERROR * bits - errors + 1e-6, -1.0)
+        better = margin > best[0][at] + 1e-9
+        at = at[better]
+        for held, found in zip(best, (margin[better], shift, errors[better], hi - lo)):
+            held[at] = found
+    return tuple(x.reshape(len(a), len(b)) for x in best)
+
+
+def _votes(a: np.ndarray, b: np.ndarray, shift: int) -> int:
+    """Equal keys of two consecutive codes at an offset."""
+    lo, hi = max(0, -shift), min(len(a), len(b) - shift)
+    equal = a[lo:hi] == b[lo + shift : hi + shift]
+    return int(np.count_nonzero(equal[1:] & equal[:-1]))
 
 
 _LINKED = "q long, n_links long, margin double, m long, shift int, votes long, bit_error double"
@@ -172,15 +186,17 @@ def _links(classes: DataFrame, asked: list[tuple[int, bytes]]) -> DataFrame:
                     b = np.stack([np.frombuffer(raw[i], "<u4") for i in at])
                     order = np.argsort(nodes[at])
                     at, b = at[order], b[order]
+                    signs = _signs(b)
                     for ids, a in sent.value:
                         rows = []
-                        for k in range(0, len(ids), 64):
-                            margin, shift, votes, errors, aligned = _margins(a[k : k + 64], b)
-                            margin[ids[k : k + 64, None] == nodes[None, at]] = -1.0
+                        tall = max(1, min(256, PAIR_CELLS // (4 * a.shape[1])))
+                        for k in range(0, len(ids), tall):
+                            margin, shift, errors, aligned = _margins(_signs(a[k : k + tall]), signs)
+                            margin[ids[k : k + tall, None] == nodes[None, at]] = -1.0
                             linked = (margin >= 0).sum(axis=1)
                             for i in np.flatnonzero(linked).tolist():
                                 j = int(np.argmax(margin[i] >= margin[i].max() - 1e-9))  # the least node of equal ones
-                                rows.append((ids[k + i], linked[i], round(float(margin[i, j]), 6), nodes[at[j]], shift[i, j], votes[i, j], errors[i, j] / (32 * aligned[i, j])))
+                                rows.append((ids[k + i], linked[i], round(float(margin[i, j]), 6), nodes[at[j]], shift[i, j], _votes(a[k + i], b[j], int(shift[i, j])), errors[i, j] / (32 * aligned[i, j])))
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
 

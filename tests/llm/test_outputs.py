@@ -196,3 +196,23 @@ def test_stages_on_odd_and_empty_tables(spark, odd, empty):
 
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_margins_of_products_are_those_of_bits():
+    """The matrix products count the same errors at every offset as an exclusive-or of the codes, also for codes of other lengths; votes are equal keys."""
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 2**32, (5, 9)).astype(np.uint32), rng.integers(0, 2**32, (7, 12)).astype(np.uint32)
+    b[2, 3:9], b[4, :5], b[5, 1:10] = a[1, :6], a[3, 4:], a[0] ^ np.uint32(7)
+    margin, shift, errors, aligned = chroma._margins(chroma._signs(a), chroma._signs(b))
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best = (-1.0, 0, 0, 1)
+            for s in range(3 - 9, 12 - 3 + 1):
+                pairs = [(k, k + s) for k in range(9) if 0 <= k + s < 12]
+                wrong = sum(int(a[i, x] ^ b[j, y]).bit_count() for x, y in pairs)
+                room = chroma.MAX_BIT_ERROR * 32 * len(pairs) - wrong + 1e-6
+                if wrong / (32 * len(pairs)) <= chroma.MAX_BIT_ERROR and room > best[0] + 1e-9:
+                    best = (room, s, wrong, len(pairs))
+            assert (margin[i, j], shift[i, j], errors[i, j], aligned[i, j]) == best
+    assert (shift[1, 2], shift[3, 4], shift[0, 5]) == (3, -4, 1)
+    assert (chroma._votes(a[1], b[2], 3), chroma._votes(a[3], b[4], -4), chroma._votes(a[0], b[5], 1)) == (5, 4, 0)
