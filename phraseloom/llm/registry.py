@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chroma import op9_chroma_fingerprints
 from .decontaminate import op1_decontaminate
+from .divergence import OP11_SQL, op11_source_divergence
 from .language_id import op2_language_id
 from .licenses import op7_license_scan
 from .mixing import OP3_SQL, op3_mix_sources
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_chroma_fingerprints": op9_chroma_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
-ORACLE_SQL = {"op3_mix_sources": OP3_SQL}
+ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op11_source_divergence": OP11_SQL}

@@ -203,3 +203,34 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int, hashed: Windo
 def owners(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The document of each word number."""
     return np.searchsorted(first, at, side="right") - 1
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte runs data[start:end], which are whole UTF-8 characters, as an Arrow string column."""
+    size = ends - starts
+    borders = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=borders[1:])
+    at = np.repeat(starts - borders[:-1], size) + np.arange(borders[-1])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(borders), pa.py_buffer(data[at]))
+
+
+def equal_groups(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts equal byte runs with equal tags together, given a 64-bit hash of run and tag: (order, first place of each group in it).
+
+    The order is by hash and, in a group, by place.  Every run is compared with the first of its group; if a hash ever covers two different runs, the
+    runs get a second hash on top, so groups are exact.
+    """
+    seed = 1
+    while True:
+        order = np.argsort(keys, kind="stable")
+        sorted_keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(keys)))
+        model = np.repeat(order[first], size)
+        same = (ends - starts)[model] == (ends - starts)[order]
+        same &= tag[model] == tag[order]
+        same &= equal_runs(data, starts[model], data, starts[order], np.where(same, (ends - starts)[order], 0))
+        if same.all():
+            return order, first
+        seed += 1
+        keys = mix64(keys ^ WordHash(seed).words(data, starts, ends) ^ mix64(tag.astype(np.uint64)))
