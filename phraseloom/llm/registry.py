@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chroma import op9_chroma_fingerprints
+from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import op1_decontaminate
 from .divergence import OP11_SQL, op11_source_divergence
 from .language_id import op2_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_chroma_fingerprints": op9_chroma_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
