@@ -7,6 +7,7 @@ from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import op1_decontaminate
 from .divergence import OP11_SQL, op11_source_divergence
 from .language_id import op2_language_id
+from .language_model import op13_lm_scoring
 from .licenses import op7_license_scan
 from .mixing import OP3_SQL, op3_mix_sources
 from .quality import op6_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_collocations": op12_collocations,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_collocations": OP12_SQL}
