@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
 from ..sources.store import running_total
-from . import search
+from . import search, suffixes
 
 #: Document counts [from, to] of the buckets 0 to 7; all others are bucket -1.
 BUCKETS = [(0, 24), (50, 100), (250, 500), (1_000, 5_000), (10_000, 25_000), (100_000, 250_000), (1_000_000, 2_500_000), (10_000_000, 25_000_000)]
@@ -23,15 +21,9 @@ def bucket_sql(ndoc: str) -> str:
     return "CASE " + " ".join(f"WHEN {ndoc} BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi) in enumerate(BUCKETS)) + " ELSE -1 END::BIGINT"
 
 
-def gram_stats(corpus: Corpus, sizes=range(2, 11), least: int = 2) -> DataFrame:
-    """m, gram, nocc, ndoc of the right-maximal n-grams (two or more different continuations) that occur ``least`` times or more."""
-    parts = []
-    for m in sizes:
-        by_doc = corpus.grams(m).groupBy("gram", "next", "doc_id").agg(F.count("*").alias("n"))
-        docs = by_doc.groupBy("gram", "doc_id").agg(F.sum("n").alias("n"), F.min("next").alias("low"), F.max("next").alias("high"))
-        found = docs.groupBy("gram").agg(F.sum("n").alias("nocc"), F.count("*").alias("ndoc"), (F.min("low") != F.max("high")).alias("branches"))
-        parts.append(found.where(F.col("branches") & (F.col("nocc") >= least)).select(F.lit(m).cast("long").alias("m"), "gram", "nocc", "ndoc"))
-    return reduce(DataFrame.unionByName, parts)
+def gram_stats(corpus: Corpus, least: int = 2) -> DataFrame:
+    """m, gram, nocc, ndoc, sp of the right-maximal n-grams (two or more different continuations) of 2 to 10 words that occur ``least`` times or more, all from one pass over the suffix table."""
+    return suffixes.texts(corpus, suffixes.grams(corpus, least)).select("m", "gram", "nocc", "ndoc", "sp", "ids")
 
 
 def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: tuple[str, ...] = ("pid",)) -> DataFrame:
@@ -44,19 +36,24 @@ def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: t
     return near.withColumn("_r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
+#: Fixed value: the seed of the draw.
+SEED = "4711"
+
+
 def generated(corpus: Corpus, most: int) -> DataFrame:
-    """id (from 1, by bucket, size and words), bucket, m, gram, ndoc, nocc: the right-maximal n-grams, at most ``most`` of each bucket."""
-    grams = gram_stats(corpus).withColumn("bucket", bucket(F.col("ndoc")))
-    chosen = first_per_bucket(grams, most, len(BUCKETS) - 1, ("m", "gram")).withColumn("one", F.lit(1))
-    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).drop("one", "before")
-
-
-def old_lines(patterns: DataFrame, corpus: Corpus) -> DataFrame:
-    """id and line ``bucket;ndoc;m;sp;ep;nocc;t,t,...``; sp and ep are 0."""
-    words = patterns.select("id", F.posexplode(F.split("gram", " ")).alias("off", "term")).join(corpus.dictionary, "term")
-    ids = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("off", "term_id"))).alias("w")).select("id", F.array_join(F.col("w.term_id").cast("array<string>"), ",").alias("ids"))
-    zero = F.lit("0")
-    return patterns.join(ids, "id").select("id", F.concat_ws(";", "bucket", "ndoc", "m", zero, zero, "nocc", "ids").alias("line"))
+    """id (from 1, by bucket, size and words), bucket, m, gram, ids, ndoc, nocc, sp, ep: the right-maximal n-grams, at most ``most`` of each bucket.
+
+    A full bucket keeps those with the lowest hash of seed and words, a draw over all sizes alike.
+    """
+    grams = gram_stats(corpus).withColumn("bucket", bucket(F.col("ndoc"))).withColumn("draw", F.md5(F.encode(F.concat(F.lit(f"{SEED} "), "gram"), "UTF-8")))
+    chosen = first_per_bucket(grams, most, len(BUCKETS) - 1, ("draw", "gram")).withColumn("one", F.lit(1)).withColumn("ep", F.col("sp") + F.col("nocc") - 1)
+    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).drop("one", "before", "draw")
+
+
+def old_lines(patterns: DataFrame) -> DataFrame:
+    """id and line ``bucket;ndoc;m;sp;ep;nocc;t,t,...``, with the pattern's interval of the suffix table."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return patterns.select("id", F.concat_ws(";", "bucket", "ndoc", "m", "sp", "ep", "nocc", ids).alias("line"))
 
 
 def from_old_lines(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, tokens
-from ..operators import layouts, ranking, search, service, verify, workload
+from ..operators import layouts, ranking, search, service, suffixes, verify, workload
 from ..sources.corpus import Corpus
 from ..sources.patterns import parse_queries
 from .strategy import phrase_starts
@@ -268,7 +268,7 @@ def bigram_positions(c, spark, sf):
 )
 def ngram_stats(c, spark, sf):
     """All right-maximal n-grams of 2 to 10 words."""
-    return workload.gram_stats(c)
+    return workload.gram_stats(c).select("m", "gram", "nocc", "ndoc")
 
 
 @query(
@@ -358,27 +358,75 @@ def workload_checksum(c, spark, sf):
 MOST_PER_BUCKET = 10_000
 _MADE = (
     f"WITH {TOK}, {POST}, {STATS}, {DIC}, e AS ("
-    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, d.l[t.pos + 1:t.pos + {m}] AS g, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id WHERE t.pos + {m} <= len(d.l)" for m in range(2, LONGEST + 1))
-    + f"""), gr AS MATERIALIZED (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc FROM e GROUP BY m, g HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2),
+    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, d.l[t.pos + 1:t.pos + {m}] AS g, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id" for m in range(2, LONGEST + 1))
+    + f"""), al AS MATERIALIZED (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc, count(DISTINCT nx) AS branches FROM e GROUP BY m, g),
+gr AS MATERIALIZED (SELECT * FROM (SELECT *, (SELECT count(*) FROM d) + 1 + coalesce(sum(nocc) OVER (PARTITION BY m ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sp FROM al) a0
+  WHERE len(g) = m AND nocc >= 2 AND branches >= 2),
 bk AS (SELECT *, array_to_string(g, ' ') AS gram, {workload.bucket_sql('ndoc')} AS bucket FROM gr),
-made AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY m, gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
+made AS MATERIALIZED (SELECT *, sp + nocc - 1 AS ep, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('{workload.SEED} ' || gram), gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
 w AS (SELECT id, unnest(g) AS term, generate_subscripts(g, 1) AS off FROM made),
 ids AS (SELECT w.id, string_agg(dic.term_id::VARCHAR, ',' ORDER BY w.off) AS ids, sum(s.cf)::BIGINT AS total, min(s.cf) AS least FROM w JOIN dic ON w.term = dic.term JOIN stats s ON w.term = s.term GROUP BY w.id) """
 )
 
 
-@query(_MADE + "SELECT made.id::BIGINT AS id, bucket || ';' || ndoc || ';' || m || ';0;0;' || nocc || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
+@query(_MADE + "SELECT made.id::BIGINT AS id, bucket || ';' || ndoc || ';' || m || ';' || sp || ';' || ep || ';' || nocc || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
 def generated_patterns(c, spark, sf):
-    """The pattern generator: lines of the older format, from n-grams of 2 to 10 words."""
-    return workload.old_lines(workload.generated(c, MOST_PER_BUCKET), c)
+    """The pattern generator: lines of the older format, from n-grams of 2 to 10 words with their suffix intervals."""
+    return workload.old_lines(workload.generated(c, MOST_PER_BUCKET))
 
 
-@query(_MADE + "SELECT made.id::BIGINT AS id, made.id || ';' || bucket || ';' || m || ';0;0;' || ndoc || ';' || nocc || ';' || total || ';' || least || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
+@query(_MADE + "SELECT made.id::BIGINT AS id, made.id || ';' || bucket || ';' || m || ';' || sp || ';' || ep || ';' || ndoc || ';' || nocc || ';' || total || ';' || least || ';' || ids AS line FROM made JOIN ids ON made.id = ids.id")
 def converted_patterns(c, spark, sf):
     """Lines of the older format converted to the newer one."""
     return workload.new_lines(workload.from_old_lines(generated_patterns(c, spark, sf)), c)
 
 
+def _generated(c: Corpus) -> DataFrame:
+    return workload.generated(c, MOST_PER_BUCKET).select(F.col("id").alias("pid"), F.split("gram", " ").alias("tokens"), "m", "ndoc", "nocc", "sp", "ep", "bucket")
+
+
+@query(_MADE + "SELECT id::BIGINT AS pid, ndoc, nocc FROM made")
+def generated_result_stats(c, spark, sf):
+    """The whole generated workload as phrase queries: documents and occurrences of every pattern, by document listing."""
+    freq = suffixes.phrase_docs_by_listing(c, _generated(c).select("pid", "tokens"))
+    return freq.groupBy("pid").agg(F.count("*").alias("ndoc"), F.sum("freq").alias("nocc"))
+
+
+@query(_MADE + "SELECT bucket, m, count(*)::BIGINT AS n, sum(nocc)::BIGINT AS sum_nocc FROM made GROUP BY bucket, m")
+def generated_sizes(c, spark, sf):
+    """How many patterns of each bucket and size the generator draws."""
+    return _generated(c).groupBy("bucket", "m").agg(F.count("*").alias("n"), F.sum("nocc").alias("sum_nocc"))
+
+
+# --- suffixes ------------------------------------------------------------------------------------
+
+_KEYED = "keyed AS (SELECT t.doc_id, t.pos, d.l[t.pos + 1:t.pos + 10] AS key FROM tok t JOIN d ON t.doc_id = d.doc_id)"
+
+
+@query(f"WITH {TOK}, {_KEYED} SELECT doc_id, pos, ((SELECT count(*) FROM d) + rank() OVER (ORDER BY key))::BIGINT AS first_rank FROM keyed")
+def suffix_ranks(c, spark, sf):
+    """Every suffix with the rank of the first one that shares its first ten words (up to the end of the document)."""
+    head = F.filter(F.slice("key", 1, LONGEST), lambda x: x > suffixes.SEPARATOR).alias("head")
+    rows = c.suffixes.select("rank", "doc_id", "pos", head)
+    return rows.join(rows.groupBy("head").agg(F.min("rank").alias("first_rank")), "head").select("doc_id", "pos", "first_rank")
+
+
+@query(f"WITH {TOK}, {PAT}, {_KEYED}, below AS (SELECT p.pid, count(*) FILTER (WHERE k.key < p.tokens) AS low, count(*) FILTER (WHERE k.key[1:p.m] = p.tokens) AS n FROM pat p CROSS JOIN keyed k GROUP BY p.pid) SELECT pid, (low + 1 + (SELECT count(*) FROM d))::BIGINT AS sp, (low + n + (SELECT count(*) FROM d))::BIGINT AS ep FROM below WHERE n > 0")
+def pattern_intervals(c, spark, sf):
+    """The interval of every pattern of up to ten words."""
+    return suffixes.intervals(c, suffixes.numbered(c, patterns(spark, sf)))
+
+
+@query(PHRASE_DOCS)
+def phrase_docs_suffix(c, spark, sf):
+    return search.frequencies(suffixes.phrase_starts_by_suffixes(c, patterns(spark, sf)))
+
+
+@query(PHRASE_DOCS)
+def phrase_docs_listing(c, spark, sf):
+    return suffixes.phrase_docs_by_listing(c, patterns(spark, sf))
+
+
 # --- ranking -------------------------------------------------------------------------------------
 
 _BM25 = """greatest(1e-6, ln((t.n - s.df + 0.5) / (s.df + 0.5)) * 1.0) * ((1.2 + 1) * p.tf / (1.2 * ((1 - 0.75) + (0.75 * k.n_tokens / t.avg_len)) + p.tf))"""
@@ -533,6 +581,21 @@ def verify_bigrams(c, spark, sf):
     return verify.bigrams(c)
 
 
+@query(_NONE)
+def verify_suffixes(c, spark, sf):
+    """Every two neighbours of the suffix table are in order."""
+    return suffixes.disorder(c)
+
+
+@query(_NONE)
+def verify_generated(c, spark, sf):
+    """Every generated pattern, searched as a phrase, has the documents, occurrences and interval that the generator counted."""
+    made = _generated(c)
+    found = generated_result_stats(c, spark, sf).join(suffixes.intervals(c, suffixes.numbered(c, made.select("pid", "tokens"))), "pid")
+    columns = ["pid", "ndoc", "nocc", "sp", "ep"]
+    return verify.differing(found.select(columns), made.select(columns))
+
+
 @query(_NONE)
 def verify_strategies(c, spark, sf):
     return verify.strategies(c, patterns(spark, sf), LONGEST)

@@ -113,6 +113,27 @@ class Corpus:
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         return written(rows.repartitionByRange(n, "t1", "t2", "doc_id").sortWithinPartitions("t1", "t2", "doc_id", "pos"), "bigrams")
 
+    @cached_property
+    def suffixes(self) -> DataFrame:
+        """rank, doc_id, pos, key (the numbers of its first words) of every suffix that starts at a word, in order."""
+        from ..operators.suffixes import suffix_table
+
+        return suffix_table(self)
+
+    @cached_property
+    def suffix_levels(self) -> list[DataFrame]:
+        """What a look-up in the suffix table reads, from the table up."""
+        from ..operators.suffixes import levels
+
+        return levels(self)
+
+    @cached_property
+    def listing(self) -> DataFrame:
+        """rank, doc_id, before, after, place, shared: each suffix with its neighbours in the same document."""
+        from ..operators.suffixes import listing_table
+
+        return listing_table(self)
+
     @cached_property
     def totals(self) -> DataFrame:
         """One row: n_docs, n_tokens, avg_len."""
