@@ -2,7 +2,7 @@
 
 1. Pieces.  Texts are cut at punctuation and line ends; identical pieces of a language become one row with a multiplicity (counted before and after the shuffle, so a piece that a
    third of the corpus shares is one row of a task).
-2. Counts.  About 8 MB of distinct pieces at a time, numpy adds up equal words, and equal pairs with their third word, weighted by multiplicity, and sends every hash bucket one
+2. Counts.  About 2 MB of distinct pieces at a time, numpy adds up equal words, and equal pairs with their third word, weighted by multiplicity, and sends every hash bucket one
    compressed Arrow stream.  A bucket is chosen by the hash of a phrase's first two words, so a pair's count is the sum over its third words there.  The task of a bucket streams its
    parts into duckdb, which adds them up out of core: beyond ``DUCKDB_MEMORY`` it spills to a scratch folder that is removed with the task.
    Only what occurs ``LEAST`` times or more leaves the bucket: a part of a candidate occurs as often as the candidate at least, so no part is missed.
@@ -35,8 +35,9 @@ LEAST = 10
 TOP = 2_000
 #: A pair goes when a longer candidate has so many hundredths of its occurrences.
 COVERED = 50
-PIECE = 8 << 20
-DUCKDB_MEMORY = "256MB"
+#: Bytes of text or pieces that are added up at a time.
+PIECE = 2 << 20
+DUCKDB_MEMORY = "128MB"
 
 #: Bytes at which pieces end: . , ; : ! ? and 0x0A-0x0D; words also end at 0x20 and 0x09.
 ENDS = np.zeros(256, bool)
