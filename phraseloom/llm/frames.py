@@ -92,6 +92,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def scanned(frame: DataFrame, name: str) -> DataFrame:
+    """The frame if it reads files row by row, so that its partitions are the same in every pass, else a written copy."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    lines = [line.strip(" +-:*()0123456789") for line in plan.strip().splitlines()]
+    return frame if all(line.startswith(("Project", "ColumnarToRow", "FileScan", "Filter")) for line in lines) else written(frame, name)
+
+
 def write_bytes(uri: str, payload: bytes) -> None:
     """Writes beside the target and renames, so that a repeated task leaves one whole file."""
     fs, path = filesystem(uri)

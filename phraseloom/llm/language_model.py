@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import released
-from .frames import filesystem, in_fold, map_arrow, read_bytes, shared_folder, write_bytes
-from .substring_dedup import _ipc, _stable, pack, unpack
+from .frames import filesystem, in_fold, map_arrow, read_bytes, scanned, shared_folder, write_bytes
+from .substring_dedup import _ipc, pack, unpack
 from .textkernel import LOWER, SPACE, WORD_HASH, blocks, mix64, word_spans
 
 BURN_IN, SAMPLES = 2, 3
@@ -327,7 +327,9 @@ class Trainer:
     def trained(self) -> DataFrame:
         parent = self.seated(self.counted(), 0)
         for number in range(1, BURN_IN + SAMPLES + 1):
-            parent = self.seated(self.swept(parent, number), number)
+            last, parent = parent, self.seated(self.swept(parent, number), number)
+            for path in {f.rpartition("/")[0] for f in last.inputFiles()}:  # the sweep has used it up
+                remove(path)
         return parent
 
     def answered(self, parent: DataFrame) -> str:
@@ -425,7 +427,7 @@ def remove(uri: str) -> None:
 def score_texts(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from the rows where the column ``held_out`` is false."""
     text = F.col("text").cast("string").alias("text")
-    trainer = Trainer(_stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, held_out.alias("held"))))
+    trainer = Trainer(scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, held_out.alias("held")), "texts"))
     return trainer.scored(trainer.answered(trainer.trained()))
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phraseloom.llm import language_model as lm
-from phraseloom.llm.frames import in_fold, read_bytes
+from phraseloom.llm.frames import in_fold, read_bytes, scanned
 
 
 def tokens(text):
@@ -93,7 +93,7 @@ def test_probabilities_add_up(spark):
     rows = [(i, " ".join(rng.choice(words[:4], rng.integers(0, 9), p=[0.6, 0.2, 0.15, 0.05]))) for i in train]
     rows += [(held[n], " ".join(p)) for n, p in enumerate([(x, y) for x, y in product(words, words)])] + [(held[30], "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    trainer = lm.Trainer(lm._stable(docs.select("doc_id", "text", in_fold(F.col("doc_id"), 7, 2).alias("held"))))
+    trainer = lm.Trainer(scanned(docs.select("doc_id", "text", in_fold(F.col("doc_id"), 7, 2).alias("held")), "texts"))
     folder = trainer.answered(trainer.trained())
     batch = pa.Table.from_pandas(trainer.docs.toPandas(), preserve_index=False).combine_chunks().to_batches()[0]
     (piece,) = lm.pieces([batch])
