@@ -37,7 +37,7 @@ TOP = 2_000
 COVERED = 50
 #: Bytes of text or pieces that are added up at a time.
 PIECE = 2 << 20
-DUCKDB_MEMORY = "128MB"
+DUCKDB_MEMORY = "256MB"
 
 #: Bytes at which pieces end: . , ; : ! ? and 0x0A-0x0D; words also end at 0x20 and 0x09.
 ENDS = np.zeros(256, bool)
@@ -143,7 +143,7 @@ UNION ALL SELECT lang, '', 0, sum(f)::BIGINT FROM g WHERE NOT contains(pair, ' '
 
 def gram_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, gram, k (its words), f for the phrases of 1 to 3 words that occur ``least`` times; with k = 0 the occurrences of all words, in parts."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * docs.rdd.getNumPartitions())
     target = schema_of(docs.sparkSession, "lang string, gram string, k int, f long")
 
     def send(batches):
