@@ -17,8 +17,8 @@ def absolute(gaps: DataFrame, keys: list[str]) -> DataFrame:
     return gaps.withColumn("decoded", F.sum("gap").over(Window.partitionBy(*keys, "doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def blocks(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
-    """keys, block, m, top: blocks of ``size`` values of each list, with their largest value.
+def _numbered(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """Adds block, the number of the ``size`` values of its list to which a value belongs.
 
     A list's ranks come from a count for each (list, slice of values) and the place inside the slice, so a long list is never sorted in one task.
     """
@@ -28,8 +28,18 @@ def blocks(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFram
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = counted.withColumn("_before", before).drop("_n")
     rank = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(value)) - 1
-    placed = sliced.withColumn("_r", rank).join(counted, [*keys, "_s"]).withColumn("block", F.floor((F.col("_before") + F.col("_r")) / size).cast("long"))
-    return placed.groupBy(*keys, "block").agg(F.count("*").alias("m"), F.max(value).alias("top"))
+    return sliced.withColumn("_r", rank).join(counted, [*keys, "_s"]).withColumn("block", F.floor((F.col("_before") + F.col("_r")) / size).cast("long"))
+
+
+def blocks(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """keys, block, m, top: blocks of ``size`` values of each list, with their largest value."""
+    return _numbered(lists, keys, value, size).groupBy(*keys, "block").agg(F.count("*").alias("m"), F.max(value).alias("top"))
+
+
+def packed_blocks(lists: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
+    """keys, block, low, top and docs, the ``size`` values of a block in order."""
+    values = F.array_sort(F.collect_list(value))
+    return _numbered(lists, keys, value, size).groupBy(*keys, "block").agg(F.min(value).alias("low"), F.max(value).alias("top"), values.alias("docs"))
 
 
 def strided(postings: DataFrame, step: int, width: int = 65_536) -> DataFrame:

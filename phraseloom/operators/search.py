@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
@@ -23,17 +23,79 @@ def intersect(left: DataFrame, right: DataFrame, offset: int = 0) -> DataFrame:
     return left.join(shifted, "v", "left_semi").select((F.col("v") + min(0, offset)).alias("v")).distinct()
 
 
+def ordered_terms(corpus: Corpus, patterns: DataFrame) -> DataFrame:
+    """pid, m, off, term, place: the words of each pattern from the rarest one (place 1) on; patterns with an unknown word are left out."""
+    terms = exploded(patterns).join(corpus.term_stats.select("term", "df"), "term", "left")
+    known = terms.withColumn("known", F.min(F.col("df").isNotNull()).over(Window.partitionBy("pid"))).where("known")
+    return known.withColumn("place", F.row_number().over(Window.partitionBy("pid").orderBy("df", "term", "off"))).select("pid", "m", "off", "term", "place")
+
+
+def _rarest_first(hits: DataFrame, on: list[str]) -> DataFrame:
+    """Of the hits (columns ``on`` and place) those at which the rarest word of their pattern has one.
+
+    The rarest word's hits prune the lists of the others: where they are few they are sent to the lists, which then aren't shuffled at all.
+    """
+    first = hits.where("place = 1").select(*on).distinct()
+    return hits.where("place > 1").join(first, on, "left_semi").unionByName(hits.where("place = 1"))
+
+
 def conjunctive(corpus: Corpus, patterns: DataFrame) -> DataFrame:
-    """(pid, doc_id) of the documents that hold all words of a pattern."""
-    terms = exploded(patterns).select("pid", "term").distinct()
-    wanted = terms.groupBy("pid").agg(F.count("*").alias("k"))
-    hits = corpus.postings.join(terms, "term").groupBy("pid", "doc_id").agg(F.count("*").alias("n"))
-    return hits.join(wanted, "pid").where("n = k").select("pid", "doc_id")
+    """(pid, doc_id) of the documents that hold all words of a pattern, the rarest word first."""
+    terms = ordered_terms(corpus, patterns)
+    wanted = terms.groupBy("pid").agg(F.count_distinct("term").alias("k"))
+    once = terms.groupBy("pid", "term").agg(F.min("place").alias("place"))
+    hits = _rarest_first(corpus.postings.select("term", "doc_id").join(once, "term").select("pid", "doc_id", "place"), ["pid", "doc_id"])
+    return hits.groupBy("pid", "doc_id").agg(F.count("*").alias("n")).join(wanted, "pid").where("n = k").select("pid", "doc_id")
+
+
+def conjunctive_by_masks(corpus: Corpus, patterns: DataFrame) -> DataFrame:
+    """The same over bit masks of 64 documents: blocks that the rarest word doesn't have are skipped, the others' masks are joined by AND."""
+    terms = ordered_terms(corpus, patterns)
+    wanted = terms.groupBy("pid").agg(F.count_distinct("term").alias("k"))
+    once = terms.groupBy("pid", "term").agg(F.min("place").alias("place"))
+    hits = _rarest_first(corpus.masks.join(once, "term").select("pid", "block", "mask", "place"), ["pid", "block"])
+    both = hits.groupBy("pid", "block").agg(F.count("*").alias("n"), F.bit_and("mask").alias("mask")).join(wanted, "pid").where("n = k and mask <> 0")
+    bits = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(mask, i) & 1L) = 1L)")
+    return both.select("pid", "block", F.explode(bits).alias("bit")).select("pid", (F.col("block") * 64 + F.col("bit")).alias("doc_id"))
+
+
+def successors(corpus: Corpus, probes: DataFrame) -> DataFrame:
+    """Adds successor to (pid, term, at): the first document of the list at or after ``at``, -1 past its end.
+
+    The borders of the blocks say which block holds it; of the lists only that block is read.
+    """
+    borders = corpus.blocked.select("term", "block", "top")
+    found = probes.join(borders, "term").where("top >= at").groupBy("pid", "term", "at").agg(F.min("block").alias("block"))
+    met = found.join(corpus.blocked.select("term", "block", "docs"), ["term", "block"]).select("pid", "term", "at", F.expr("array_min(filter(docs, d -> d >= at))").alias("successor"))
+    return probes.join(met, ["pid", "term", "at"], "left").withColumn("successor", F.coalesce("successor", F.lit(-1)))
+
+
+def met_blocks(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """pid, long, block, v: the documents v of the list ``short`` of (pid, short, long), each with the block of the list ``long`` whose borders it lies in; others are left out.
+
+    Documents and block borders are put in one order by a window over both, so no document meets more than one block.
+    """
+    values = pairs.join(corpus.blocked.select(F.col("term").alias("short"), "docs"), "short").select("pid", "long", F.explode("docs").alias("v"))
+    borders = pairs.join(corpus.blocked.select(F.col("term").alias("long"), "block", "low", "top"), "long")
+    none = F.lit(None).cast("long")
+    marks = borders.select("pid", "long", F.col("low").alias("v"), F.struct("block", "top").alias("mark"))
+    rows = values.withColumn("mark", F.lit(None).cast("struct<block:bigint,top:bigint>")).withColumn("is_mark", F.lit(1)).unionByName(marks.withColumn("is_mark", F.lit(0)))
+    near = Window.partitionBy("pid").orderBy("v", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("near", F.last("mark", ignorenulls=True).over(near)).where("is_mark = 1")
+    return rows.where(F.col("v") <= F.coalesce("near.top", none)).select("pid", "long", F.col("near.block").alias("block"), "v")
+
+
+def intersect_by_blocks(corpus: Corpus, pairs: DataFrame) -> DataFrame:
+    """(pid, v) of the documents in both lists of (pid, short, long): only blocks of the long list in whose borders a document of the short one lies are read."""
+    lists = corpus.blocked.select(F.col("term").alias("long"), "block", "docs")
+    return met_blocks(corpus, pairs).join(lists, ["long", "block"]).where(F.array_contains("docs", F.col("v"))).select("pid", "v")
 
 
 def phrase_starts(corpus: Corpus, patterns: DataFrame) -> DataFrame:
-    """(pid, doc_id, pos): places where a phrase starts, by aligning every word's positions and counting."""
-    hits = corpus.tokens.join(exploded(patterns), "term").groupBy("pid", "doc_id", (F.col("pos") - F.col("off")).alias("pos"), "m").agg(F.count("*").alias("n"))
+    """(pid, doc_id, pos): places where a phrase starts, by aligning every word's positions at those of the rarest word and counting."""
+    start = (F.col("pos") - F.col("off")).alias("pos")
+    hits = corpus.tokens.select("term", "doc_id", "pos").join(ordered_terms(corpus, patterns), "term").select("pid", "m", "doc_id", start, "place")
+    hits = _rarest_first(hits, ["pid", "doc_id", "pos"]).groupBy("pid", "doc_id", "pos", "m").agg(F.count("*").alias("n"))
     return hits.where("n = m").select("pid", "doc_id", "pos")
 
 

@@ -11,7 +11,7 @@ from . import search
 
 def conjunctive_replies(corpus: Corpus, patterns: DataFrame, most: int = 10) -> DataFrame:
     """(pid, reply): JSON with qid, complete and the first ``most`` ids; a pattern with an unknown word is incomplete and has no ids."""
-    hits = search.conjunctive(corpus, patterns)
+    hits = search.conjunctive_by_masks(corpus, patterns)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(32))
     near = hits.withColumn("_r", F.row_number().over(Window.partitionBy("pid", part).orderBy("doc_id"))).where(F.col("_r") <= most)
     first = near.withColumn("_r", F.row_number().over(Window.partitionBy("pid").orderBy("doc_id"))).where(F.col("_r") <= most)

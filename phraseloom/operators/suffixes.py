@@ -106,7 +106,7 @@ def suffix_table(corpus: Corpus) -> DataFrame:
     if settled[1:]:
         later = reduce(DataFrame.unionByName, settled[1:]).select("gpos", F.col("start").alias("rank"))
         rows = rows.unionByName(base.where(words & F.col("tied")).join(later, "gpos").select("rank", "doc_id", "pos", "key"))
-    return written(rows.repartitionByRange(_partitions(rows), "rank").sortWithinPartitions("rank"), "suffixes")
+    return rows.repartitionByRange(_partitions(rows), "rank").sortWithinPartitions("rank")
 
 
 def levels(corpus: Corpus) -> list[DataFrame]:
@@ -167,7 +167,7 @@ def listing_table(corpus: Corpus) -> DataFrame:
     shared = F.when(F.col("_key").isNull(), 0).when(differ > 0, differ - 1).otherwise(F.size(same))
     rows = corpus.suffixes.withColumn("_key", F.lag("key").over(own))
     rows = rows.select("rank", "doc_id", F.coalesce(F.lag("rank").over(own), F.lit(-1)).alias("before"), F.coalesce(F.lead("rank").over(own), F.lit(LAST)).alias("after"), F.row_number().over(own).alias("place"), shared.cast("int").alias("shared"))
-    return written(rows.repartitionByRange(_partitions(rows), "rank").sortWithinPartitions("rank"), "listing")
+    return rows.repartitionByRange(_partitions(rows), "rank").sortWithinPartitions("rank")
 
 
 def phrase_docs_by_listing(corpus: Corpus, patterns: DataFrame) -> DataFrame:

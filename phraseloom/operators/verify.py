@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import words
 from ..sources.corpus import Corpus
 from . import layouts, search, workload
 
@@ -16,7 +17,7 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def postings(corpus: Corpus) -> DataFrame:
     """Stored postings against counts from the texts."""
-    fresh = corpus.split.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    fresh = corpus.documents.select("doc_id", F.explode(words("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     return differing(corpus.postings, fresh)
 
 

@@ -149,9 +149,7 @@ def doc_lists(c, spark, sf):
 def postings_successor(c, spark, sf):
     """Skip: the first document of a list at or after a place, -1 past its end."""
     probe = search.exploded(patterns(spark, sf)).select("pid", "term", (F.col("pid") * 3).alias("at")).distinct()
-    after = c.postings.select(F.col("term").alias("t"), "doc_id")
-    rows = probe.join(after, (F.col("term") == F.col("t")) & (F.col("doc_id") >= F.col("at")), "left")
-    return rows.groupBy("pid", "term", "at").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("successor")).withColumn("found", F.coalesce(F.col("successor") == F.col("at"), F.lit(False)))
+    return search.successors(c, probe).withColumn("found", F.col("successor") == F.col("at"))
 
 
 @query(f"WITH {TOK}, {PAT}, {POST}, n AS (SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS place FROM post WHERE term IN (SELECT term FROM pt)) SELECT term, place::BIGINT AS place, doc_id FROM n WHERE place % 8 = 0")
@@ -187,10 +185,18 @@ def conjunctive_docs(c, spark, sf):
 
 @query(f"WITH {TOK}, {PAT}, {POST}, {CONJ} SELECT pid, doc_id FROM conj")
 def conjunctive_docs_bitmap(c, spark, sf):
-    """The same from the texts alone: each text meets the patterns by their first word and is tested for the others."""
-    pats = patterns(spark, sf).select("pid", "tokens", F.col("tokens")[0].alias("t"))
-    met = c.split.select("doc_id", F.array_distinct("w").alias("ws")).select("doc_id", "ws", F.explode("ws").alias("t")).join(pats, "t")
-    return met.where(F.size(F.array_except("tokens", "ws")) == 0).select("pid", "doc_id")
+    """The same over bit masks of the documents."""
+    return search.conjunctive_by_masks(c, patterns(spark, sf))
+
+
+@query(f"""WITH {TOK}, {PAT}, {POST}, {STATS}, r AS (SELECT pt.pid, pt.term, row_number() OVER (PARTITION BY pt.pid ORDER BY s.df, pt.term) AS up, row_number() OVER (PARTITION BY pt.pid ORDER BY s.df DESC, pt.term DESC) AS down
+  FROM (SELECT DISTINCT pid, term FROM pt) pt JOIN stats s ON pt.term = s.term)
+SELECT a.pid, x.doc_id AS v FROM r a JOIN r b ON a.pid = b.pid JOIN post x ON x.term = a.term JOIN post y ON y.term = b.term AND y.doc_id = x.doc_id WHERE a.up = 1 AND b.down = 1""")
+def intersect_rare_and_frequent(c, spark, sf):
+    """The rarest and the most frequent known word of every pattern, by skipping blocks of the long list."""
+    terms = search.exploded(patterns(spark, sf)).select("pid", "term").distinct().join(c.term_stats.select("term", "df"), "term")
+    ends = terms.groupBy("pid").agg(F.min(F.struct("df", "term")).alias("a"), F.max(F.struct("df", "term")).alias("b"))
+    return search.intersect_by_blocks(c, ends.select("pid", F.col("a.term").alias("short"), F.col("b.term").alias("long")))
 
 
 @query(PHRASE_DOCS)

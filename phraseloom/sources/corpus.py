@@ -7,18 +7,24 @@ frequent term over several files by document.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import words
+from ..functions.tokens import PATTERN, words
 from .store import running_total, written
 
 #: The tables of a saved collection, and the file that is written when all are there.
 TABLES = ("docs", "tokens", "postings", "term_stats", "dictionary", "bigram_positions")
 COMPLETE = "complete"
+#: Setting of the session: the folder of registered indexes.
+INDEX_DIR = "phraseloom.index.dir"
+#: Changes when tables of the same name hold something else than before.
+LAYOUT = "4"
 _opened: dict[tuple[str, str], Corpus] = {}
 
 
@@ -28,18 +34,38 @@ class Corpus:
     Rows without doc_id are left out; a doc_id that stands twice is an error, as positions belong to one text.
     """
 
-    def __init__(self, documents: DataFrame):
-        self.spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, index: str | None = None):
+        """``index``: a folder in which tables are looked up, and written where they are missing; without it they are built for this application."""
+        self.spark, self.index = documents.sparkSession, index
         self.documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str, table: str = "documents") -> Corpus:
-        """The collection of a folder; one for each folder and application, so its tables are built once."""
-        key = spark.sparkContext.applicationId, f"{sf_dir}/{table}"
+        """The collection of a folder, its tables built once for each application and state of the input files.
+
+        With the setting ``phraseloom.index.dir`` the tables of one state of the input lie in a folder of their own there, named by the fingerprint of files, tokenisation and layout: any
+        session finds those that are complete, and builds only what is missing.
+        """
+        frame = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        state = fingerprint(frame)
+        root = spark.conf.get(INDEX_DIR, None)
+        key = spark.sparkContext.applicationId, f"{sf_dir}/{table}", state, root
         if key not in _opened:
-            _opened[key] = cls(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            _opened[key] = cls(frame, root and f"{root.rstrip('/')}/{state}")
         return _opened[key]
 
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The table of that name: from the registered index if it is complete there, else built and written."""
+        if not self.index:
+            return written(build(), name)
+        path, marker = f"{self.index}/{name}", f"{self.index}/{name}.{COMPLETE}"
+        try:
+            self.spark.read.parquet(marker).first()
+        except AnalysisException:  # no such path: never written, or not to its end
+            build().write.mode("overwrite").parquet(path)
+            self.spark.createDataFrame([(name, LAYOUT)], "name string, layout string").coalesce(1).write.mode("overwrite").parquet(marker)
+        return self.spark.read.parquet(path)
+
     def save(self, path: str) -> None:
         """Writes all tables below ``path``, and last the list of them."""
         for name in TABLES:
@@ -67,14 +93,14 @@ class Corpus:
 
     @cached_property
     def split(self) -> DataFrame:
-        """doc_id and w, the words in order (not stored)."""
-        return self.documents.select("doc_id", words("text").alias("w"))
+        """doc_id and w, the words in order: texts are taken apart once, for all tables."""
+        return self._kept("words", lambda: self.documents.select("doc_id", words("text").alias("w")))
 
     @cached_property
     def docs(self) -> DataFrame:
         """doc_id, n_tokens, doc_len (one more, for the separator), doc_start."""
         counted = self.split.select("doc_id", F.size("w").cast("long").alias("n_tokens")).withColumn("doc_len", F.col("n_tokens") + 1)
-        docs = written(running_total(counted, ["doc_id"], "doc_len", "doc_start", "doc-lengths"), "docs")
+        docs = self._kept("docs", lambda: running_total(counted, ["doc_id"], "doc_len", "doc_start", "doc-lengths"))
         twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").first()
         if twice:
             raise ValueError(f"doc_id {twice.doc_id} stands {twice.n} times")
@@ -83,42 +109,60 @@ class Corpus:
     @cached_property
     def tokens(self) -> DataFrame:
         """term, doc_id, pos, gpos (position in the whole text)."""
-        placed = self.documents.join(self.docs.select("doc_id", "doc_start"), "doc_id")  # before the words are dealt out: a row for each text, not for each word
-        rows = placed.select("doc_id", "doc_start", F.posexplode(words("text")).alias("pos", "term"))
+        placed = self.split.join(self.docs.select("doc_id", "doc_start"), "doc_id")  # before the words are dealt out: a row for each text, not for each word
+        rows = placed.select("doc_id", "doc_start", F.posexplode("w").alias("pos", "term"))
         rows = rows.select("term", "doc_id", F.col("pos").cast("long").alias("pos"), (F.col("doc_start") + F.col("pos")).alias("gpos"))
+        return self._kept("tokens", lambda: self._sorted(rows, "term", "doc_id", "pos"))
+
+    def _sorted(self, rows: DataFrame, *order: str) -> DataFrame:
+        """Range-partitioned by all columns but the last, and sorted."""
         n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        return written(rows.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id", "pos"), "tokens")
+        return rows.repartitionByRange(n, *order[:-1]).sortWithinPartitions(*order)
 
     @cached_property
     def postings(self) -> DataFrame:
-        """term, doc_id, tf."""
-        return written(self.tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf")), "postings")
+        """term, doc_id, tf; counted where the texts are, so a row for each word of a document is shuffled, not one for each occurrence."""
+        counted = self.split.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        return self._kept("postings", lambda: counted)
 
     @cached_property
     def term_stats(self) -> DataFrame:
         """term, cf (occurrences), df (documents)."""
-        return written(self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")), "term-stats")
+        return self._kept("term_stats", lambda: self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
 
     @cached_property
     def dictionary(self) -> DataFrame:
         """term and term_id, from 2 in term order (0 and 1 stand for terminator and separator)."""
-        numbered = running_total(self.term_stats.select("term", F.lit(1).alias("one")), ["term"], "one", "rank", "terms")
-        return written(numbered.select("term", (F.col("rank") + 2).alias("term_id")), "dictionary")
+        numbered = lambda: running_total(self.term_stats.select("term", F.lit(1).alias("one")), ["term"], "one", "rank", "terms")
+        return self._kept("dictionary", lambda: numbered().select("term", (F.col("rank") + 2).alias("term_id")))
 
     @cached_property
     def bigram_positions(self) -> DataFrame:
         """t1, t2, doc_id, pos of every two neighbouring words."""
         pairs = self.split.select("doc_id", F.explode(F.expr("transform(w, (x, i) -> struct(x as t1, get(w, i + 1) as t2, bigint(i) as pos))")).alias("g"))
         rows = pairs.select("g.t1", "g.t2", "doc_id", "g.pos").where("t2 is not null")
-        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        return written(rows.repartitionByRange(n, "t1", "t2", "doc_id").sortWithinPartitions("t1", "t2", "doc_id", "pos"), "bigrams")
+        return self._kept("bigram_positions", lambda: self._sorted(rows, "t1", "t2", "doc_id", "pos"))
+
+    @cached_property
+    def masks(self) -> DataFrame:
+        """term, block, mask: the documents of a word as bits of 64 neighbouring doc_ids, one row for each block that holds any."""
+        bit = F.expr("shiftleft(1L, int(pmod(doc_id, 64)))")
+        rows = lambda: self.postings.groupBy("term", F.floor(F.col("doc_id") / 64).alias("block")).agg(F.bit_or(bit).alias("mask"))
+        return self._kept("masks", lambda: self._sorted(rows(), "term", "block"))
+
+    @cached_property
+    def blocked(self) -> DataFrame:
+        """term, block, low, top, docs: the postings in blocks of 128 documents, of which a search reads the borders first."""
+        from ..operators.layouts import packed_blocks
+
+        return self._kept("blocked", lambda: self._sorted(packed_blocks(self.postings.select("term", "doc_id"), ["term"], "doc_id", 128), "term", "block"))
 
     @cached_property
     def suffixes(self) -> DataFrame:
         """rank, doc_id, pos, key (the numbers of its first words) of every suffix that starts at a word, in order."""
         from ..operators.suffixes import suffix_table
 
-        return suffix_table(self)
+        return self._kept("suffixes", lambda: suffix_table(self))
 
     @cached_property
     def suffix_levels(self) -> list[DataFrame]:
@@ -132,7 +176,7 @@ class Corpus:
         """rank, doc_id, before, after, place, shared: each suffix with its neighbours in the same document."""
         from ..operators.suffixes import listing_table
 
-        return listing_table(self)
+        return self._kept("listing", lambda: listing_table(self))
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -143,3 +187,10 @@ class Corpus:
         """doc_id, pos, gram (``size`` words joined by spaces), next (the word after, empty at the end of the document)."""
         at = F.expr(f"transform(sequence(0, greatest(size(w) - {size}, 0)), i -> struct(bigint(i) as pos, array_join(slice(w, i + 1, {size}), ' ') as gram, coalesce(get(w, i + {size}), '') as next))")
         return self.split.where(F.size("w") >= size).select("doc_id", F.explode(at).alias("g")).select("doc_id", "g.pos", "g.gram", "g.next")
+
+
+def fingerprint(frame: DataFrame) -> str:
+    """A hash of the files a frame reads (paths, sizes, times of change), of the tokenisation and of the tables' layout."""
+    files = frame.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.select(F.concat_ws("|", "file_path", "file_size", F.unix_micros("file_modification_time")).alias("f")).agg(F.sort_array(F.collect_list("f")).alias("f")).first().f  # one line a file
+    return hashlib.sha256("\n".join([LAYOUT, PATTERN, *state]).encode()).hexdigest()[:32]

@@ -21,10 +21,21 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{f} string" for f in FIELDS)).csv(path, sep=";").select(*map(_typed, FIELDS))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 1) and value of the lines of text files, however they are split: each split's lines are counted, and the splits before it in its file are added up.
+
+    Lines that are read one after another have ids one after another, so a line's place in its split is its id less the split's first.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "split", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(F.broadcast(splits), ["file", "split"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("number"), "value")
+
+
 def read_old_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``bucket;ndoc;m;sp;ep;nocc;t,t,...``; id is the line number from 1 (one file, read as one partition)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line")).where("line <> ''")
-    parts = lines.select((F.col("n") + 1).cast("long").alias("id"), F.split("line", ";").alias("p"))
+    """Lines ``bucket;ndoc;m;sp;ep;nocc;t,t,...``; id is the number of the line in its file, from 1; empty lines are counted and left out."""
+    parts = numbered_lines(spark, path).where("value <> ''").select(F.col("number").alias("id"), F.split("value", ";").alias("p"))
     return parts.select("id", *(F.col("p")[i].alias(f) for i, f in enumerate(OLD_FIELDS))).select("id", *map(_typed, OLD_FIELDS))
 
 

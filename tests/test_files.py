@@ -16,6 +16,26 @@ def test_old_pattern_file(spark, tmp_path):
     assert got == [(1, 1, 60, 2, 5, 9, 70, [3, 4]), (2, 0, 3, 1, 1, 2, 3, [9])]
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """Two files, with empty lines, in one split each and in about twenty."""
+    for name, n in (("x", 200), ("y", 57)):
+        (tmp_path / name).write_text("".join("\n" if i % 9 == 0 else f"0;{i};2;5;9;70;3,4\n" for i in range(1, n + 1)))
+
+    def ids():
+        return sorted((r.file.rpartition("/")[2], r.number, r.value) for r in patterns.numbered_lines(spark, f"{tmp_path}/*").collect())
+
+    one = ids()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "180b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        assert spark.read.text(f"{tmp_path}/x").rdd.getNumPartitions() >= 15 and ids() == one
+        old = {r.id: r.ndoc for r in patterns.read_old_patterns(spark, f"{tmp_path}/x").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert old == {i: i for i in range(1, 201) if i % 9} and len(one) == 257
+
+
 def test_queries_stop_at_unknown_words(spark, tmp_path):
     (tmp_path / "q").write_text("1;a b\n2;a zzz b\n3;zzz\n")
     dictionary = spark.createDataFrame([("a", 2), ("b", 3)], "term string, term_id long")
