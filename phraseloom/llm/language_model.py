@@ -230,8 +230,9 @@ class Trainer:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         self.docs, self.folder = docs, shared_folder(spark, "language-model")
-        self.ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        self.buckets = max(self.ranges, 2 * docs.rdd.getNumPartitions())
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.ranges = -(-partitions // 4)  # words are far fewer than pairs, and every bucket sends a row to every range
+        self.buckets = max(partitions, 2 * docs.rdd.getNumPartitions())
         self.model = Model()
 
     def counted(self) -> DataFrame:
