@@ -1,8 +1,8 @@
 """License scan: phrase places, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a window of ``WINDOW`` words (every ``WINDOW // 2`` words) of a longer line; with ``wrapped``, as in the query, also such windows
-of the whole document, so that a statement broken over lines is one block.  A block matches a template when it holds
-at least ``CONTAINMENT`` of the template's distinct words.  The join is exact: template words are put in one global
+of the whole document, so that a statement broken over lines is one block.  Templates are sentences of license texts and notices.  A block is a candidate for a template when it holds
+at least ``CONTAINMENT`` of the template's distinct words.  This join is exact: template words are put in one global
 order, rarest in the corpus first (their numbers are counted over all documents), and
 
 * prefix filter: a template of n words that must share o of them meets every matching block in its first n - o + 1 words, so only
@@ -11,6 +11,9 @@ order, rarest in the corpus first (their numbers are counted over all documents)
 * positional filter: after a common word at places i and j of the two ordered sets, at most
   min(n - i, m - j) words can still be common.
 
+A candidate is a match when the words also stand in order: among ``SPREAD`` times as many words as the template has, at least ``CONTAINMENT`` of its words follow each other as in the
+template, and among them stand the words that tell the license from others with the same phrasing (its names).  The score is the share of words in order.
+
 The templates are a fixed small set (``TEMPLATES``), so their words and counts are bounded; documents never leave their
 task and nothing is shuffled but one count per template word.
 
@@ -32,6 +35,7 @@ from .textkernel import ALNUM, LOWER, WORD_HASH, blocks, owners, word_spans
 
 CONTAINMENT = 0.8
 WINDOW = 64
+SPREAD = 2
 
 # Phrases and their labels.
 PHRASES = {
@@ -41,19 +45,34 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# License statements and their labels.
+# Sentences of license texts and notices, their labels, and the names without which they aren't that license's.
 TEMPLATES = [
-    ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under the apache license version 2 0", "apache"),
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under cc by nc 4 0", "cc-by"),
-    ("this work is licensed under a creative commons attribution license", "cc-by"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("all rights reserved", "all-rights-reserved"),
-    ("this work has been released into the public domain", "public-domain"),
+    ("this work is licensed under the gnu general public license version 3", "gpl", "gnu"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl", "gnu"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license", "gpl", "gnu"),
+    ("you should have received a copy of the gnu general public license along with this program", "gpl", "gnu"),
+    ("everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "gpl", "verbatim"),
+    ("licensed under the apache license version 2 0", "apache", "apache"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache", "compliance"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache", "basis"),
+    ("see the license for the specific language governing permissions and limitations under the license", "apache", "limitations"),
+    ("released under the mit license", "mit", "mit"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", "granted"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit", "sublicense"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit", "portions"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "mit", "software"),
+    ("licensed under cc by nc 4 0", "cc-by", "cc by"),
+    ("this work is licensed under a creative commons attribution license", "cc-by", "creative commons"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", "creative commons"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "redistribution"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd", "redistributions"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "bsd", "redistributions"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd", "endorse"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", "mpl"),
+    ("all rights reserved", "all-rights-reserved", "all rights reserved"),
+    ("this work has been released into the public domain", "public-domain", "public domain"),
+    ("this is free and unencumbered software released into the public domain", "public-domain", "public domain"),
 ]
 
 
@@ -73,7 +92,7 @@ class Vocabulary:
     """The distinct words of the templates, by hash."""
 
     def __init__(self, templates=TEMPLATES):
-        self.words = sorted({w for t, _ in templates for w in t.split()})
+        self.words = sorted({w for t, *_ in templates for w in t.split()})
         hashes = word_hashes(self.words)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order
@@ -109,31 +128,50 @@ class Join:
         self.rank = np.empty(len(counts), np.int64)
         self.rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
         number = {w: i for i, w in enumerate(vocabulary.words)}
-        self.templates, self.by_prefix = [], {}
-        for t, (text, label) in enumerate(templates):
-            ranks = sorted({int(self.rank[number[w]]) for w in text.split()})
+        self.templates, self.by_prefix, self.threshold = [], {}, threshold
+        for t, (text, label, *names) in enumerate(templates):
+            order = [int(self.rank[number[w]]) for w in text.split()]
+            ranks = sorted(set(order))
             need = ceil(threshold * len(ranks) - 1e-9)
-            self.templates.append((ranks, need, label))
+            self.templates.append((ranks, need, label, order, {int(self.rank[number[w]]) for x in names for w in x.split()}))
             for i, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.by_prefix.setdefault(r, []).append((t, i))
         self.prefix = np.zeros(len(counts), bool)
         self.prefix[list(self.by_prefix)] = True
 
     def match(self, block: list[int]) -> list[tuple[str, float]]:
-        """(label, containment) of the templates that the ordered set ``block`` of ranks holds."""
+        """(label, share of words in order) of the templates that match a block, given the ranks of its words in text order (-1 for other words)."""
         found, seen = [], set()
-        for j, r in enumerate(block):
+        ordered = sorted({r for r in block if r >= 0})
+        for j, r in enumerate(ordered):
             for t, i in self.by_prefix.get(r, ()):
-                ranks, need, label = self.templates[t]
-                if t in seen or len(block) < need or min(len(ranks) - i, len(block) - j) < need - i:
+                ranks, need, label, order, names = self.templates[t]
+                if t in seen or len(ordered) < need or min(len(ranks) - i, len(ordered) - j) < need - i:
                     continue
                 seen.add(t)
-                common = len(set(ranks).intersection(block))
-                if common >= need:
-                    found.append((label, common / len(ranks)))
+                if len(set(ranks).intersection(ordered)) >= need:
+                    share = in_order(block, order, names)
+                    if share >= self.threshold - 1e-9:
+                        found.append((label, share))
         return found
 
 
+def in_order(block: list[int], order: list[int], names: set[int]) -> float:
+    """The largest share of the words of ``order`` that follow each other, in that order, within ``SPREAD`` times as many words of the block that hold all ``names``."""
+    there = [(i, r) for i, r in enumerate(block) if r in set(order)]
+    best = 0
+    for k, (start, _) in enumerate(there):
+        near = [r for i, r in there[k:] if i < start + SPREAD * len(order)]
+        if len(near) > best and names <= set(near):
+            row = [0] * (len(order) + 1)  # longest common subsequence of what was read so far and each head of the template
+            for r in near:
+                before = 0
+                for j, w in enumerate(order, 1):
+                    before, row[j] = row[j], before + 1 if w == r else max(row[j], row[j - 1])
+            best = max(best, row[-1])
+    return best / len(order)
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
     """A row for each document (``wrapped``: blocks cross line breaks too): n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks."""
     vocabulary = Vocabulary(templates)
@@ -179,7 +217,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
                                 of_hit[a + s * half, min(b, a + s * half + WINDOW)] = None
             for a, b in of_hit:
                 block = known[a:b]
-                found = join.match(sorted(set(join.rank[block[block >= 0]].tolist())))
+                found = join.match(np.where(block >= 0, join.rank[block], -1).tolist())
                 if found:
                     d = int(owners(first, np.array([a]))[0])
                     n_blocks[d] += 1

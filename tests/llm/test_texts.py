@@ -74,30 +74,71 @@ def test_clauses_are_read_one_by_one():
     assert toxicity.document_kinds(text, at, symbol) == {"insult+target": 1, "slur": 1}
 
 
-def test_license_scan(spark, odd, empty):
+def license_labels(text, wrapped):
+    """Labels and score of the method by the definition: every block against every template."""
+
+    def common(x, y):
+        rows = [[0] * (len(y) + 1)]
+        for v in x:
+            rows.append([0])
+            for j, w in enumerate(y):
+                rows[-1].append(rows[-2][j] + 1 if v == w else max(rows[-2][j + 1], rows[-1][j]))
+        return rows[-1][-1]
+
+    half, spread, least, found = licenses.WINDOW // 2, licenses.SPREAD, licenses.CONTAINMENT - 1e-9, {}
+    for part in [*(text or "").split("\n"), *([text or ""] if wrapped else [])]:
+        own = brute.letters(part)
+        for a in range(0, max(len(own) - half, 1), half) if len(own) > licenses.WINDOW else [0]:
+            block = own[a : a + licenses.WINDOW]
+            for t, label, names in licenses.TEMPLATES:
+                order = t.split()
+                if len(set(block) & set(order)) >= least * len(set(order)):
+                    spans = [block[k : k + spread * len(order)] for k in range(len(block))]
+                    share = max(common(x, order) for x in spans if set(names.split()) <= set(x)) / len(order) if any(set(names.split()) <= set(x) for x in spans) else 0
+                    if share >= least:
+                        found[label] = max(share, found.get(label, 0))
+    return found
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_license_scan(spark, odd, empty, wrapped):
     rng = random.Random(2)
     words = "the this work is under a mit license apache cc by gnu general public licensed version 2 0 all rights reserved x y z".split()
-    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 4))) for _ in range(150)]
-    texts += [t for t, _ in licenses.TEMPLATES] + ["MIT\nLicense", "x" * 10 + "CC-BY", None, ""]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 4))) for _ in range(100)]
+    for t, *_ in licenses.TEMPLATES:  # whole, over two lines, with words left out or put in, and in another order
+        own = t.split()
+        k, at = rng.randrange(len(own)), rng.randrange(300)
+        other = [*own[:k], *rng.choices("x y z".split(), k=rng.randint(0, len(own))), *own[k + rng.randint(0, 3) :]]
+        texts += [t, " ".join(own[:k]) + "\n" + " ".join(own[k:]), " ".join(["z"] * at + other + ["x"] * 200), " ".join(reversed(own)), t + "\n" + t]
+    texts += ["MIT\nLicense", "x" * 10 + "CC-BY", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    got = {r.doc_id: r for r in licenses.scan(docs, wrapped=wrapped).collect()}
     for i, text in enumerate(texts):
-        w, places, base, labels = brute.letters(text), [], set(), set()
+        w, places, base = brute.letters(text), [], set()
         for p, label in licenses.PHRASES.items():
             p = p.split()
             hits = [k for k in range(len(w) - len(p) + 1) if w[k : k + len(p)] == p]
             places += hits
             base |= {label} if hits else set()
-        for line in (text or "").split("\n"):
-            own = brute.letters(line)
-            half = licenses.WINDOW // 2
-            for a in range(0, max(len(own) - half, 1), half) if len(own) > licenses.WINDOW else [0]:
-                block = set(own[a : a + licenses.WINDOW])
-                labels |= {label for t, label in licenses.TEMPLATES if len(block & set(t.split())) >= licenses.CONTAINMENT * len(set(t.split())) - 1e-9}
-        r = got[i]
+        labels, r = license_labels(text, wrapped), got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None)), text
-        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | labels))), text
-    assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(base | set(labels)))), text
+        assert abs(r.score - (1 if base else max(labels.values(), default=0))) < 1e-9, text
+    assert licenses.scan(odd, wrapped=wrapped).count() == odd.count() and licenses.scan(empty, wrapped=wrapped).count() == 0
+
+
+def test_words_of_a_license_alone_are_none(spark):
+    """Texts that share most words of a template, but not its order or its names."""
+    texts = [
+        "the software is released under the bsd license",
+        "licensed under the license version 2 0 of eupl",
+        "all seats reserved for all members who waived their rights",
+        "released into the domain of science for public reading",
+        "rights reserved by all",
+        "public domain work has been released this into the",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.labels, r.score) for r in licenses.scan(docs, wrapped=True).collect()} == {("", 0.0)}
 
 
 def test_decontamination(spark, odd, empty):
