@@ -120,13 +120,13 @@ def in_fold(column, divisor: int, rest: int):
     return F.coalesce(F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(divisor) == rest, F.lit(False))
 
 
-def hashed_sample(rows: DataFrame, most: int, key: str = "doc_id", seed: int = 1) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of their key: the same ones in every run, and no sort."""
+def hashed_sample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:
+    """About ``most`` rows at most, chosen by a hash of all their columns: the same ones in every run, and no sort.  Rows without an id are told apart by their texts; rows that are equal throughout are taken together."""
     there = rows.count()
     if there <= most:
         return rows
     scale = 1 << 30
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(scale)) < int(scale * most / there))
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *sorted(rows.columns)), F.lit(scale)) < int(scale * most / there))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:

@@ -1,15 +1,14 @@
 """Quality: a compression classifier.
 
 Two zstandard dictionaries are trained, one on good and one on bad labelled text.  A whole text is compressed with
-each; the normalised difference of the two sizes, with the sizes themselves per byte, becomes a score through
-a logistic calibration fitted on labelled rows.
+each; the normalised difference of the two sizes becomes a score through a logistic calibration fitted on labelled rows, which knows the text's length besides.
 
 Bounds (parameters): ``DICT_ROWS`` rows per class (drawn by a hash of their own, so as many at every size), whose whole texts, in pieces of ``PIECE`` bytes, are the dictionary
 samples, and ``FIT_ROWS`` rows for the calibration, whose size pairs only come to the driver.  Scoring reads every
 whole text, without a shuffle.
 
 Defined cases: a null or empty text gets the share of good rows in the fit; when one class has no row, or too few
-bytes to make a dictionary, every text gets that share (0.5 without any label).  Repeated rows get equal scores; a row without doc_id isn't held out.
+bytes to make a dictionary, every text gets that share (0.5 without any label, 0 or 1 where all labels are equal).  Repeated rows get equal scores; a row without doc_id isn't held out.
 Extra columns are ignored.
 """
 
@@ -46,10 +45,9 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def features(n: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """The normalised differences and sizes, and their products."""
-    size, both = np.maximum(n, 1), np.maximum(good + bad, 1)
-    base = np.stack([(bad - good) / both, (bad - good) / size, good / size, bad / size, np.log1p(n)], axis=1)
-    return np.concatenate([base, *(base[:, [i]] * base[:, i:] for i in range(base.shape[1]))], axis=1)
+    """The size difference normalised by both sizes and by the text's length, and how either counts at different lengths."""
+    length, difference = np.log1p(n), np.stack([(bad - good) / np.maximum(good + bad, 1), (bad - good) / np.maximum(n, 1)])
+    return np.stack([*difference, length, *(difference * length), length * length], axis=1)
 
 
 def _sizes(docs: DataFrame, dictionaries: tuple[bytes, bytes], *more: str) -> DataFrame:

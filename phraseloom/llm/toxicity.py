@@ -18,7 +18,7 @@ whole text and needs no shuffle; a byte-table hash look-up finds the few clauses
 characters at which the grammar ends a word or changes the case (quotes, dashes, spaces and capitals outside ASCII) are split as the grammar splits them.
 
 Defined cases: null or empty texts, and texts without a reading, get the intercept's score (about the share of toxic
-documents among those without readings).  Without labelled rows the given weights hold.  Repeated rows get equal scores; a row without doc_id isn't
+documents among those without readings).  Without labelled rows of both kinds nothing is learned, and the given words and weights hold.  Repeated rows get equal scores; a row without doc_id isn't
 held out; extra columns are ignored.
 """
 
@@ -267,6 +267,8 @@ def train(rows: DataFrame) -> ToxicityModel:
     """From the columns doc_id, text and toxic (0 or 1)."""
     rows = hashed_sample(texts_of(rows, F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and text is not null"), TRAIN_ROWS)
     start = Logistic(np.zeros(len(KINDS)), np.ones(len(KINDS)), np.array([START_INTERCEPT, *START]))
+    if rows.agg(F.count_distinct("toxic").alias("n")).first().n < 2:  # words of one kind of rows say nothing about the other
+        return ToxicityModel([], [], start)
     model = ToxicityModel(*learn_lexicon(rows), start)
     seen = model.counts(rows, "toxic").toPandas().sort_values("doc_id")
     if len(seen):
