@@ -14,7 +14,7 @@ def scores(corpus: Corpus, terms: DataFrame | None = None) -> DataFrame:
     postings, stats = corpus.postings, corpus.term_stats.select("term", "df")
     if terms is not None:
         postings, stats = postings.join(terms, "term", "left_semi"), stats.join(terms, "term", "left_semi")
-    rows = postings.join(stats, "term").join(corpus.docs.select("doc_id", "n_tokens"), "doc_id").crossJoin(F.broadcast(corpus.totals.select("n_docs", "avg_len")))
+    rows = postings.join(stats, "term").crossJoin(F.broadcast(corpus.totals.select("n_docs", "avg_len")))  # a posting carries the length of its document
     return rows.select("term", "doc_id", "tf", bm25(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("n_tokens"), F.col("avg_len")).alias("score"))
 
 

@@ -18,7 +18,7 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
 def postings(corpus: Corpus) -> DataFrame:
     """Stored postings against counts from the texts."""
     fresh = corpus.documents.select("doc_id", F.explode(words("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return differing(corpus.postings, fresh)
+    return differing(corpus.postings.select("term", "doc_id", "tf"), fresh)
 
 
 def relative_positions(corpus: Corpus) -> DataFrame:

@@ -131,7 +131,7 @@ def term_doc_freq(c, spark, sf):
 
 @query(f"WITH {TOK}, {POST} SELECT term, doc_id, tf FROM post")
 def inverted_index(c, spark, sf):
-    return c.postings
+    return c.postings.select("term", "doc_id", "tf")
 
 
 @query(f"WITH {TOK} SELECT doc_id, pos, (SELECT doc_start FROM docs_t s WHERE s.doc_id = tok.doc_id) + pos AS gpos FROM tok WHERE term = 'the'")
@@ -363,11 +363,9 @@ def workload_checksum(c, spark, sf):
 
 MOST_PER_BUCKET = 10_000
 _MADE = (
-    f"WITH {TOK}, {POST}, {STATS}, {DIC}, e AS ("
-    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, d.l[t.pos + 1:t.pos + {m}] AS g, t.doc_id, coalesce(d.l[t.pos + {m + 1}], '') AS nx FROM tok t JOIN d ON t.doc_id = d.doc_id" for m in range(2, LONGEST + 1))
-    + f"""), al AS MATERIALIZED (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc, count(DISTINCT nx) AS branches FROM e GROUP BY m, g),
-gr AS MATERIALIZED (SELECT * FROM (SELECT *, (SELECT count(*) FROM d) + 1 + coalesce(sum(nocc) OVER (PARTITION BY m ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sp FROM al) a0
-  WHERE len(g) = m AND nocc >= 2 AND branches >= 2),
+    f"WITH {TOK}, {POST}, {STATS}, {DIC}, ranked AS MATERIALIZED (SELECT doc_id, pos, key, n, (SELECT count(*) FROM d) + row_number() OVER (ORDER BY key) AS rk FROM (SELECT t.doc_id, t.pos, d.l[t.pos + 1:t.pos + {LONGEST + 1}] AS key, len(d.l) AS n FROM tok t JOIN d ON t.doc_id = d.doc_id) k0), e AS ("
+    + " UNION ALL ".join(f"SELECT {m}::BIGINT AS m, key[1:{m}] AS g, doc_id, coalesce(key[{m + 1}], '') AS nx, rk FROM ranked WHERE pos + {m} <= n" for m in range(2, LONGEST + 1))
+    + f"""), gr AS MATERIALIZED (SELECT m, g, count(*)::BIGINT AS nocc, count(DISTINCT doc_id)::BIGINT AS ndoc, min(rk)::BIGINT AS sp FROM e GROUP BY m, g HAVING count(*) >= 2 AND count(DISTINCT nx) >= 2),
 bk AS (SELECT *, array_to_string(g, ' ') AS gram, {workload.bucket_sql('ndoc')} AS bucket FROM gr),
 made AS MATERIALIZED (SELECT *, sp + nocc - 1 AS ep, row_number() OVER (ORDER BY bucket, m, gram) AS id FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('{workload.SEED} ' || gram), gram) AS r FROM bk WHERE bucket >= 0) z WHERE r <= {MOST_PER_BUCKET}),
 w AS (SELECT id, unnest(g) AS term, generate_subscripts(g, 1) AS off FROM made),
@@ -559,6 +557,15 @@ def permuted_text(c, spark, sf):
     return _permuted(c, sf, c.tokens)
 
 
+@query(rf"""WITH perm AS (SELECT page_id, (row_number() OVER (ORDER BY url, page_id) - 1)::BIGINT AS new_id FROM pages),
+w AS (SELECT page_id, unnest(l) AS term, (generate_subscripts(l, 1) - 1)::BIGINT AS pos FROM (SELECT page_id, coalesce(regexp_extract_all(lower(html), '{tokens.PATTERN}'), []) AS l FROM pages) x)
+SELECT perm.new_id, w.pos, w.term FROM w JOIN perm ON w.page_id = perm.page_id""")
+def permuted_pages(c, spark, sf):
+    """All words of the pages under ids in the order of their addresses."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.posexplode(tokens.words("html")).alias("pos", "term"))
+    return pages.join(url_order_permutation(c, spark, sf), "page_id").select("new_id", F.col("pos").cast("long").alias("pos"), "term")
+
+
 def _permuted(c: Corpus, sf: str, rows: DataFrame) -> DataFrame:
     from ..sources.store import running_total
 

@@ -24,7 +24,7 @@ COMPLETE = "complete"
 #: Setting of the session: the folder of registered indexes.
 INDEX_DIR = "phraseloom.index.dir"
 #: Changes when tables of the same name hold something else than before.
-LAYOUT = "4"
+LAYOUT = "5"
 _opened: dict[tuple[str, str], Corpus] = {}
 
 
@@ -121,8 +121,9 @@ class Corpus:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """term, doc_id, tf; counted where the texts are, so a row for each word of a document is shuffled, not one for each occurrence."""
-        counted = self.split.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+        """term, doc_id, tf, n_tokens (of the document, for ranking); counted where the texts are, so a row for each word of a document is shuffled, not one for each occurrence."""
+        words = self.split.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.explode("w").alias("term"))
+        counted = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
         return self._kept("postings", lambda: counted)
 
     @cached_property
