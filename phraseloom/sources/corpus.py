@@ -24,7 +24,7 @@ COMPLETE = "complete"
 #: Setting of the session: the folder of registered indexes.
 INDEX_DIR = "phraseloom.index.dir"
 #: Changes when tables of the same name hold something else than before.
-LAYOUT = "5"
+LAYOUT = "6"
 _opened: dict[tuple[str, str], Corpus] = {}
 
 
@@ -54,17 +54,31 @@ class Corpus:
             _opened[key] = cls(frame, root and f"{root.rstrip('/')}/{state}")
         return _opened[key]
 
-    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The table of that name: from the registered index if it is complete there, else built and written."""
+    def _kept(self, name: str, build: Callable[[], DataFrame], bucketed: str | None = None) -> DataFrame:
+        """The table of that name: from the registered index if it is complete there, else built and written.
+
+        ``bucketed``: a column by which the table is bucketed in a registered index, so that joins of two such tables on it need no shuffle.
+        """
         if not self.index:
             return written(build(), name)
         path, marker = f"{self.index}/{name}", f"{self.index}/{name}.{COMPLETE}"
+        table = f"phraseloom_{self.index.rpartition('/')[2]}_{name}"
         try:
-            self.spark.read.parquet(marker).first()
+            buckets = self.spark.read.parquet(marker).first().buckets
         except AnalysisException:  # no such path: never written, or not to its end
-            build().write.mode("overwrite").parquet(path)
-            self.spark.createDataFrame([(name, LAYOUT)], "name string, layout string").coalesce(1).write.mode("overwrite").parquet(marker)
-        return self.spark.read.parquet(path)
+            buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1) if bucketed else 0
+            if bucketed:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                build().write.bucketBy(buckets, bucketed).sortBy(bucketed).option("path", path).mode("overwrite").saveAsTable(table)
+            else:
+                build().write.mode("overwrite").parquet(path)
+            self.spark.createDataFrame([(name, LAYOUT, buckets)], "name string, layout string, buckets int").coalesce(1).write.mode("overwrite").parquet(marker)
+        if not buckets:
+            return self.spark.read.parquet(path)
+        if not self.spark.catalog.tableExists(table):  # another session has written it
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({bucketed}) SORTED BY ({bucketed}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
 
     def save(self, path: str) -> None:
         """Writes all tables below ``path``, and last the list of them."""
@@ -124,18 +138,18 @@ class Corpus:
         """term, doc_id, tf, n_tokens (of the document, for ranking); counted where the texts are, so a row for each word of a document is shuffled, not one for each occurrence."""
         words = self.split.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.explode("w").alias("term"))
         counted = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("n_tokens").alias("n_tokens"))
-        return self._kept("postings", lambda: counted)
+        return self._kept("postings", lambda: counted, "term")
 
     @cached_property
     def term_stats(self) -> DataFrame:
         """term, cf (occurrences), df (documents)."""
-        return self._kept("term_stats", lambda: self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")))
+        return self._kept("term_stats", lambda: self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")), "term")
 
     @cached_property
     def dictionary(self) -> DataFrame:
         """term and term_id, from 2 in term order (0 and 1 stand for terminator and separator)."""
         numbered = lambda: running_total(self.term_stats.select("term", F.lit(1).alias("one")), ["term"], "one", "rank", "terms")
-        return self._kept("dictionary", lambda: numbered().select("term", (F.col("rank") + 2).alias("term_id")))
+        return self._kept("dictionary", lambda: numbered().select("term", (F.col("rank") + 2).alias("term_id")), "term")
 
     @cached_property
     def bigram_positions(self) -> DataFrame:
