@@ -13,7 +13,7 @@ the edges of a spanning forest leave the task, never all pairs of a group.  A si
 nodes is dealt out over pairs of blocks, so no task ever holds a whole hot group, and no pair is lost.  Signatures and dealt rows beyond ``ROUND_ROWS`` a node go through the
 shuffle in rounds, by hashes of their keys, and a round's shuffle files are removed before the next one.
 
-Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a text with fewer words than a shingle is
+Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a row without doc_id takes the component of the rows with its fingerprint, null where none of them has an id, and links nothing; a text with fewer words than a shingle is
 one shingle.  Repeated rows share a component; an empty table gives no rows.  Extra columns are ignored.
 
 Nodes may have a second half ``fp2`` of their fingerprint: then the first half is probed, and a pair found is verified on all 128 bits.

@@ -21,7 +21,7 @@ That needs an input whose partitions are the same in each pass: a frame that isn
 to the shared folder first, and every pass checks the number of hashes of each piece against the stored answer.
 
 Defined cases: null, empty and blank texts have no words (the digest of the empty string); texts shorter than a window keep all
-their words; repeated rows are documents of their own, so they remove each other's windows; an empty table gives no rows.
+their words; repeated rows and rows without doc_id are documents of their own, so they remove each other's windows; an empty table gives no rows.
 Extra columns are ignored.
 """
 
