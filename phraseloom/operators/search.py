@@ -39,22 +39,23 @@ def _rarest_first(hits: DataFrame, on: list[str]) -> DataFrame:
     return hits.where("place > 1").join(first, on, "left_semi").unionByName(hits.where("place = 1"))
 
 
+def _once(corpus: Corpus, patterns: DataFrame) -> DataFrame:
+    """pid, term, place, k: every word of a pattern once, with the number of its different words."""
+    once = ordered_terms(corpus, patterns).groupBy("pid", "term").agg(F.min("place").alias("place"))
+    return once.withColumn("k", F.count("*").over(Window.partitionBy("pid")))
+
+
 def conjunctive(corpus: Corpus, patterns: DataFrame) -> DataFrame:
     """(pid, doc_id) of the documents that hold all words of a pattern, the rarest word first."""
-    terms = ordered_terms(corpus, patterns)
-    wanted = terms.groupBy("pid").agg(F.count_distinct("term").alias("k"))
-    once = terms.groupBy("pid", "term").agg(F.min("place").alias("place"))
-    hits = _rarest_first(corpus.postings.select("term", "doc_id").join(once, "term").select("pid", "doc_id", "place"), ["pid", "doc_id"])
-    return hits.groupBy("pid", "doc_id").agg(F.count("*").alias("n")).join(wanted, "pid").where("n = k").select("pid", "doc_id")
+    hits = corpus.postings.select("term", "doc_id").join(_once(corpus, patterns), "term").select("pid", "doc_id", "place", "k")
+    hits = _rarest_first(hits, ["pid", "doc_id"])
+    return hits.groupBy("pid", "doc_id").agg(F.count("*").alias("n"), F.max("k").alias("k")).where("n = k").select("pid", "doc_id")
 
 
 def conjunctive_by_masks(corpus: Corpus, patterns: DataFrame) -> DataFrame:
     """The same over bit masks of 64 documents: blocks that the rarest word doesn't have are skipped, the others' masks are joined by AND."""
-    terms = ordered_terms(corpus, patterns)
-    wanted = terms.groupBy("pid").agg(F.count_distinct("term").alias("k"))
-    once = terms.groupBy("pid", "term").agg(F.min("place").alias("place"))
-    hits = _rarest_first(corpus.masks.join(once, "term").select("pid", "block", "mask", "place"), ["pid", "block"])
-    both = hits.groupBy("pid", "block").agg(F.count("*").alias("n"), F.bit_and("mask").alias("mask")).join(wanted, "pid").where("n = k and mask <> 0")
+    hits = _rarest_first(corpus.masks.join(_once(corpus, patterns), "term").select("pid", "block", "mask", "place", "k"), ["pid", "block"])
+    both = hits.groupBy("pid", "block").agg(F.count("*").alias("n"), F.bit_and("mask").alias("mask"), F.max("k").alias("k")).where("n = k and mask <> 0")
     bits = F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(mask, i) & 1L) = 1L)")
     return both.select("pid", "block", F.explode(bits).alias("bit")).select("pid", (F.col("block") * 64 + F.col("bit")).alias("doc_id"))
 

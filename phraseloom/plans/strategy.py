@@ -23,17 +23,15 @@ def costs(corpus: Corpus, patterns: DataFrame) -> dict[str, int]:
 def choose(corpus: Corpus, patterns: DataFrame) -> str:
     """The strategy with the least to read.
 
-    An interval of the suffix table holds just the matches, so it is taken where that table is there and the patterns are short enough; batches of pairs go to the pair table; else
-    the statistics decide between aligning all lists at once and going on from the rarest word by one join a word.
+    An interval of the suffix table holds just the matches, and pairs of words are far rarer than words: the first is taken where that table is there and the patterns are short enough,
+    the second where the pair table is; else the statistics decide between aligning all lists at once and going on from the rarest word by one join a word.
     """
-    cost = costs(corpus, patterns)
-    if not cost["longest"]:
-        return "align"
-    if "suffixes" in corpus.__dict__ and cost["longest"] < suffixes.DEPTH:
+    if "suffixes" in corpus.__dict__ and (patterns.agg(F.max(F.size("tokens"))).first()[0] or 0) < suffixes.DEPTH:
         return "suffix"
-    if cost["shortest"] == cost["longest"] == 2 and "bigram_positions" in corpus.__dict__:
+    if "bigram_positions" in corpus.__dict__:
         return "bigram"
-    return "chain" if cost["align"] > STEEP * cost["chain"] else "align"
+    cost = costs(corpus, patterns)
+    return "chain" if cost["chain"] and cost["align"] > STEEP * cost["chain"] else "align"
 
 
 def phrase_starts(corpus: Corpus, patterns: DataFrame) -> DataFrame:
