@@ -10,8 +10,8 @@ another class share votes for the offset at which it stands in both: the votes o
 aligned codes, the bits of all aligned codes are compared; the pair links when the share of differing bits is at most ``MAX_BIT_ERROR`` at one of them.  The best offset, and the best
 match, is the one whose errors stay furthest below the allowed number of bits, so a long alignment outweighs a short one.
 
-Query keys are broadcast in slices of about ``SLICE_BYTES`` of codes; histograms are built where the classes are read, and one row for each query leaves a batch, so neither pairs nor keys are
-shuffled.  Codes in which every window of ``MIN_OVERLAP`` codes has errors in two bands of each code share no key and are missed: tests hold the recall at 0.9 or more of all pairs compared at every offset.
+Query keys are broadcast in slices of about ``SLICE_BYTES`` of codes; histograms are built where the classes are read, for as many classes at a time as give ``VOTES`` votes, and one row for each
+query leaves a batch, so neither pairs nor keys are shuffled.  Codes in which every window of ``MIN_OVERLAP`` codes has errors in two bands of each code share no key and are missed: tests hold the recall at 0.9 or more of all pairs compared at every offset.
 
 Queries are the rows whose id is divisible by 50, against all rows.
 
@@ -158,6 +158,21 @@ class Index:
         order = np.argsort(found, kind="stable")
         self.keys, self.place = found[order], order // 4
 
+    def runs(self, nodes: np.ndarray, raw: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """The classes of a batch in runs of about ``VOTES`` votes, a class at least: what a histogram holds at once grows neither with the batch nor with the queries' number times it."""
+        flat = Flat(nodes, raw)
+        votes = np.zeros(len(raw), np.int64)
+        for lo in range(0, len(flat.codes), VOTES // 4):
+            of = slice(lo, lo + VOTES // 4)
+            own = keys(flat.codes[of])
+            met = np.searchsorted(self.keys, own, "right") - np.searchsorted(self.keys, own, "left")
+            votes += np.bincount(flat.of[of], met.sum(axis=1), len(raw)).astype(np.int64)
+        total, lo = np.cumsum(votes), 0
+        while lo < len(raw):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + VOTES, "right")))
+            yield nodes[lo:hi], raw[lo:hi]
+            lo = hi
+
     def histogram(self, other: Flat) -> tuple[np.ndarray, ...]:
         """(query, class, offset, votes) of the offsets with ``MIN_VOTES`` votes and room for ``MIN_OVERLAP`` codes; a class's code at place k aligns with the query's at k less the offset."""
         own = keys(other.codes).ravel()
@@ -199,6 +214,38 @@ def bit_errors(left: Flat, a: np.ndarray, right: Flat, b: np.ndarray, shift: np.
 _LINKED = "q long, n_links long, margin double, m long, shift int, votes long, bit_error double"
 
 
+def _best(index: Index, other: Flat) -> list[np.ndarray]:
+    """A row for each query that aligns with any of the other classes: the query's place, how many align, and margin, class, shift, votes and share of differing bits of the best one."""
+    a, b, shift, votes = index.histogram(other)
+    found = [[np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int64, np.int64, np.float64)]]
+    for lo in range(0, len(a), VOTES // 16):
+        of = slice(lo, lo + VOTES // 16)
+        wrong, n = bit_errors(index.flat, a[of], other, b[of], shift[of])
+        near = (wrong <= MAX_BIT_ERROR * 32 * n + 1e-9) & (index.flat.nodes[a[of]] != other.nodes[b[of]])
+        found.append([x[near] for x in (a[of], other.nodes[b[of]], np.round(MAX_BIT_ERROR * 32 * n - wrong, 6), shift[of], votes[of], wrong / (32 * n))])
+    a, m, margin, shift, votes, error = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((shift, -margin, m, a))  # the best offset of each pair
+    order = order[_firsts(a[order], m[order])]
+    return _merged([x[order] for x in (a, np.ones(len(a), np.int64), margin, m, shift, votes, error)])
+
+
+def _merged(*parts: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for each query of such rows: their classes added up, and the best of them."""
+    a, n, margin, m, *rest = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((m, -margin, a))
+    first = _firsts(a[order])
+    one = order[first]
+    return [a[one], np.add.reduceat(n[order], first) if len(first) else n, margin[one], m[one], *(x[one] for x in rest)]
+
+
+def _firsts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Places of rows that differ from the one before."""
+    new = np.ones(len(sorted_by[0]), bool)
+    if len(new):
+        new[1:] = np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)
+    return np.flatnonzero(new)
+
+
 def _links(classes: DataFrame, asked: list[tuple[int, bytes]]) -> DataFrame:
     """For the query classes ``asked`` (node, codes): how many of a batch's other classes align with each, and the best of them."""
     sent = classes.sparkSession.sparkContext.broadcast(asked)
@@ -207,24 +254,12 @@ def _links(classes: DataFrame, asked: list[tuple[int, bytes]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)
         for batch in batches:
-            other = Flat(batch.column(0).to_numpy(), batch.column(1).to_pylist())
-            a, b, shift, votes = index.histogram(other)
-            found = []
-            for lo in range(0, len(a), VOTES // 16):
-                of = slice(lo, lo + VOTES // 16)
-                wrong, n = bit_errors(index.flat, a[of], other, b[of], shift[of])
-                near = (wrong <= MAX_BIT_ERROR * 32 * n + 1e-9) & (index.flat.nodes[a[of]] != other.nodes[b[of]])
-                found.append([x[near] for x in (a[of], other.nodes[b[of]], np.round(MAX_BIT_ERROR * 32 * n - wrong, 6), shift[of], votes[of], wrong / (32 * n))])
-            if not found:
-                continue
-            a, m, margin, shift, votes, error = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((shift, -margin, m, a))  # the best offset of each pair, then the best pair of each query
-            order = order[np.flatnonzero(np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(m[order]) != 0)]))] if len(order) else order
-            best = order[np.lexsort((m[order], -margin[order], a[order]))]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(a[best]) != 0])) if len(best) else best
-            one = best[first]
-            columns = [index.flat.nodes[a[one]], np.diff(np.append(first, len(best))), margin[one], m[one], shift[one], votes[one], error[one]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, target)], schema=target)
+            held = None
+            for nodes, raw in index.runs(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                part = _best(index, Flat(nodes, raw))
+                held = part if held is None else _merged(held, part)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((index.flat.nodes[held[0]], *held[1:]), target)], schema=target)
 
     return map_arrow(classes.select("node", "codes"), run, _LINKED)
 

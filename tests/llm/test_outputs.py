@@ -222,3 +222,24 @@ def test_odd_recordings(spark):
     got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, schema), "id", "pcm", chroma.SHORT).collect()}
     assert got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[0].class_id == 0 and len(got) == 5
     assert chroma.align(spark.createDataFrame([], schema), "id", "pcm", chroma.SHORT).count() == 0
+
+
+def test_histograms_of_a_batch_come_in_runs(monkeypatch):
+    """No histogram holds more votes than the limit, unless of one class; links, best matches and their ties don't depend on it."""
+    rng = np.random.default_rng(16)
+    left = [rng.integers(0, 2**32, 20).astype("<u4") for _ in range(30)]
+    right = [np.where(rng.random(20) < 0.9, left[rng.integers(30)], np.uint32(7)).astype("<u4") for _ in range(200)]
+    index = chroma.Index([(1_000 + i, c.tobytes()) for i, c in enumerate(left)])
+    nodes, raw = np.arange(200), [c.tobytes() for c in right]
+    whole = chroma._best(index, chroma.Flat(nodes, raw))
+    monkeypatch.setattr(chroma, "VOTES", 400)
+    runs = list(index.runs(nodes, raw))
+    votes = [int(index.histogram(chroma.Flat(*r))[3].sum()) for r in runs]
+    assert len(runs) > 10 and all(v <= 400 or len(r[1]) == 1 for v, r in zip(votes, runs))
+    assert [x for r in runs for x in r[1]] == raw and np.concatenate([r[0] for r in runs]).tolist() == nodes.tolist()
+    held = None
+    for r in runs:
+        part = chroma._best(index, chroma.Flat(*r))
+        held = part if held is None else chroma._merged(held, part)
+    assert len(whole[0]) == 30 and all(x.tolist() == y.tolist() for x, y in zip(held, whole))
+    assert list(index.runs(np.arange(0), [])) == [] and len(chroma._best(index, chroma.Flat(np.arange(1), [b""]))[0]) == 0
