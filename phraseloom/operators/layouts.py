@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def relative(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Adds gap: the distance from the previous occurrence in the document, from the document's start for the first."""
+    if "prev" in positions.columns:  # tables of a collection hold the occurrence before
+        return positions.withColumn("gap", F.col("pos") - F.coalesce("prev", F.lit(0)))
     before = F.lag("pos", 1).over(Window.partitionBy(*keys, "doc_id").orderBy("pos"))
     return positions.withColumn("gap", F.col("pos") - F.coalesce(before, F.lit(0)))
 

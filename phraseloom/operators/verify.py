@@ -7,35 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import words
 from ..sources.corpus import Corpus
+from ..sources.store import written
 from . import layouts, search, workload
 
 
 def differing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that one frame has more often than the other."""
-    return left.exceptAll(right.select(left.columns)).unionAll(right.select(left.columns).exceptAll(left)).agg(F.count("*").alias("mismatches"))
+    """Rows that one frame has more often than the other; both are added up in one shuffle."""
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.select(left.columns).withColumn("_n", F.lit(-1)))
+    return both.groupBy(left.columns).agg(F.sum("_n").alias("_n")).agg(F.coalesce(F.sum(F.abs("_n")), F.lit(0)).cast("long").alias("mismatches"))
 
 
 def postings(corpus: Corpus) -> DataFrame:
     """Stored postings against counts from the texts."""
-    fresh = corpus.documents.select("doc_id", F.explode(words("text")).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
-    return differing(corpus.postings.select("term", "doc_id", "tf"), fresh)
+    fresh = corpus.documents.select("doc_id", F.explode(words("text")).alias("term"), F.lit(None).cast("long").alias("tf"))
+    both = corpus.postings.select("doc_id", "term", "tf").unionByName(fresh).groupBy("term", "doc_id")  # one shuffle for both
+    met = both.agg(F.count("tf").alias("rows"), F.sum("tf").alias("stored"), F.count(F.when(F.col("tf").isNull(), 1)).alias("fresh"))
+    wrong = F.when((F.col("rows") == 1) & (F.col("stored") == F.col("fresh")), 0).otherwise(F.col("rows") + F.when(F.col("fresh") > 0, 1).otherwise(0))
+    return met.agg(F.coalesce(F.sum(wrong), F.lit(0)).cast("long").alias("mismatches"))
 
 
 def relative_positions(corpus: Corpus) -> DataFrame:
     """Decoded gaps against the positions of the words."""
-    gaps = layouts.relative(corpus.tokens.select("term", "doc_id", "pos"), ["term"]).select("term", "doc_id", F.col("pos").alias("ord"), "gap")
-    return differing(layouts.absolute(gaps, ["term"]).select("term", "doc_id", F.col("decoded").alias("pos")), corpus.tokens.select("term", "doc_id", "pos"))
+    gaps = layouts.relative(corpus.tokens, ["term"]).select("term", "doc_id", "pos", F.col("pos").alias("ord"), "gap")
+    return layouts.absolute(gaps, ["term"]).agg(F.count(F.when(~F.col("decoded").eqNullSafe(F.col("pos")), 1)).alias("mismatches"))
 
 
 def bigrams(corpus: Corpus) -> DataFrame:
     """Every listed pair stands at its place in the text."""
-    first, second = (corpus.tokens.select(F.col("term").alias(t), "doc_id", (F.col("pos") - k).alias("pos")) for k, t in ((0, "t1"), (1, "t2")))
-    return differing(corpus.bigram_positions, first.join(second, ["doc_id", "pos"]).select("t1", "t2", "doc_id", "pos"))
+    listed = corpus.bigram_positions.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "t1", "t2")).alias("listed"))
+    rows = corpus.split.where("size(w) > 1").join(listed, "doc_id", "full")
+    right = F.filter("listed", lambda x: F.coalesce((F.get("w", x["pos"].cast("int")) == x["t1"]) & (F.get("w", x["pos"].cast("int") + 1) == x["t2"]), F.lit(False)))
+    met = rows.select(F.coalesce(F.size("w") - 1, F.lit(0)).alias("n"), F.coalesce(F.size("listed"), F.lit(0)).alias("k"), F.coalesce(F.size(F.array_distinct(F.transform(right, lambda x: x["pos"]))), F.lit(0)).alias("met"))
+    return met.agg(F.coalesce(F.sum(F.col("n") + F.col("k") - 2 * F.col("met")), F.lit(0)).cast("long").alias("mismatches"))
 
 
 def strategies(corpus: Corpus, patterns: DataFrame, longest: int) -> DataFrame:
     """The four phrase strategies against each other."""
-    base = search.phrase_starts(corpus, patterns)
+    base = written(search.phrase_starts(corpus, patterns), "phrase-starts")
     others = [search.phrase_starts_chained(corpus, patterns, longest), search.phrase_starts_by_bigrams(corpus, patterns), search.phrase_starts_by_grams(corpus, patterns, longest)]
     found = [differing(base, o) for o in others]
     return found[0].unionAll(found[1]).unionAll(found[2]).agg(F.sum("mismatches").alias("mismatches"))
