@@ -23,7 +23,7 @@ def bucket_sql(ndoc: str) -> str:
 
 def gram_stats(corpus: Corpus, least: int = 2) -> DataFrame:
     """m, gram, nocc, ndoc, sp of the right-maximal n-grams (two or more different continuations) of 2 to 10 words that occur ``least`` times or more, all from one pass over the suffix table."""
-    return suffixes.texts(corpus, suffixes.grams(corpus, least)).select("m", "gram", "nocc", "ndoc", "sp", "ids")
+    return suffixes.texts(corpus, suffixes.grams(corpus, least)).select("m", "gram", "nocc", "ndoc", "sp", "head")
 
 
 def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: tuple[str, ...] = ("pid",)) -> DataFrame:
@@ -47,7 +47,7 @@ def generated(corpus: Corpus, most: int) -> DataFrame:
     """
     grams = gram_stats(corpus).withColumn("bucket", bucket(F.col("ndoc"))).withColumn("draw", F.md5(F.encode(F.concat(F.lit(f"{SEED} "), "gram"), "UTF-8")))
     chosen = first_per_bucket(grams, most, len(BUCKETS) - 1, ("draw", "gram")).withColumn("one", F.lit(1)).withColumn("ep", F.col("sp") + F.col("nocc") - 1)
-    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).drop("one", "before", "draw")
+    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).withColumn("ids", suffixes.ids("head", "m")).drop("one", "before", "draw", "head")
 
 
 def old_lines(patterns: DataFrame) -> DataFrame:

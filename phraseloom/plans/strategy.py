@@ -26,7 +26,7 @@ def choose(corpus: Corpus, patterns: DataFrame) -> str:
     An interval of the suffix table holds just the matches, and pairs of words are far rarer than words: the first is taken where that table is there and the patterns are short enough,
     the second where the pair table is; else the statistics decide between aligning all lists at once and going on from the rarest word by one join a word.
     """
-    if "suffixes" in corpus.__dict__ and (patterns.agg(F.max(F.size("tokens"))).first()[0] or 0) < suffixes.DEPTH:
+    if "ordered" in corpus.__dict__ and (patterns.agg(F.max(F.size("tokens"))).first()[0] or 0) < suffixes.DEPTH:
         return "suffix"
     if "bigram_positions" in corpus.__dict__:
         return "bigram"

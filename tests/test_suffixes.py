@@ -108,3 +108,35 @@ def test_keys_are_written_and_shuffled_once(spark, monkeypatch):
     suffixes.grams(c)
     assert [n for n, _ in names].count("suffixes-by-depth") == 1 and "suffixes-first" not in [n for n, _ in names]
     assert "Exchange" not in dict(names)["gram-runs"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_meet_one_exchange_and_neighbours_none(spark, monkeypatch):
+    """The first order shuffles its keys by range alone; listings read the table that it has written."""
+    frames, plain = {}, suffixes.released
+    monkeypatch.setattr(suffixes, "released", lambda frame, name: frames.setdefault(name, frame) and None or plain(frame, name))
+    c = corpus(spark, make(5, 10))
+    patterns = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "pid long, tokens array<string>")
+    starts = search.frequencies(search.phrase_starts(c, patterns))
+    assert sorted(map(tuple, suffixes.phrase_docs_by_listing(c, patterns).collect())) == sorted(map(tuple, starts.collect()))
+    plan = frames["suffixes-by-depth"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning(_part" not in plan
+    assert "suffixes" not in c.__dict__ and "listing" not in c.__dict__
+
+
+@pytest.mark.parametrize("words", [3, 1 << 17])
+def test_chunks_and_ranges(spark, monkeypatch, words):
+    """Documents numbered in many groups, a few words at a time, and equal keys over the ends of ranges; shared words are those with the document's neighbours."""
+    monkeypatch.setattr(suffixes, "CHUNK", 2)
+    monkeypatch.setattr(suffixes, "WORDS", words)
+    texts = ["a a a a", "a a", "b a a b a", "", None, "a a a a", "a a a a"]
+    rows = corpus(spark, texts).ordered.orderBy("rank").collect()
+    keys = [(tuple(texts[r.doc_id].split()[r.pos : r.pos + 16]), r.doc_id, r.pos) for r in rows]
+    assert keys == sorted(keys) and [r["rank"] for r in rows] == list(range(len(texts) + 1, len(texts) + 1 + len(rows)))
+    first = {}
+    for r, (k, _, _) in zip(rows, keys):
+        assert r.start == first.setdefault(k, r["rank"]) and r.head == first.setdefault(k[:10], r.head) and r.tied == (sum(k == x for x, _, _ in keys) > 1)
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    for d in set(r.doc_id for r in rows):
+        own = [(r, k) for r, (k, _, _) in zip(rows, keys) if r.doc_id == d]
+        assert [r.place for r, _ in own] == list(range(1, len(own) + 1))
+        assert [r.behind for r, _ in own] == [r.shared for r, _ in own[1:]] + [0] == [common(own[i][1], own[i + 1][1]) for i in range(len(own) - 1)] + [0]
