@@ -12,7 +12,7 @@ WORDS = 1 << 20
 def placed_words(kind: str):
     """The kernel for rows (doc_id, doc_start or null, w).
 
-    ``words``: term, doc_id, pos, gpos, prev (place of the same word before in the document, null for the first).  ``pairs``: t1, t2, doc_id, pos, prev of neighbouring words.
+    ``words``: term, doc_id, pos, gpos, prev (place of the same word before in the document, null for the first).  ``places``: the same without gpos.  ``pairs``: t1, t2, doc_id, pos, prev of neighbouring words.
     ``counts``: term, doc_id, tf, n_tokens.  A function inside of a function, so that workers get it whole and need not import this package.
     """
     limit = WORDS
@@ -57,6 +57,8 @@ def placed_words(kind: str):
                     if kind == "words":
                         gpos = part.column(1).to_numpy(zero_copy_only=False)[row] + pos
                         found = {"term": names.take(pa.array(word)), "doc_id": doc.take(pa.array(row)), "pos": pa.array(pos), "gpos": pa.array(gpos.astype(np.int64)), "prev": prev}
+                    elif kind == "places":
+                        found = {"term": names.take(pa.array(word)), "doc_id": doc.take(pa.array(row)), "pos": pa.array(pos), "prev": prev}
                     else:
                         t1, t2 = np.divmod(word, max(len(names), 1))
                         found = {"t1": names.take(pa.array(t1)), "t2": names.take(pa.array(t2)), "doc_id": doc.take(pa.array(row)), "pos": pa.array(pos), "prev": prev}

@@ -28,7 +28,7 @@ def postings(corpus: Corpus) -> DataFrame:
 
 def relative_positions(corpus: Corpus) -> DataFrame:
     """Decoded gaps against the positions of the words."""
-    gaps = layouts.relative(corpus.tokens, ["term"]).select("term", "doc_id", "pos", F.col("pos").alias("ord"), "gap")
+    gaps = layouts.relative(corpus.places, ["term"]).select("term", "doc_id", "pos", F.col("pos").alias("ord"), "gap")
     return layouts.absolute(gaps, ["term"]).agg(F.count(F.when(~F.col("decoded").eqNullSafe(F.col("pos")), 1)).alias("mismatches"))
 
 
