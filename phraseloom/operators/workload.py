@@ -21,9 +21,9 @@ def bucket_sql(ndoc: str) -> str:
     return "CASE " + " ".join(f"WHEN {ndoc} BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi) in enumerate(BUCKETS)) + " ELSE -1 END::BIGINT"
 
 
-def gram_stats(corpus: Corpus, least: int = 2) -> DataFrame:
-    """m, gram, nocc, ndoc, sp of the right-maximal n-grams (two or more different continuations) of 2 to 10 words that occur ``least`` times or more, all from one pass over the suffix table."""
-    return suffixes.texts(corpus, suffixes.grams(corpus, least)).select("m", "gram", "nocc", "ndoc", "sp", "head")
+def gram_stats(corpus: Corpus, least: int = 2, columns: tuple[str, ...] = ("nocc", "ndoc", "sp", "head")) -> DataFrame:
+    """m, gram, nocc, ndoc, sp, head (or the columns asked for) of the right-maximal n-grams (two or more different continuations) of 2 to 10 words that occur ``least`` times or more, all from one pass over the suffixes in order."""
+    return suffixes.batch_grams(corpus, least, *columns).select("m", "gram", *columns)
 
 
 def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: tuple[str, ...] = ("pid",)) -> DataFrame:
