@@ -25,7 +25,7 @@ FREQUENT = 1 << 16
 #: Documents of a group, words of it that are sorted at a time, and suffixes of a range.
 CHUNK, WORDS, ROWS = 1_024, 1 << 19, 1 << 20
 #: Rounds, each with the suffixes of its first words; only the pieces of one are on disk at a time.
-ROUNDS = 4
+ROUNDS = 8
 #: Suffixes of the sample for a range.
 SAMPLED = 64
 
@@ -57,11 +57,11 @@ def _rare(frequent, chunk_docs: int):
 
 
 def _numbered(frequent):
-    """The kernel of a group: its words as numbers, about ``WORDS`` at a time, from its texts (chunk, doc_id, text) and the numbers of its rarer words (chunk, term, term_id).
+    """The kernel of a group: its words as numbers, about ``WORDS`` at a time, from its texts (``texts_in_groups``) and the numbers of its rarer words (chunk, term, term_id).
 
     A frequent word is 2 + its place by frequency, which packs well; another one ``FREQUENT`` + its term number.
     """
-    limit, shift = WORDS, FREQUENT
+    limit, shift, opened = WORDS, FREQUENT, _opened()
 
     def numbered(texts, names):
         import numpy as np
@@ -71,10 +71,11 @@ def _numbered(frequent):
         schema = pa.schema([("n_words", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
         if not texts.num_rows:
             return schema.empty_table()
-        texts, words = texts.combine_chunks(), frequent.value[0]
+        words = frequent.value[0]
         vocabulary = pa.concat_arrays([pa.array(words, pa.string()), names["term"].combine_chunks().cast(pa.string())])
         codes = np.concatenate([np.arange(len(words)) + 2, names["term_id"].to_numpy() + shift]).astype(np.uint32)
-        owners, lists = texts["doc_id"].to_numpy(), pc.split_pattern(texts["text"].combine_chunks(), " ")
+        owners, text = opened(texts)
+        lists = pc.split_pattern(text, " ")
         size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
         total, lo, found = np.cumsum(size), 0, []
         while lo < len(size):
@@ -226,34 +227,75 @@ def _bounds(corpus: Corpus, ranges: int, n_tokens: int) -> list[bytes]:
     return sorted(packed)
 
 
+def _grouped(chunk_docs: int):
+    """The kernel for rows (doc_id, text): of each group the documents of a batch in one row, their texts compressed."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        schema = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.int64()), ("texts", pa.binary())])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column(0).to_numpy()
+            order = np.argsort(docs // chunk_docs, kind="stable")
+            docs, texts = docs[order], [t.encode() for t in batch.column(1).take(pa.array(order)).to_pylist()]
+            chunk, sizes, rows = docs // chunk_docs, np.array([len(t) for t in texts], "<i8"), []
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(docs)]
+            for a, b in zip(cuts, cuts[1:]):
+                whole = b"".join(texts[a:b])
+                rows.append((int(chunk[a]), docs[a:b].astype("<i8").tobytes(), sizes[a:b].tobytes(), len(whole), pa.compress(whole, codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return run
+
+
+def _opened():
+    """What reads the rows of a group that ``_grouped`` makes: doc_ids and texts."""
+
+    def opened(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        docs, sizes = (np.frombuffer(b"".join(rows[c].to_pylist()), "<i8") for c in ("docs", "sizes"))
+        data = b"".join(pa.decompress(t, decompressed_size=n, codec="zstd", asbytes=True) for t, n in zip(rows["texts"].to_pylist(), rows["bytes"].to_pylist()))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return docs, pa.Array.from_buffers(pa.string(), len(docs), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    return opened
+
+
 def texts_in_groups(corpus: Corpus) -> DataFrame:
-    """chunk, doc_id, text (the words, joined by spaces) of the documents with words."""
-    return corpus.split.where(F.size("w") > 0).select(F.floor(F.col("doc_id") / CHUNK).alias("chunk"), "doc_id", F.array_join("w", " ").alias("text"))
+    """chunk, docs, sizes, bytes, texts (the words, joined by spaces, compressed) of the documents with words, some of a group in a row."""
+    texts = corpus.split.where(F.size("w") > 0).select("doc_id", F.array_join("w", " ").alias("text"))
+    return texts.mapInArrow(_grouped(CHUNK), "chunk long, docs binary, sizes binary, bytes long, texts binary")
 
 
-def _read():
-    """The kernel of a group: n-grams (chunk, doc_id, pos, m and more) with their words, cut from the texts (chunk, doc_id, text)."""
+def _read(places: list[str]):
+    """The kernel of a group: n-grams (chunk, doc_id, pos, m and more, of which ``places`` are left out) with their words, cut from the texts (``texts_in_groups``)."""
+    opened = _opened()
 
     def read(texts, found):
         import numpy as np
         import pyarrow as pa
 
-        texts = texts.combine_chunks()
-        whole = [t.encode() for t in texts["text"].to_pylist()]
+        docs, text = opened(texts)
+        whole = [t.encode() for t in text.to_pylist()]
         data = b" ".join([*whole, b""])
         ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)  # of every word
         starts = np.concatenate([[0], ends[:-1] + 1])
         sizes = [t.count(b" ") + 1 for t in whole]
-        begin = dict(zip(texts["doc_id"].to_pylist(), (np.cumsum(sizes) - sizes).tolist()))
+        begin = dict(zip(docs.tolist(), (np.cumsum(sizes) - sizes).tolist()))
         at = np.array([begin[d] for d in found["doc_id"].to_pylist()], np.int64) + found["pos"].to_numpy()
         gram = [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at + found["m"].to_numpy() - 1].tolist())]
-        return found.drop_columns(["chunk", "doc_id", "pos"]).append_column("gram", pa.array(gram, pa.string())) if len(gram) else None
+        return found.drop_columns(places).append_column("gram", pa.array(gram, pa.string())) if len(gram) else None
 
     def kept(texts, found):
         import pyarrow as pa
 
         out = read(texts, found) if texts.num_rows and found.num_rows else None
-        empty = found.drop_columns(["chunk", "doc_id", "pos"]).slice(0, 0)
+        empty = found.drop_columns(places).slice(0, 0)
         return empty.append_column("gram", pa.array([], pa.string())) if out is None else out
 
     return kept
@@ -261,9 +303,11 @@ def _read():
 
 def with_texts(corpus: Corpus, found: DataFrame, *columns: str) -> DataFrame:
     """m, the columns asked for, and gram, the words at (doc_id, pos), m of them; texts travel as texts, each n-gram as its place."""
-    rows = found.select(F.floor(F.col("doc_id") / CHUNK).alias("chunk"), "doc_id", "pos", "m", *columns)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("chunk", "doc_id", "pos"))
-    return texts_in_groups(corpus).groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_read(), f"{schema}, gram string")
+    chunk = F.expr(f"doc_id div {CHUNK} - int(doc_id % {CHUNK} < 0)")  # as the kernels round, for ids of any size
+    rows = found.select(chunk.alias("chunk"), "doc_id", "pos", "m", *(c for c in columns if c not in ("doc_id", "pos")))
+    places = [c for c in ("chunk", "doc_id", "pos") if c not in columns]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in places)
+    return texts_in_groups(corpus).groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_read(places), f"{schema}, gram string")
 
 
 def grams(corpus: Corpus, least: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
-from ..sources.store import running_total
+from ..sources.store import released, running_total
 from . import search, suffixes
 
 #: Document counts [from, to] of the buckets 0 to 7; all others are bucket -1.
@@ -38,16 +38,38 @@ def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: t
 
 #: Fixed value: the seed of the draw.
 SEED = "4711"
+#: Deviations by which the bound of a bucket's hashes lies above the draw.
+SLACK = 10
 
 
 def generated(corpus: Corpus, most: int) -> DataFrame:
     """id (from 1, by bucket, size and words), bucket, m, gram, ids, ndoc, nocc, sp, ep: the right-maximal n-grams, at most ``most`` of each bucket.
 
-    A full bucket keeps those with the lowest hash of seed and words, a draw over all sizes alike.
+    A full bucket keeps those with the lowest hash of seed and words, a draw over all sizes alike.  Places travel to the texts, and only n-grams whose hash is below their bucket's bound come back.
     """
-    grams = gram_stats(corpus).withColumn("bucket", bucket(F.col("ndoc"))).withColumn("draw", F.md5(F.encode(F.concat(F.lit(f"{SEED} "), "gram"), "UTF-8")))
-    chosen = first_per_bucket(grams, most, len(BUCKETS) - 1, ("draw", "gram")).withColumn("one", F.lit(1)).withColumn("ep", F.col("sp") + F.col("nocc") - 1)
-    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).withColumn("ids", suffixes.ids("head", "m")).drop("one", "before", "draw", "head")
+    found = suffixes.batch_places(corpus, 2).withColumn("bucket", bucket(F.col("ndoc"))).where("bucket >= 0")
+    drawn = first_per_bucket(_drawn(corpus, found, most), most, len(BUCKETS) - 1, ("draw", "gram"))
+    place = ["m", "doc_id", "pos"]  # at a place, m words are one n-gram
+    chosen = found.join(F.broadcast(drawn.select(*place, "gram")), place).drop("doc_id", "pos").withColumn("one", F.lit(1)).withColumn("ep", F.col("sp") + F.col("nocc") - 1)
+    return running_total(chosen, ["bucket", "m", "gram"], "one", "before", "generated").withColumn("id", F.col("before") + 1).withColumn("ids", suffixes.ids("head", "m")).drop("one", "before", "head")
+
+
+def _drawn(corpus: Corpus, found: DataFrame, most: int) -> DataFrame:
+    """m, doc_id, pos, bucket, gram, draw of somewhat more than the ``most`` lowest hashes of each bucket, from n-grams (m, doc_id, pos, bucket); all of a bucket that has no more.
+
+    The bound of a bucket's hashes follows from its size, as hashes are even: ``SLACK`` deviations above ``most``.  Where fewer lie below it after all, it is raised, so the draw is exact.
+    """
+    size = {r.bucket: r.n for r in found.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # one row a bucket
+    asked = most + SLACK * most**0.5
+    while True:
+        bounds = [F.when(F.col("bucket") == b, F.lit(f"{int(asked / n * 16**12):012x}")) for b, n in size.items() if asked < n]
+        drawn = suffixes.batch_texts(corpus, found.select("m", "doc_id", "pos", "bucket"), "doc_id", "pos", "bucket")
+        drawn = drawn.withColumn("draw", F.md5(F.encode(F.concat(F.lit(f"{SEED} "), "gram"), "UTF-8"))).where(F.col("draw") < F.coalesce(*bounds, F.lit("g")))  # "g" stands behind every hash
+        drawn = released(drawn, "drawn")
+        got = {r.bucket: r.n for r in drawn.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        if all(got.get(b, 0) >= min(n, most) for b, n in size.items()):
+            return drawn
+        asked *= 2
 
 
 def old_lines(patterns: DataFrame) -> DataFrame:
