@@ -13,7 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import released
+from ..sources.store import released, rows_at_a_time
 
 if TYPE_CHECKING:
     from ..sources.corpus import Corpus
@@ -323,7 +323,8 @@ def grams(corpus: Corpus, least: int = 2) -> DataFrame:
     bounds = _bounds(corpus, ranges, int(totals.n_tokens or 0))
     rare = corpus.split.mapInArrow(_rare(frequent, CHUNK), "chunk long, term string").join(corpus.dictionary, "term").select("chunk", "term", "term_id")
     numbered = texts_in_groups(corpus).groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(_numbered(frequent), "n_words long, docs binary, sizes binary, codes binary")
-    numbered = released(numbered, "numbered-texts")
+    with rows_at_a_time(spark, 2 * CHUNK):
+        numbered = released(numbered, "numbered-texts")
     kinds = "part int, m long, head binary, sp long, nocc long, ndoc long, low long, high long, border boolean, doc_id long, pos long"
     first = lambda b: int.from_bytes(b[:4], "big")
     edges = [2, *sorted({first(bounds[len(bounds) * i // ROUNDS]) for i in range(1, ROUNDS)} - {2}), 1 << 32] if bounds else [2, 1 << 32]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
-from ..sources.store import released, running_total
+from ..sources.store import released, rows_at_a_time, running_total
 from . import search, suffixes
 
 #: Document counts [from, to] of the buckets 0 to 7; all others are bucket -1.
@@ -40,6 +40,8 @@ def first_per_bucket(patterns: DataFrame, n: int, most_bucket: int = 6, order: t
 SEED = "4711"
 #: Deviations by which the bound of a bucket's hashes lies above the draw.
 SLACK = 10
+#: Documents whose texts are compressed at a time.
+DOCUMENTS = 2_048
 
 
 def generated(corpus: Corpus, most: int) -> DataFrame:
@@ -65,7 +67,8 @@ def _drawn(corpus: Corpus, found: DataFrame, most: int) -> DataFrame:
         bounds = [F.when(F.col("bucket") == b, F.lit(f"{int(asked / n * 16**12):012x}")) for b, n in size.items() if asked < n]
         drawn = suffixes.batch_texts(corpus, found.select("m", "doc_id", "pos", "bucket"), "doc_id", "pos", "bucket")
         drawn = drawn.withColumn("draw", F.md5(F.encode(F.concat(F.lit(f"{SEED} "), "gram"), "UTF-8"))).where(F.col("draw") < F.coalesce(*bounds, F.lit("g")))  # "g" stands behind every hash
-        drawn = released(drawn, "drawn")
+        with rows_at_a_time(corpus.spark, DOCUMENTS):
+            drawn = released(drawn, "drawn")
         got = {r.bucket: r.n for r in drawn.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
         if all(got.get(b, 0) >= min(n, most) for b, n in size.items()):
             return drawn
