@@ -212,19 +212,18 @@ def _counted(frequent):
     return counted
 
 
-def _bounds(corpus: Corpus, ranges: int, n_tokens: int) -> list[bytes]:
-    """The bounds of so many ranges, packed: quantiles of suffixes at regular distances in their documents."""
+def quantiles(corpus: Corpus, ranges: int, n_tokens: int, size: int) -> list[bytes]:
+    """The bounds of so many ranges, ``size`` symbols packed, equal ones as often as they come: quantiles of suffixes at regular distances in their documents."""
     if ranges < 2:
         return []
     step = max(n_tokens // (ranges * SAMPLED), 1)
     at = F.expr(f"sequence(pmod(xxhash64(doc_id), {step}), size(w) - 1, {step}L)")
-    sampled = corpus.split.where(F.expr(f"pmod(xxhash64(doc_id), {step}) < size(w)")).select("w", F.explode(at).alias("i")).select(F.slice("w", F.col("i").cast("int") + 1, LONGEST + 1).alias("k"), (F.size("w") - F.col("i")).alias("left"))
+    sampled = corpus.split.where(F.expr(f"pmod(xxhash64(doc_id), {step}) < size(w)")).select("w", F.explode(at).alias("i")).select(F.slice("w", F.col("i").cast("int") + 1, size).alias("k"), (F.size("w") - F.col("i")).alias("left"))
     rows = sorted(([w.encode() for w in r.k], r.left) for r in sampled.collect())
     chosen = [rows[len(rows) * i // ranges] for i in range(1, ranges)] if rows else []
     asked = corpus.spark.createDataFrame(sorted({(w.decode(),) for k, _ in chosen for w in k}), "term string")
     number = {r.term.encode(): r.term_id for r in corpus.dictionary.join(F.broadcast(asked), "term").collect()} if chosen else {}
-    packed = {b"".join(x.to_bytes(4, "big") for x in [*(number[w] for w in k), *([1] if left <= LONGEST else [])]).ljust(4 * (LONGEST + 1), b"\0") for k, left in chosen}
-    return sorted(packed)
+    return sorted(b"".join(x.to_bytes(4, "big") for x in [*(number[w] for w in k), *([1] if left < size else [])]).ljust(4 * size, b"\0") for k, left in chosen)
 
 
 def _grouped(chunk_docs: int):
@@ -310,6 +309,17 @@ def with_texts(corpus: Corpus, found: DataFrame, *columns: str) -> DataFrame:
     return texts_in_groups(corpus).groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(_read(places), f"{schema}, gram string")
 
 
+def numbered_texts(corpus: Corpus):
+    """n_words, docs, sizes, codes of the documents with words, in groups (``_numbered``), and the most frequent words with their numbers, as they are sent."""
+    spark = corpus.spark
+    top = corpus.term_stats.orderBy(F.desc("cf"), "term").limit(FREQUENT).select("term").join(corpus.dictionary, "term").collect()
+    frequent = spark.sparkContext.broadcast(([r.term for r in top], [r.term_id for r in top]))
+    rare = corpus.split.mapInArrow(_rare(frequent, CHUNK), "chunk long, term string").join(corpus.dictionary, "term").select("chunk", "term", "term_id")
+    numbered = texts_in_groups(corpus).groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(_numbered(frequent), "n_words long, docs binary, sizes binary, codes binary")
+    with rows_at_a_time(spark, 2 * CHUNK):
+        return released(numbered, "numbered-texts"), frequent
+
+
 def grams(corpus: Corpus, least: int = 2) -> DataFrame:
     """m, head (the words, packed), sp, nocc, ndoc, doc_id, pos (of one occurrence) of the right-maximal n-grams of 2 to ``LONGEST`` words that occur ``least`` times or more."""
     import numpy as np
@@ -318,13 +328,8 @@ def grams(corpus: Corpus, least: int = 2) -> DataFrame:
 
     spark, totals = corpus.spark, corpus.totals.first()
     ranges = max(-(-int(totals.n_tokens or 0) // ROWS), 1)
-    top = corpus.term_stats.orderBy(F.desc("cf"), "term").limit(FREQUENT).select("term").join(corpus.dictionary, "term").collect()
-    frequent = spark.sparkContext.broadcast(([r.term for r in top], [r.term_id for r in top]))
-    bounds = _bounds(corpus, ranges, int(totals.n_tokens or 0))
-    rare = corpus.split.mapInArrow(_rare(frequent, CHUNK), "chunk long, term string").join(corpus.dictionary, "term").select("chunk", "term", "term_id")
-    numbered = texts_in_groups(corpus).groupBy("chunk").cogroup(rare.groupBy("chunk")).applyInArrow(_numbered(frequent), "n_words long, docs binary, sizes binary, codes binary")
-    with rows_at_a_time(spark, 2 * CHUNK):
-        numbered = released(numbered, "numbered-texts")
+    numbered, frequent = numbered_texts(corpus)
+    bounds = sorted(set(quantiles(corpus, ranges, int(totals.n_tokens or 0), LONGEST + 1)))
     kinds = "part int, m long, head binary, sp long, nocc long, ndoc long, low long, high long, border boolean, doc_id long, pos long"
     first = lambda b: int.from_bytes(b[:4], "big")
     edges = [2, *sorted({first(bounds[len(bounds) * i // ROUNDS]) for i in range(1, ROUNDS)} - {2}), 1 << 32] if bounds else [2, 1 << 32]
