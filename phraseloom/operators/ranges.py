@@ -169,13 +169,16 @@ def _rounds(corpus: Corpus, depth: int):
     return bounds, list(zip([0, *edges], [*edges, len(bounds) + 1])), heavy
 
 
-def starts(corpus: Corpus, depth: int, columns: tuple[str, ...] = ("part", "doc_id", "pos", "start")) -> DataFrame:
-    """doc_id, pos, start and, if asked for, tied of every suffix that starts at a word: the rank of the first one with the same ``depth`` symbols, up to the end of the document, and whether there is another."""
+def starts(corpus: Corpus, depth: int, columns: tuple = ("part", "doc_id", "pos", "start"), texts=None, by: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, pos, start and, if asked for, tied and more of every suffix that starts at a word: the rank of the first one with the same ``depth`` symbols, up to the end of the document, and whether there is another.
+
+    ``texts``: what ``numbered_texts`` has given, if it is there; ``by``: columns by which the rows lie in folders.
+    """
     import numpy as np
 
     from .suffixes import _packed
 
-    spark, (numbered, frequent) = corpus.spark, windows.numbered_texts(corpus)
+    spark, (numbered, frequent) = corpus.spark, texts or windows.numbered_texts(corpus)
     bounds, rounds, heavy = _rounds(corpus, depth)
     found = []
     for a, b in rounds:  # ranges a to b - 1; the shuffle files of one round are removed before the next
@@ -184,7 +187,7 @@ def starts(corpus: Corpus, depth: int, columns: tuple[str, ...] = ("part", "doc_
         pieces = numbered.mapInArrow(_cut(frequent, depth, own, low, high, a, heavy), "part int, salt int, n long, docs binary, piece binary")
         ranged = pieces.repartition(b - a + SALTS * len(heavy & set(range(a, b))), "part", "salt").groupBy("part", "salt").applyInArrow(_numbers(frequent, depth, heavy), "part int, doc_id long, pos long, start long, tied boolean")
         with rows_at_a_time(spark, 64):
-            found.append(_packed(ranged.select(*columns), "suffix-starts"))
+            found.append(_packed(ranged.select(*columns), "suffix-starts", by))
     every = reduce(DataFrame.unionByName, found)
     offset, offsets = int(corpus.totals.first().n_docs) + 1, []
     for r in every.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row for each range
