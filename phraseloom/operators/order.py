@@ -210,7 +210,7 @@ def _asking(depth: int, ahead: int, low: int, high: int):
 
 def _resolved(chunk_docs: int, ahead: int):
     """The kernel of a range: new numbers of its equal suffixes, and whether they are equal still, in pieces by chunk."""
-    (_, opened), sort, pieces = coder(), ranges.sorter(), _by_chunk(chunk_docs)
+    (_, opened), sort, pieces = coder(), windows.sorter(), _by_chunk(chunk_docs)
 
     def resolved(table):
         import numpy as np

@@ -12,7 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import rows_at_a_time
+from ..sources.store import dropped, rows_at_a_time
 from . import windows
 
 if TYPE_CHECKING:
@@ -26,44 +26,9 @@ ROUNDS = 16
 SALTS = 16
 
 
-def sorter():
-    """What puts rows (columns of numbers of 32 bits) in order: their order, and whether each is equal to the next.  Only rows that are still equal look at further columns."""
-
-    def sort(key):
-        import numpy as np
-
-        n = len(key[0])
-
-        def pair(j, rows):
-            high = key[j][rows].astype(np.uint64) << np.uint64(32)
-            return high | key[j + 1][rows].astype(np.uint64) if j + 1 < len(key) else high
-
-        value = pair(0, slice(None))
-        order = value.argsort()
-        value = value[order]
-        same = value[1:] == value[:-1]
-        for j in range(2, len(key), 2):
-            if not same.any():
-                break
-            tied = np.zeros(n, bool)
-            tied[1:] = same
-            tied[:-1] |= same
-            at = np.flatnonzero(tied)
-            group, rows = np.cumsum(np.append(True, ~same))[at], order[at]
-            value = pair(j, rows)
-            own = value.argsort()
-            own = own[group[own].argsort(kind="stable")]
-            order[at], value = rows[own], value[own]
-            same = np.zeros(n - 1, bool)
-            same[at[1:][(value[1:] == value[:-1]) & (group[1:] == group[:-1])] - 1] = True
-        return order, same
-
-    return sort
-
-
 def _cut(frequent, depth: int, bounds, low: bool, high: bool, base: int, heavy: set[int]):
     """The kernel of a round: of numbered texts the sorted suffixes between the first and last of ``bounds`` (no end where ``low`` or ``high`` is not set), in packed pieces, one for each range."""
-    shift, sort, salts = windows.FREQUENT, sorter(), SALTS
+    shift, sort, salts = windows.FREQUENT, windows.sorter(), SALTS
 
     def pieces(n_words, docs, sizes, packed_codes):
         import numpy as np
@@ -125,7 +90,7 @@ def _cut(frequent, depth: int, bounds, low: bool, high: bool, base: int, heavy:
 
 def _numbers(frequent, depth: int, heavy: set[int]):
     """The kernel of a range: part, doc_id, pos, start (the number of the first suffix with the same key in the range) and tied of its suffixes, by document and place, which packs well."""
-    shift, sort = windows.FREQUENT, sorter()
+    shift, sort = windows.FREQUENT, windows.sorter()
 
     def numbers(table):
         import numpy as np
@@ -188,6 +153,8 @@ def starts(corpus: Corpus, depth: int, columns: tuple = ("part", "doc_id", "pos"
         ranged = pieces.repartition(b - a + SALTS * len(heavy & set(range(a, b))), "part", "salt").groupBy("part", "salt").applyInArrow(_numbers(frequent, depth, heavy), "part int, doc_id long, pos long, start long, tied boolean")
         with rows_at_a_time(spark, 64):
             found.append(_packed(ranged.select(*columns), "suffix-starts", by))
+    if not texts:
+        dropped(numbered)
     every = reduce(DataFrame.unionByName, found)
     offset, offsets = int(corpus.totals.first().n_docs) + 1, []
     for r in every.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row for each range

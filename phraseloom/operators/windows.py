@@ -90,12 +90,47 @@ def _numbered(frequent):
     return numbered
 
 
+def sorter():
+    """What puts rows (columns of numbers of 32 bits) in order: their order, and whether each is equal to the next.  Only rows that are still equal look at further columns."""
+
+    def sort(key):
+        import numpy as np
+
+        n = len(key[0])
+
+        def pair(j, rows):
+            high = key[j][rows].astype(np.uint64) << np.uint64(32)
+            return high | key[j + 1][rows].astype(np.uint64) if j + 1 < len(key) else high
+
+        value = pair(0, slice(None))
+        order = value.argsort()
+        value = value[order]
+        same = value[1:] == value[:-1]
+        for j in range(2, len(key), 2):
+            if not same.any():
+                break
+            tied = np.zeros(n, bool)
+            tied[1:] = same
+            tied[:-1] |= same
+            at = np.flatnonzero(tied)
+            group, rows = np.cumsum(np.append(True, ~same))[at], order[at]
+            value = pair(j, rows)
+            own = value.argsort()
+            own = own[group[own].argsort(kind="stable")]
+            order[at], value = rows[own], value[own]
+            same = np.zeros(n - 1, bool)
+            same[at[1:][(value[1:] == value[:-1]) & (group[1:] == group[:-1])] - 1] = True
+        return order, same
+
+    return sort
+
+
 def _cut(frequent, low: int, high: int, bounds, base: int):
     """The kernel of a round: of numbered texts the sorted suffixes whose first symbol is from ``low`` to below ``high``, in packed pieces, one for each range.
 
     Suffixes of other rounds have no word in common with these, so a document's neighbours are all here.
     """
-    size_of, separator, shift = LONGEST + 1, 1, FREQUENT
+    size_of, separator, shift, sort = LONGEST + 1, 1, FREQUENT, sorter()
 
     def pieces(n_words, docs, sizes, packed_codes):
         import numpy as np
@@ -117,7 +152,7 @@ def _cut(frequent, low: int, high: int, bounds, base: int):
         row, pos, at = row[kept], pos[kept], at[kept]
         left = part[row] - pos
         key = [np.where(left >= j, symbols[at + j], 0).astype(np.uint32) for j in range(size_of)]
-        order = np.lexsort([*key[::-1]])
+        order, _ = sort(key)
         row, pos, at, left, key = row[order], pos[order], at[order], left[order], [k[order] for k in key]
         mine = np.argsort(row.astype(np.uint16) if len(part) < 1 << 16 else row, kind="stable")  # a document's suffixes in order
         shared, same = np.zeros(len(row), np.uint8), row[mine[1:]] == row[mine[:-1]]
@@ -157,7 +192,7 @@ def _cut(frequent, low: int, high: int, bounds, base: int):
 
 def _counted(frequent):
     """The kernel of a range: for every m the groups of equal first m words with two or more different symbols behind, and the groups at its ends; and a row with m = 0 and the number of its suffixes."""
-    longest, separator, shift = LONGEST, 1, FREQUENT
+    longest, separator, shift, sort = LONGEST, 1, FREQUENT, sorter()
     names = ["part", "m", "head", "sp", "nocc", "ndoc", "low", "high", "border", "doc_id", "pos"]
 
     def counted(table):
@@ -175,7 +210,7 @@ def _counted(frequent):
             pieces.append([*planes[:-1], np.frombuffer(docs, "<i8")[planes[-1]], shared])
         columns = [np.concatenate(c) for c in zip(*pieces)]
         del pieces
-        order = np.lexsort(columns[longest::-1])
+        order, _ = sort(columns[: longest + 1])
         columns = [c[order] for c in columns]
         key, pos, doc, shared = columns[: longest + 1], columns[-3].astype(np.int64), columns[-2], columns[-1]
         size, part = len(pos), table["part"][0].as_py()
